@@ -185,6 +185,9 @@ def extract_text(html: str | None) -> str:
     """The main text of one page: its blocks, white space within each turned into one space, one per line."""
     if not html:
         return ""
+    last = html.rfind("<")
+    if last >= 0 and ">" not in html[last:] and (html[last + 1 : last + 2].isalpha() or html[last + 1 : last + 2] in ("/", "!", "?")):
+        html = html[:last]  # a page that was cut off inside a tag
     reader = _Lines()
     try:
         reader.feed(html)

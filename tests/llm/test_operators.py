@@ -117,6 +117,9 @@ def test_digest_index_grows(spark):
             ("long text here " * 9).strip() + "\ntiny",
         ),
         ("<article><p>x</p><form>no</form><svg/><p>y</p></article><![foo", "x\ny"),
+        ("<article><p>one</p><p>cut &amp", "one\ncut &"),
+        ("<article><p>one</p><p>a < b</p><div class='x", "one\na < b"),
+        ("<article><header>By me</header><p>one</p><ul><li><a>1</a></li><li><a>2</a></li><li><a>3</a></li></ul></article>", "one"),
     ],
 )
 def test_html_cases(html, text):
