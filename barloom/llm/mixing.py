@@ -85,9 +85,9 @@ def _planned(
         sized = keyed = materialize(keyed.drop("text"), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("_mix_size").alias("source_size"), F.count("*").alias("n"))
     targets = materialize(source_targets(materialize(sizes, "sources"), weights, share, most), "targets")
-    # About eight ranges for every shuffle partition, in proportion to the sources' documents.
+    # About three ranges for every shuffle partition, in proportion to the sources' documents.
     total = targets.agg(F.sum("n")).first()[0] or 0
-    width = max(1, -(-total // (8 * shuffle_width(spark))))
+    width = max(1, -(-total // (3 * shuffle_width(spark))))
     budget = F.floor("target").cast("long")
     whole = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long")
     plan = targets.select(
