@@ -14,8 +14,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .basket import BasketConfig, align, replay_basket
 from .indicators import by_symbol
-from .metrics import run_metrics
+from .metrics import equity_stats, run_metrics
 from .replay import ReplayConfig, equity_curve, fills, replay
 from .strategies import BuyAndHold, make_strategy
 
@@ -137,6 +138,27 @@ def _few(splits: DataFrame, most: int = 10_000) -> bool:
     return splits.limit(most + 1).count() <= most
 
 
+def basket_sweep(frame: DataFrame, name: str, grid: dict[str, list], cfg: BasketConfig | None = None) -> DataFrame:
+    """Every combination over the basket, beside a control without shared cash.
+
+    The control gives each symbol an equal part of the capital and adds the equity curves up.
+    """
+    cfg, combos = cfg or BasketConfig(), expand_grid(grid)
+    decided = decide_all(frame, name, combos)
+    shared = replay_basket(decided, _Decided(), cfg, ("combo",))
+    curve = shared.where("kind = 'equity'").select("combo", "ts", "equity", "position_value")
+    aligned = align(decided, ("combo",))
+    count = aligned.select("symbol").distinct().count()
+    alone = ReplayConfig(
+        cfg.initial_capital / max(1, count), cfg.fee_bps, cfg.slippage_bps, cfg.max_position_pct, cfg.target_vol, cfg.vol_lookback,
+        cfg.stop_loss_pct, cfg.take_profit_pct, cfg.max_drawdown_cutoff_pct,
+    )
+    parts = equity_curve(replay(aligned, _Decided(), alone, ("combo",)), ("combo",))
+    summed = parts.groupBy("combo", "ts").agg(F.sum("equity").alias("equity"), F.sum("position_value").alias("position_value"))
+    both = curve.withColumn("arm", F.lit("basket")).unionByName(summed.withColumn("arm", F.lit("control")))
+    return equity_stats(both, cfg.initial_capital, ("arm", "combo"))
+
+
 def summarize(scored: DataFrame, value: str = "out_sample", baseline: str | None = "baseline", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Best, median and worst score, share above the baseline (null without one), and signs of overfitting."""
     order = F.struct(F.col("in_sample"), -F.col("split"))

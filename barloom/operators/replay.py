@@ -8,7 +8,7 @@ a column by then, and groups are independent, so sweeps and splits spread over t
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -222,16 +222,26 @@ def halts(events: DataFrame, run_cols: tuple[str, ...] = ()) -> DataFrame:
     return events.where("kind = 'halt'").select(*run_cols, "symbol", F.col("ts").alias("halt_ts"))
 
 
-def monte_carlo(frame: DataFrame, runs: int, p: float, min_hold: int = 5, seed: int = 0, cfg: ReplayConfig | None = None) -> DataFrame:
-    """``runs`` random long/flat replays of every symbol: run r draws from seed + r. One group a run and symbol."""
-    cfg, base = cfg or ReplayConfig(), RandomLongFlat(p, min_hold, seed)
-    sized = add_sizing(base.apply(frame), cfg.target_vol, cfg.vol_lookback, cfg.max_position_pct)
-    sized = sized.select("symbol", "ts", "open", "close", "fraction", "signal", "reason")
+def monte_carlo(frame: DataFrame, runs: int, p: float, min_hold: int = 5, seed: int = 0, cfg: ReplayConfig | None = None, run_cols: tuple[str, ...] = ()) -> DataFrame:
+    """``runs`` random long/flat replays of every (run_cols, symbol): run r draws from seed + r.
+
+    A ``p_long`` column, where there is one, is the probability instead of ``p``.
+    """
+    cfg, keys = cfg or ReplayConfig(), [*run_cols, "symbol"]
+    over = W.partitionBy(*keys).orderBy("ts")
+    sized = RandomLongFlat(p, min_hold, seed).apply(frame)
+    sized = add_sizing(sized, cfg.target_vol, cfg.vol_lookback, cfg.max_position_pct, over)
+    chance = F.col("p_long") if "p_long" in frame.columns else F.lit(float(p))
+    sized = sized.select(*keys, "ts", "open", "close", "fraction", "signal", "reason", chance.alias("p_long"))
     spread = sized.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    types = {f.name: f.dataType.simpleString() for f in spread.schema}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = replay_group(pdf, replace(base), cfg, seed_shift=int(key[0]))
-        return out.assign(run=key[0], symbol=key[1])
+        strategy = RandomLongFlat(float(pdf["p_long"].iloc[0]), min_hold, seed)
+        out = replay_group(pdf, strategy, cfg, seed_shift=int(key[0]))
+        for k, v in zip(["run", *keys], key, strict=True):
+            out[k] = v
+        return out
 
-    schema = EVENT_COLUMNS + ", run int, symbol string"
-    return spread.groupBy("run", "symbol").applyInPandas(run, schema)
+    schema = EVENT_COLUMNS + ", run int, " + ", ".join(f"`{k}` {types[k]}" for k in keys)
+    return spread.groupBy("run", *keys).applyInPandas(run, schema)

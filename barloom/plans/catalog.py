@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import annotate, money
 from ..functions.stats import expected_max_column, psr_column
-from ..operators import basket, evaluation, learning, metrics, news as news_ops, paper, quality, replay, significance
+from ..operators import basket, evaluation, learning, metrics, paper, quality, replay, research, significance
+from ..operators import news as news_ops
 from ..operators import features as feats
 from ..operators.indicators import INDICATORS, add_indicators, add_sizing, rolling, trailing_return
 from ..operators.strategies import BuyAndHold, Classifier, EventOverlay, Flat, MeanReversion, RandomLongFlat, TrendFollowing
@@ -785,6 +786,81 @@ def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.diagnostics(scored), 4)
 
 
+QUICK = research.WalkForwardConfig(
+    train_dates=900, test_dates=500, step_dates=700, runs=8, training=learning.TrainingConfig(trees=3, depth=3, min_selected=10)
+)
+
+
+@query("v13_ml_walk_forward")
+def v13w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = research.ml_walk_forward(feats.add_features(indicators(spark, sf_dir)), "NO", QUICK)
+    return rounded(done.judged.select("symbol", "n", "n_oos_trades", "sharpe", "n_eff", "deflated_sharpe", "pbo", "mc_percentile", "verdict"))
+
+
+@query("v18_basket_walk_forward")
+def v18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = research.basket_walk_forward(feats.add_features(indicators(spark, sf_dir)), QUICK)
+    return rounded(done.select("split", "arm", "n", "final_equity", "sharpe", "num_trades"), 4)
+
+
+@query("v19_news_ablation")
+def v19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = feats.add_features(indicators(spark, sf_dir))
+    news = news_ops.add_news_features(price, joined_news(spark, sf_dir))
+    return rounded(research.news_ablation(price, news, "NO", 1.5, 2, QUICK, resamples=50))
+
+
+@query("v05_basket_sweep")
+def v05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = evaluation.basket_sweep(bands(spark, sf_dir), "mean_reversion", GRID, basket.BasketConfig(max_position_pct=0.3))
+    return rounded(swept.select("arm", "combo", "n", "final_equity", "sharpe"), 4)
+
+
+@query("v07_inner_validation", sql.with_(sql.BARS, sql.INDICATORS, sql.features()) + """
+, dates AS (SELECT decision_ts, row_number() OVER (ORDER BY decision_ts) - 1 AS pos, count(*) OVER () AS m FROM (SELECT DISTINCT decision_ts FROM panel)),
+cut AS (SELECT any_value(m) - round_even(any_value(m) * 0.3::DOUBLE, 0)::BIGINT AS c FROM dates),
+w AS (SELECT c, x.decision_ts AS test_ts, e.decision_ts AS emb_ts FROM cut JOIN dates x ON x.pos = c JOIN dates e ON e.pos = greatest(0, c - 5))
+SELECT 0 AS split, CASE WHEN pos >= w.c THEN 'test' WHEN label_end_ts >= test_ts THEN 'purged' WHEN p.decision_ts >= emb_ts THEN 'embargoed' ELSE 'train' END AS role, count(*) AS n
+FROM panel p JOIN dates USING (decision_ts) CROSS JOIN w GROUP BY ALL""")
+def v07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.split_counts(evaluation.inner_validation(panel(spark, sf_dir)))
+
+
+@query("a15_ensemble_percentile", sql.with_(sql.BARS) + """
+, y AS (SELECT symbol, year(ts) AS split, (arg_max(close, ts) / arg_min(open, ts) - 1) * 100 AS r FROM bars GROUP BY ALL),
+m AS (SELECT symbol, exp(sum(ln(1 + r / 100))) AS g FROM y GROUP BY symbol),
+e AS (SELECT symbol, k AS run, exp(sum(ln(1 + r * (k - 3) / 4 / 100))) AS g FROM y, range(0, 8) t(k) GROUP BY ALL)
+SELECT m.symbol, round(avg((m.g > e.g)::INT), 6) AS percentile, count(*) AS runs FROM e JOIN m USING (symbol) GROUP BY m.symbol""")
+def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = bars(spark, sf_dir).groupBy("symbol", F.year("ts").alias("split")).agg(((F.max_by("close", "ts") / F.min_by("open", "ts") - 1) * 100).alias("return_pct"))
+    runs = y.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("return_pct", F.col("return_pct") * (F.col("run") - 3) / 4)
+    return rounded(significance.ensemble_percentile(runs, y))
+
+
+@query("a19_running_peak", "SELECT o_custkey % 7 AS deployment_id, greatest(100000, max(o_totalprice)) AS peak FROM orders GROUP BY ALL")
+def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return paper.running_peak(o.select((F.col("o_custkey") % 7).alias("deployment_id"), F.col("o_totalprice").alias("peak_equity")), 100_000.0)
+
+
+@query("a23_run_rollup", SWEEP_SQL + "SELECT count(*) AS runs, round(avg(total_return_pct), 4) AS mean_return_pct, round(avg(sharpe), 4) AS mean_sharpe, arg_max(combo, row(total_return_pct, symbol)) AS best_combo FROM stats")
+def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = evaluation.run_sweep(bands(spark, sf_dir), "mean_reversion", GRID)
+    return rounded(swept.agg(
+        F.count("*").alias("runs"), F.avg("total_return_pct").alias("mean_return_pct"), F.avg("sharpe").alias("mean_sharpe"),
+        F.max_by("combo", F.struct("total_return_pct", "symbol")).alias("best_combo"),
+    ), 4)
+
+
+@query("j07_paired_bars", sql.with_(sql.BARS) + """
+, r AS (SELECT symbol, year(ts) AS split, row_number() OVER (PARTITION BY symbol, year(ts) ORDER BY ts) AS obs_idx, close FROM bars)
+SELECT a.split::INT AS split, a.obs_idx::INT AS obs_idx, round(a.close, 6) AS price, round(b.close, 6) AS news FROM r a JOIN r b ON a.split = b.split AND a.obs_idx = b.obs_idx WHERE a.symbol = 'NO' AND b.symbol = 'RF'""")
+def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = F.row_number().over(W.partitionBy("symbol", F.year("ts")).orderBy("ts"))
+    r = bars(spark, sf_dir).select("symbol", F.year("ts").alias("split"), idx.alias("obs_idx"), F.col("close").alias("ret"), F.lit("model").alias("arm"))
+    return rounded(research.paired_bars(r.where("symbol = 'NO'"), r.where("symbol = 'RF'")))
+
+
 # The daily cycle
 
 
