@@ -56,8 +56,8 @@ STEPS = _steps()
 ENDING: dict[int, tuple[tuple[int, ...], float]] = {0: ((), 0.0), 1: ((1, 2), 2 * INSERT), 2: ((2,), INSERT), 3: ((), 0.0)}
 
 
-def known_role(role: str | None) -> int:
-    name = (role or "").strip().lower()
+def known_role(role: object) -> int:
+    name = role.strip().lower() if isinstance(role, str) else ""
     return ROLES.index(name) if name in ROLES else -1
 
 
@@ -65,18 +65,24 @@ def _label_cost(have: int, want: int) -> float:
     return 0.0 if have == want else RELABEL_UNKNOWN if have < 0 else RELABEL
 
 
+def _step_matrices() -> dict[int, np.ndarray]:
+    step = {}
+    for have in (-1, 0, 1, 2):
+        step[have] = np.full((4, 4), _INF)
+        for state, role, after, c, _, _ in STEPS:
+            step[have][state, after] = min(step[have][state, after], c + _label_cost(have, role))
+    return step
+
+
+STEP_COST = _step_matrices()
+
+
 def block_matrix(roles: list[int]) -> np.ndarray:
     """Least cost from each state before the turns to each state after them."""
     cost = np.full((4, 4), _INF)
     np.fill_diagonal(cost, 0.0)
-    step = {}
-    for have in (-1, 0, 1, 2):
-        m = np.full((4, 4), _INF)
-        for state, role, after, c, _, _ in STEPS:
-            m[state, after] = min(m[state, after], c + _label_cost(have, role))
-        step[have] = m
     for have in roles:
-        cost = (cost[:, :, None] + step[have][None]).min(1)
+        cost = (cost[:, :, None] + STEP_COST[have][None]).min(1)
     return cost
 
 
@@ -123,23 +129,41 @@ def escaped(text: str) -> str:
     return text.replace("<|", "< |")
 
 
-def _render(pdf: pd.DataFrame, repaired: list, first: bool, ending: tuple[int, ...] | None) -> list[str]:
+def _render(texts: list, repaired: list, first: bool, ending: tuple[int, ...] | None) -> list[str]:
     parts = []
-    for i, (text, (role, inserted, merged)) in enumerate(zip(pdf["text"], repaired, strict=True)):
+    for i, (text, (role, inserted, merged)) in enumerate(zip(texts, repaired, strict=True)):
         if merged:
             head = "\n"
         else:
             head = ("" if first and i == 0 else CLOSED) + "".join(_opened(r) + CLOSED for r in inserted) + _opened(role)
-        parts.append(head + escaped(text or ""))
+        parts.append(head + escaped(text if isinstance(text, str) else ""))
     if ending is not None:
         parts[-1] += CLOSED + "".join(_opened(r) + CLOSED for r in ending)
     return parts
 
 
+GROUP_TURNS = 8192
+
+
+def _runs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Where each (key, block) of a sorted frame starts and stops."""
+    key, block = pdf["key"].to_numpy(), pdf["block"].to_numpy()
+    new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+    edges = [0, *new.tolist(), len(pdf)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    columns = ["key", "block", "turn", "role", "text"]
+    return pdf.sort_values(columns, kind="stable", na_position="last", ignore_index=True)
+
+
 def repair_conversations(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """A row per turn: conv_id, turn, place in its block, role, new_role, action, inserted roles and rendered part.
 
     The parts of a conversation, in order of block and place, joined without separator, are its rendering.
+    Blocks are dealt by hash into groups of about ``GROUP_TURNS`` turns, so that a task's Python call has
+    many short conversations or a few blocks of a long one.
     """
     keyed = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text"),
@@ -150,52 +174,55 @@ def repair_conversations(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
         }
     )
     keyed = materialize(keyed, "turns")
+    groups = max(1, -(-keyed.count() // GROUP_TURNS))
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["turn", "role", "text"], kind="stable", na_position="last", ignore_index=True)
+    def dealt(df: DataFrame, *by: str):
+        return df.withColumn("group", F.pmod(F.xxhash64(*by), F.lit(groups))).groupBy("group")
 
-    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        flat = block_matrix([known_role(r) for r in pdf["role"]]).ravel().tolist()
-        return pd.DataFrame({"key": pdf["key"][:1], "block": pdf["block"][:1], "costs": [flat]})
+    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _ordered(pdf)
+        roles = [known_role(r) for r in pdf["role"]]
+        found = [(pdf["key"][a], pdf["block"][a], block_matrix(roles[a:b]).ravel().tolist()) for a, b in _runs(pdf)]
+        return pd.DataFrame(found, columns=["key", "block", "costs"])
 
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", ignore_index=True)
-        states = border_states([np.array(c).reshape(4, 4) for c in pdf["costs"]])
-        last = [False] * (len(pdf) - 1) + [True]
-        return pdf[["key", "block"]].assign(entry=states[:-1], leave=states[1:], last=last)
+        pdf = pdf.sort_values(["key", "block"], ignore_index=True)
+        rows, key, costs = [], pdf["key"].tolist(), pdf["costs"].tolist()
+        edges = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]] + [len(key)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            states = border_states([np.array(c).reshape(4, 4) for c in costs[a:b]])
+            rows += [(states[i], states[i + 1], i == b - a - 1) for i in range(b - a)]
+        entry, leave, last = zip(*rows, strict=True)
+        return pdf[["key", "block"]].assign(entry=entry, leave=leave, last=last)
 
     def repaired(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        entry, leave, last = int(pdf["entry"].iloc[0]), int(pdf["leave"].iloc[0]), bool(pdf["last"].iloc[0])
-        have = [known_role(r) for r in pdf["role"]]
-        steps = repair_turns(have, entry, leave)
-        ending = ENDING[leave][0] if last else None
-        after = [list(ROLES[r] for r in ending) if ending and i == len(pdf) - 1 else [] for i in range(len(pdf))]
+        pdf = _ordered(pdf)
+        roles, texts = [known_role(r) for r in pdf["role"]], pdf["text"].tolist()
+        entry, leave, last = pdf["entry"].tolist(), pdf["leave"].tolist(), pdf["last"].tolist()
+        steps, after, rendered, place = [], [], [], []
+        for a, b in _runs(pdf):
+            own = repair_turns(roles[a:b], entry[a], leave[a])
+            ending = ENDING[leave[a]][0] if last[a] else None
+            steps += own
+            after += [[] for _ in range(b - a - 1)] + [[ROLES[r] for r in ending or ()]]
+            rendered += _render(texts[a:b], own, entry[a] == START, ending)
+            place += range(b - a)
         return pd.DataFrame(
             {
                 "conv_id": pdf["conv_id"].astype("Int64"), "turn": pdf["turn"].astype("Int64"), "block": pdf["block"],
-                "place": range(len(pdf)), "role": pdf["role"],
-                "new_role": [ROLES[r] for r, _, _ in steps],
+                "place": place, "role": pdf["role"], "new_role": [ROLES[r] for r, _, _ in steps],
                 "merged": [m for _, _, m in steps],
-                "relabelled": [h != r for h, (r, _, _) in zip(have, steps, strict=True)],
-                "inserted_before": [[ROLES[x] for x in i] for _, i, _ in steps],
-                "inserted_after": after,
-                "rendered": _render(pdf, steps, entry == START, ending),
+                "relabelled": [h != r for h, (r, _, _) in zip(roles, steps, strict=True)],
+                "inserted_before": [[ROLES[x] for x in i] for _, i, _ in steps], "inserted_after": after,
+                "rendered": rendered,
             }
         )
 
-    blocks = keyed.groupBy("key", "block").applyInPandas(matrix, "key string, block long, costs array<double>")
-    states = blocks.groupBy("key").applyInPandas(
-        borders, "key string, block long, entry int, leave int, last boolean"
-    )
+    blocks = dealt(keyed, "key", "block").applyInPandas(matrices, "key string, block long, costs array<double>")
+    states = dealt(blocks, "key").applyInPandas(borders, "key string, block long, entry int, leave int, last boolean")
     states = materialize(states, "borders")
-    return (
-        keyed.join(states, ["key", "block"])
-        .groupBy("key", "block")
-        .applyInPandas(
-            repaired,
-            "conv_id long, turn long, block long, place int, role string, new_role string, merged boolean, "
-            "relabelled boolean, inserted_before array<string>, inserted_after array<string>, rendered string",
-        )
+    return dealt(keyed.join(states, ["key", "block"]), "key", "block").applyInPandas(
+        repaired,
+        "conv_id long, turn long, block long, place int, role string, new_role string, merged boolean, "
+        "relabelled boolean, inserted_before array<string>, inserted_after array<string>, rendered string",
     )

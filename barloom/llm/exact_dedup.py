@@ -113,7 +113,8 @@ def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFr
     marked = materialize(mark_duplicates(docs, index), "marked")
     per_id = marked.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
     gone = per_id.where("not some").select(F.col("doc_id").alias("_gone_id"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    # By sort-merge at every size: the list of what goes grows with the documents.
+    out = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
     mixed = materialize(per_id.where("some and not every").select(F.col("doc_id").alias("_mixed_id")), "mixed")
     if is_empty(mixed):
         discard(mixed)

@@ -2,8 +2,8 @@
 
 Each image is looked at in several scales. Corners are local maxima of the structure tensor's least
 eigenvalue; the patch around a corner is turned by the direction of its intensity centroid and described
-by 128 comparisons of point pairs. Descriptors meet in Hamming tables: an equality join on each of eight
-16-bit words, verified on all bits. The pairs of points that agree vote for a shift and a scale of the whole
+by 128 comparisons of point pairs. Descriptors meet in Hamming tables: an equality join on each of four
+32-bit words, verified on all bits. The pairs of points that agree vote for a shift and a scale of the whole
 image, and an image is a match if enough of them agree on one.
 
 Images with equal pixels are one class, and only one of a class is described and joined, so that a
@@ -12,7 +12,7 @@ picture with a third of all rows costs no more than any other.
 Defined cases: a null or malformed image has no descriptors and matches nothing; images without corners
 match nothing but their own class; equal votes go to the smaller query. An empty table gives an empty
 result. Only media_id and image are looked at. Images are binary PGM (P5), a media column that needs no
-decoder; ``render`` makes them from vectors, as the tables have no pictures.
+decoder; ``render`` makes them from vectors, as the tables have no pictures: a vector seeds a texture.
 """
 
 from __future__ import annotations
@@ -28,25 +28,30 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SCALES = (1.0, 0.7, 0.5)
-PATCH, TABLES, BITS = 7, 8, 128
-MAX_DISTANCE, MIN_VOTES, BIN = 24, 6, 4
+PATCH, TABLES, BITS = 7, 4, 128
+MAX_DISTANCE, MIN_VOTES, BIN = 8, 5, 4
 _PICK = np.random.default_rng(20)
-#: Point pairs of the binary tests, within a disc of radius PATCH.
-_PAIRS = np.clip(_PICK.normal(0, PATCH / 2.2, (BITS, 4)), -PATCH + 1, PATCH - 1)
+_PLACES = np.clip(_PICK.normal(0, PATCH / 1.8, (BITS, 3)), -PATCH + 1, PATCH - 1)
+#: Point pairs of the binary tests. Both points lie across the patch's direction, so that the gradient that
+#: gives the direction doesn't decide the test.
+_PAIRS = np.stack([_PLACES[:, 0], _PLACES[:, 1], _PLACES[:, 0], _PLACES[:, 2]], axis=1)
 
 
 def render(vector: list[float] | None, side: int = 64) -> bytes | None:
-    """A picture of overlapping boxes that a vector determines, as PGM."""
+    """A picture of cloudy texture in three octaves that a vector determines, as PGM."""
     if vector is None or not len(vector):
         return None
     values = np.nan_to_num(np.asarray(vector, "f4"))
     rng = np.random.default_rng(zlib.crc32(values.tobytes()))
-    picture = np.full((side, side), 96.0)
-    for v in np.resize(values, 40):
-        x, y = rng.integers(-6, side - 6, 2)
-        w, h = rng.integers(6, 22, 2)
-        picture[max(0, y) : y + h, max(0, x) : x + w] = 128 + 110 * np.tanh(6 * v) + rng.uniform(-12, 12)
-    return encode_pgm(picture)
+    picture = np.zeros((side, side))
+    for cells, weight in ((6, 1.0), (12, 1.0), (24, 0.7)):
+        grid = rng.normal(0, 1, (cells + 1, cells + 1))
+        at = np.arange(side) * cells / side
+        i, f = at.astype(int), at % 1
+        f = f * f * (3 - 2 * f)
+        rows = grid[i] * (1 - f[:, None]) + grid[i + 1] * f[:, None]
+        picture += weight * (rows[:, i] * (1 - f) + rows[:, i + 1] * f)
+    return encode_pgm(128 + 45 * picture)
 
 
 def encode_pgm(picture: np.ndarray) -> bytes:
@@ -100,7 +105,7 @@ def describe(picture: np.ndarray | None) -> list[tuple[float, float, float, np.n
         p = _scaled(picture, scale)
         if min(p.shape) < 2 * PATCH + 4:
             continue
-        smooth = _blur(p, 1.0)
+        smooth = _blur(p, 0.7)
         gy, gx = np.gradient(smooth)
         xx, yy, xy = _blur(gx * gx, 1.2), _blur(gy * gy, 1.2), _blur(gx * gy, 1.2)
         least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
@@ -156,11 +161,12 @@ def local_descriptors(images: DataFrame) -> DataFrame:
 
 
 def _tables(points: DataFrame) -> DataFrame:
-    words = F.array(
-        *[F.shiftrightunsigned(c, 16 * i).bitwiseAND(0xFFFF) + F.lit((8 >> 1) * (c == "low") + i) * 65536
-          for c in ("high", "low") for i in range(TABLES // 2)]
-    )
-    return points.select("*", F.explode(words).alias("word"))
+    """A row for each 32-bit word of a descriptor, tagged with the word's place."""
+    words = [
+        F.shiftrightunsigned(c, 32 * i).bitwiseAND(0xFFFFFFFF) + F.lit((2 * (c == "low") + i) << 32)
+        for c in ("high", "low") for i in range(2)
+    ]
+    return points.select("*", F.explode(F.array(*words)).alias("word"))
 
 
 def match_points(queries: DataFrame, points: DataFrame, max_distance: int = MAX_DISTANCE, min_votes: int = MIN_VOTES) -> DataFrame:

@@ -138,15 +138,23 @@ def select_threshold(scored: DataFrame, cfg: TrainingConfig) -> DataFrame:
     ).withColumn("leave", F.greatest(F.lit(0.0), F.col("enter") - cfg.hysteresis))
 
 
-def logistic_floor(train: DataFrame, test: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """``test`` scored by a scaled logistic regression, the simplest learner to beat."""
-    features = features or FEATURES
+def fit_logistic(train: DataFrame, features: list[str] | None = None) -> PipelineModel:
+    """A scaled logistic regression, the simplest learner to beat."""
     stages = [
-        VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
+        VectorAssembler(inputCols=features or FEATURES, outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
         LogisticRegression(featuresCol="_features", labelCol="label", regParam=1e-3, maxIter=100),
     ]
-    scored = Pipeline(stages=stages).fit(train).transform(test)
-    return scored.withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
+    return Pipeline(stages=stages).fit(train)
+
+
+def logistic_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows``, which have no null features, with the probability ``p`` of the up class."""
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
+
+
+def logistic_floor(train: DataFrame, test: DataFrame, features: list[str] | None = None) -> DataFrame:
+    return logistic_scores(fit_logistic(train, features), test)
 
 
 def walk_forward_scores(rows: DataFrame, splits: list[int], cfg: TrainingConfig | None = None, features: list[str] | None = None) -> DataFrame:

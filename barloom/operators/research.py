@@ -16,7 +16,7 @@ from ..functions.stats import expected_max_column, moments, psr_column
 from .basket import BasketConfig, replay_basket
 from .evaluation import generate_splits, purged_split_rows, time_folds
 from .features import FEATURES, date_positions, panel
-from .learning import TrainingConfig, TrainingError, default_trials, logistic_floor, select_threshold, train_model
+from .learning import TrainingConfig, TrainingError, default_trials, fit_logistic, logistic_scores, select_threshold, train_model
 from .metrics import bar_returns, run_metrics, turnover
 from .replay import ReplayConfig, equity_curve, fills, monte_carlo, replay
 from .significance import ensemble_percentile, overfitting_probability, paired_test, verdict
@@ -35,6 +35,7 @@ class WalkForwardConfig:
     seed: int = 42
     min_hold: int = 5
     trials: int | None = None
+    blocks: int = 16
     replay: ReplayConfig = ReplayConfig()
     training: TrainingConfig = TrainingConfig()
 
@@ -69,24 +70,26 @@ def _oos(frame: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def _logistic_arm(train: DataFrame, frame: DataFrame, cfg: TrainingConfig, features: list[str]) -> tuple[DataFrame, float, float]:
-    folds = time_folds(train, cfg.fractions)
-    fit = folds.where("fold = 0")
-    best = select_threshold(logistic_floor(fit, folds.where("fold = 2"), features), cfg).first()
+    folds = time_folds(train, cfg.fractions).persist()
+    model = fit_logistic(folds.where("fold = 0"), features)
+    best = select_threshold(logistic_scores(model, folds.where("fold = 2")), cfg).first()
+    folds.unpersist()
     enter = best["enter"] if best and best["enter"] is not None else cfg.enter_lo
     ready = frame
     for f in features:
         ready = ready.where(F.col(f).isNotNull())
-    scored = logistic_floor(fit, ready, features).select("symbol", "ts", F.col("p").alias("p_up"))
+    scored = logistic_scores(model, ready).select("symbol", "ts", F.col("p").alias("p_up"))
     return frame.join(scored, ["symbol", "ts"], "left"), enter, max(0.0, enter - cfg.hysteresis)
 
 
 def _arms(featured: DataFrame, cfg: WalkForwardConfig, features: list[str], run):
-    """Events of the model, logistic, rule and buy-and-hold arms of every split, by ``run(frame, strategy, run_cols)``."""
+    """Panel, purged rows, test bars, events and skipped splits. Events of the model, logistic, rule and buy-and-hold arms of every split, by ``run(frame, strategy, run_cols)``."""
+    featured = featured.persist()
     rows = panel(featured, cfg.training.horizon, features=features).persist()
     n = rows.select("decision_ts").distinct().count()
     splits = generate_splits(n, cfg.train_dates, cfg.test_dates, cfg.step_dates)
     windows = _windows(rows, splits)
-    purged = purged_split_rows(rows, splits, cfg.training.horizon)
+    purged = purged_split_rows(rows, splits, cfg.training.horizon).persist()
     tests = _oos(featured, windows)
     events, skipped = None, []
     for split in range(len(splits)):
@@ -125,14 +128,14 @@ def ml_walk_forward(featured: DataFrame, symbol: str, cfg: WalkForwardConfig | N
     frames = tests.where(F.col("symbol") == symbol).join(exposure, "split")
     random = monte_carlo(frames, cfg.runs, 0.5, cfg.min_hold, cfg.seed, cfg.replay, ("split",)).persist()
     # Per bar: the arms, and a few random runs as further configurations.
-    bars = bar_returns(curve, keys)
+    bars = bar_returns(curve, keys).persist()
     sampled = equity_curve(random.where(F.col("run") < SAMPLED_RUNS), ("split", "run"))
     random_bars = bar_returns(sampled, ("split", "run", "symbol")).withColumn("arm", F.concat(F.lit("random-"), F.col("run").cast("string")))
     every = bars.unionByName(random_bars.drop("run"))
     performance = every.select(
         F.col("arm").alias("config"), (F.col("split").cast("long") * 1_000_000 + F.col("obs_idx")).alias("obs_idx"), "ret"
     )
-    pbo = overfitting_probability(performance)
+    pbo = overfitting_probability(performance, cfg.blocks)
     returns = lambda df: df.select("symbol", "split", F.col("total_return_pct").alias("return_pct"))
     ends = random.where("kind = 'equity'").groupBy("split", "run", "symbol").agg(F.max_by("equity", "ts").alias("e"))
     start = cfg.replay.initial_capital

@@ -787,7 +787,7 @@ def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUICK = research.WalkForwardConfig(
-    train_dates=900, test_dates=500, step_dates=700, runs=8, training=learning.TrainingConfig(trees=3, depth=3, min_selected=10)
+    train_dates=1200, test_dates=500, step_dates=1200, runs=8, blocks=8, training=learning.TrainingConfig(trees=3, depth=3, min_selected=10)
 )
 
 
