@@ -6,6 +6,8 @@ booster; folds, weights, thresholds, costs and the verdict follow the same proto
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from dataclasses import asdict, dataclass
 
@@ -13,8 +15,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import model_id
@@ -85,7 +87,7 @@ def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: l
     cfg, features = cfg or TrainingConfig(), features or FEATURES
     folds = time_folds(panel, cfg.fractions).cache()
     try:
-        sizes = {r["fold"]: r for r in folds.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes")).collect()}
+        sizes = {r["fold"]: r for r in folds.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes"), F.max("decision_ts").alias("last")).collect()}
         if 0 not in sizes or sizes[0]["classes"] < 2:
             raise TrainingError("the fit fold has one class only")
         vector = VectorAssembler(inputCols=features, outputCol="_features")
@@ -103,6 +105,8 @@ def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: l
         meta = {
             "features": features, "feature_version": FEATURE_VERSION, "config": asdict(cfg),
             "n": {str(k): v["n"] for k, v in sorted(sizes.items())},
+            "train_end": str(max(v["last"] for v in sizes.values())), "calibrated": calibration is not None,
+            "trees_sha256": hashlib.sha256(pipeline.stages[-1].toDebugString.encode()).hexdigest(),
         }
         model = TrainedModel(pipeline, calibration, cfg.enter_lo, max(0.0, cfg.enter_lo - cfg.hysteresis), meta)
         scored = model.score(folds.where("fold = 2")).withColumnRenamed("p_up", "p")
@@ -176,12 +180,33 @@ def diagnostics(scored: DataFrame) -> DataFrame:
 
 
 def save_model(model: TrainedModel, folder: str) -> str:
-    model.pipeline.write().overwrite().save(f"{folder}/{model.id}/pipeline")
+    """Write the fitted stages and, last, the metadata: a model without metadata isn't listed."""
+    own = f"{folder}/{model.id}"
+    model.pipeline.write().overwrite().save(f"{own}/pipeline")
     if model.calibration is not None:
-        model.calibration.write().overwrite().save(f"{folder}/{model.id}/calibration")
+        model.calibration.write().overwrite().save(f"{own}/calibration")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(model.metadata),)], "value string").write.mode("overwrite").text(f"{own}/metadata")
     return model.id
 
 
+def load_model(spark: SparkSession, folder: str, model_id: str) -> TrainedModel:
+    """A saved model; one whose features are of another version is refused."""
+    own = f"{folder}/{model_id}"
+    meta = json.loads(spark.read.text(f"{own}/metadata").first()["value"])
+    check_version(meta)
+    calibration = IsotonicRegressionModel.load(f"{own}/calibration") if meta["calibrated"] else None
+    return TrainedModel(PipelineModel.load(f"{own}/pipeline"), calibration, meta["enter"], meta["leave"], meta)
+
+
+def list_models(spark: SparkSession, folder: str) -> DataFrame:
+    """``(model_id, train_end, feature_version, enter, leave)`` of the saved models, newest first."""
+    meta = F.from_json("value", "train_end string, feature_version string, enter double, leave double").alias("m")
+    path = F.regexp_extract("_metadata.file_path", r"([0-9a-f]{16})/metadata/[^/]*$", 1).alias("model_id")
+    found = spark.read.text(f"{folder}/*/metadata").select(path, meta).select("model_id", "m.*")
+    return found.orderBy(F.desc("train_end"), F.desc("model_id"))
+
+
 def check_version(metadata: dict, version: str = FEATURE_VERSION) -> None:
     if metadata.get("feature_version") != version:
         raise VersionError(f"the model has features {metadata.get('feature_version')}, this code {version}")

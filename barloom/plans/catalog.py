@@ -239,6 +239,15 @@ def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper.last_per_day(snaps)
 
 
+@query("k08_model_registry")
+def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, folder = panel(spark, sf_dir), scratch(spark, "models")
+    learning.save_model(learning.train_model(rows, learning.TrainingConfig(trees=3, depth=3)), folder)
+    newest = learning.list_models(spark, folder).first()
+    scored = learning.load_model(spark, folder, newest["model_id"]).score(rows, "p")
+    return rounded(scored.agg(F.count("p").alias("n"), F.avg("p").alias("mean_p")).withColumn("train_end", F.lit(newest["train_end"])))
+
+
 @query("k09_finite_values", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 1e9 ELSE round(l_discount / l_tax, 6) END AS ratio FROM lineitem WHERE l_discount > 0")
 def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_discount > 0")
