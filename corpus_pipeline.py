@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, language_id, mixing, packing, simhash
+from barloom.llm import exact_dedup, language_id, mixing, near_copies, packing
 from barloom.llm.common import materialize, table
 
 
@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near fingerprints the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of similar texts (five-word Jaccard of 0.8 or more) or near fingerprints the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
