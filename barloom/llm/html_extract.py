@@ -80,6 +80,7 @@ class _Lines(HTMLParser):
         self.bad = self.hidden = self.links = 0
         self.number = 0
         self.containers: set[int] = set()
+        self.articles: set[int] = set()
         self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -96,6 +97,13 @@ class _Lines(HTMLParser):
             self.parts = []
         self.tags = self.linked = 0
 
+    def parse_html_declaration(self, i: int) -> int:
+        # The parser fails on "<![" with an unknown word; to a browser all of these are comments up to ">".
+        if self.rawdata.startswith("<![", i):
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
@@ -118,6 +126,8 @@ class _Lines(HTMLParser):
         self.links += tag == "a"
         if tag in CONTAINERS or any(k == "role" and v in ("main", "article") for k, v in attrs):
             self.containers.add(self.number)
+        if tag == "article" or any(k == "role" and v == "article" for k, v in attrs):
+            self.articles.add(self.number)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -189,11 +199,8 @@ def extract_text(html: str | None) -> str:
     if last >= 0 and ">" not in html[last:] and (html[last + 1 : last + 2].isalpha() or html[last + 1 : last + 2] in ("/", "!", "?")):
         html = html[:last]  # a page that was cut off inside a tag
     reader = _Lines()
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # the parser's word for a declaration that it cannot read
-        pass
+    reader.feed(html)
+    reader.close()
     reader.end_line()
     lines = reader.lines
     if not lines:
@@ -201,11 +208,11 @@ def extract_text(html: str | None) -> str:
     region = _region(lines, reader.containers)
     chosen = [x for x in lines if not x[2] and (region is None or region in x[3])]
     out, run = [], []
-    for text, _, _, _, only_links in [*chosen, ("", 0, False, (), False)]:
-        if only_links:
+    for text, _, _, path, only_links in [*chosen, ("", 0, False, (), False)]:
+        if only_links and (reader.articles.isdisjoint(path) or not any(map(str.isalpha, text))):
             run.append(text)
             continue
-        out += run if len(run) < 3 else []  # three links in a row or more are a menu
+        out += run if len(run) < 3 else []  # three links in a row or more are a menu; in an article, only page numbers
         run = []
         out.append(text)
     return "\n".join(out[:-1])
