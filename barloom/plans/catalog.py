@@ -681,7 +681,7 @@ def v03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("v04_walk_forward")
 def v04(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = bands(spark, sf_dir)
-    splits = evaluation.splits_frame(frame, 400, 200, 400)
+    splits = evaluation.splits_frame(frame)
     return rounded(evaluation.walk_forward(frame, "mean_reversion", GRID, splits), 4)
 
 
@@ -795,20 +795,18 @@ def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.diagnostics(scored), 4)
 
 
-QUICK = research.WalkForwardConfig(
-    train_dates=1200, test_dates=500, step_dates=1200, runs=8, blocks=8, training=learning.TrainingConfig(trees=3, depth=3, min_selected=10)
-)
+FULL = research.WalkForwardConfig()
 
 
 @query("v13_ml_walk_forward")
 def v13w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = research.ml_walk_forward(feats.add_features(indicators(spark, sf_dir)), "NO", QUICK)
+    done = research.ml_walk_forward(feats.add_features(indicators(spark, sf_dir)), "NO", FULL)
     return rounded(done.judged.select("symbol", "n", "n_oos_trades", "sharpe", "n_eff", "deflated_sharpe", "pbo", "mc_percentile", "verdict"))
 
 
 @query("v18_basket_walk_forward")
 def v18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = research.basket_walk_forward(feats.add_features(indicators(spark, sf_dir)), QUICK)
+    done = research.basket_walk_forward(feats.add_features(indicators(spark, sf_dir)), FULL)
     return rounded(done.select("split", "arm", "n", "final_equity", "sharpe", "num_trades"), 4)
 
 
@@ -816,7 +814,7 @@ def v18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v19(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = feats.add_features(indicators(spark, sf_dir))
     news = news_ops.add_news_features(price, joined_news(spark, sf_dir))
-    return rounded(research.news_ablation(price, news, "NO", 1.5, 2, QUICK, resamples=50))
+    return rounded(research.news_ablation(price, news, "NO", 1.5, 2, FULL))
 
 
 @query("v05_basket_sweep")
