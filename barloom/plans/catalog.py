@@ -758,9 +758,9 @@ def v16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v17_paired_bootstrap")
 def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bar_src.with_bar_index(bars(spark, sf_dir)).withColumn("diff", trailing_return(1)).where("diff is not null and bar_idx <= 300")
+    r = bar_src.with_bar_index(bars(spark, sf_dir)).withColumn("diff", trailing_return(1)).where("diff is not null")
     diffs = r.select(F.col("symbol").alias("pair"), F.col("bar_idx").alias("obs_idx"), "diff")
-    return rounded(significance.paired_test(diffs, 100, resamples=200))
+    return rounded(significance.paired_test(diffs, 100))
 
 
 @query("v17_sharpe_probabilities")
