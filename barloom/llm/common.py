@@ -57,6 +57,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

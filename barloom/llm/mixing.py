@@ -133,14 +133,19 @@ def mix_documents(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED
 ) -> DataFrame:
     """The mixed corpus: a row for each time a document is taken, its last one cut where the budget ends."""
-    planned = _planned(docs, weights, share, most, seed, carry=True)
+    # Further columns travel in a struct, so that none of their names can clash.
+    more = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    packed = docs.select("doc_id", "source", "text", F.struct(*more, F.lit(0)).alias("_mix_more"))
+    planned = _planned(packed, weights, share, most, seed, carry=True)
     size, taken = F.col("_mix_size"), F.col("_mix_taken")
     rows = planned.where(taken > 0).withColumn(
         "_mix_epoch", F.explode(F.sequence(F.lit(0), (F.ceil(taken / size) - 1).cast("int")))
     )
     words = F.least(size, taken - F.col("_mix_epoch") * size)
     text = F.when(words < size, first_words(F.col("text"), words)).otherwise(F.col("text"))
-    rows = rows.withColumn("_mix_text", text).withColumn("text", F.col("_mix_text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("_mix_text", text)
+    own = {c: F.col(c) for c in ("doc_id", "source")} | {"text": F.col("_mix_text")}
+    own |= {c: F.col(f"_mix_more.`{c}`") for c in more}
+    if "n_chars" in more:
+        own["n_chars"] = F.length("_mix_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[own[c].alias(c) for c in docs.columns])

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CAPACITY, END_ID, SHARD_PIECES = 1024, 2, 4096
+CAPACITY, END_ID, SHARD_PIECES, DONORS = 1024, 2, 4096, 4
 DEFAULT_TOKENIZER = "byte_bpe_50k.tiktoken"
+#: The vocabulary's added token and its id. A text that holds it gets that id, as by the contract's call.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 #: Fixed value: how byte-level BPE cuts a text into words before merging, in possessive form.
 SPLIT_PATTERN = (
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -50,7 +52,7 @@ def encoder(path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _ENCODERS[path] = tiktoken.Encoding(
-            "byte_bpe", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte_bpe", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS
         )
     return _ENCODERS[path]
 
@@ -64,11 +66,11 @@ def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path).encode
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
                 n = len(ids)
                 first = n % capacity or capacity
                 for piece, stop in enumerate(range(first, n + 1, capacity)):
@@ -160,19 +162,23 @@ class _Bins:
         return True
 
     def search(self) -> None:
-        """Empty the least filled bins until the bound is met or no exchange is left for the least filled one."""
+        """Empty the least filled bins until the bound is met or no exchange is left for ``DONORS`` of them."""
         least = -(-sum(self.lengths) // self.capacity)
         live = [b for b in range(len(self.items)) if self.items[b]]
-        while len(live) > least:
-            donor = min(live, key=lambda b: self.fill[b])
+        stuck: set[int] = set()
+        while len(live) > least and len(stuck) < DONORS:
+            donor = min((b for b in live if b not in stuck), key=lambda b: self.fill[b], default=None)
+            if donor is None:
+                break
             others = sorted(
                 (b for b in live if b != donor and self.fill[b] < self.capacity), key=lambda b: -self.fill[b]
             )
             while self.items[donor] and self._improve(donor, others):
                 pass
             if self.items[donor]:
-                break
-            live.remove(donor)
+                stuck.add(donor)  # the next least filled bin may still empty
+            else:
+                live.remove(donor)
 
     def packed(self) -> list[list[int]]:
         return [b for b in self.items if b]

@@ -82,6 +82,39 @@ def test_exact_dedup_awkward(awkward, empty):
     assert exact_dedup.drop_duplicates(awkward).columns == awkward.columns
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup_batches(spark, documents, awkward, batches):
+    last, size = {}, collections.Counter()
+    for r in rows(documents):
+        key = (r["text"] or "").translate(LOWER)
+        last[key] = max(last.get(key, -1), r["doc_id"])
+        size[key] += 1
+    want = {}
+    for r in rows(documents):
+        key = (r["text"] or "").translate(LOWER)
+        want[r["doc_id"]] = (last[key], size[key], last[key] == r["doc_id"])
+    got = rows(exact_dedup.mark_duplicates(documents, batches=batches))
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == want
+    assert sorted(r["kept"] for r in rows(exact_dedup.mark_duplicates(awkward, batches=batches))) == [False] * 4 + [True] * 8
+
+
+def test_exact_dedup_clashing_columns(spark):
+    docs = spark.createDataFrame(
+        [(1, "a", 7, 8, 9), (1, "b", 7, 8, 9), (2, "A", 7, 8, 9)], "doc_id long, text string, _gone_id int, _digest int, row int"
+    )
+    kept = rows(exact_dedup.drop_duplicates(docs))
+    assert sorted((r["doc_id"], r["text"], r["_gone_id"], r["_digest"], r["row"]) for r in kept) == [(1, "b", 7, 8, 9), (2, "A", 7, 8, 9)]
+
+
+def test_exact_dedup_plan_has_the_anti_join(spark, monkeypatch):
+    plans = []
+    own = exact_dedup.DigestIndex._append
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), own(self, df)))
+    exact_dedup.mark_duplicates(spark.createDataFrame([(1, "a"), (2, "a"), (3, "c")], "doc_id long, text string")).count()
+    joins = [p for p in plans if "SortMergeJoin" in p and "LeftAnti" in p]
+    assert len(joins) == exact_dedup.BATCHES
+
+
 def test_digest_index_grows(spark):
     index = exact_dedup.DigestIndex(spark, buckets=2)
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
@@ -217,7 +250,6 @@ def tokens(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -261,7 +293,14 @@ def test_packing_documents(spark, sf_dir, documents, awkward, empty):
 @given(st.text())
 def test_fast_tokenizer_gives_the_same_ids(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert packing.encoder(packing.tokenizer_path()).encode_ordinary(text) == tokens(text)
+    assert packing.encoder(packing.tokenizer_path()).encode(text, allowed_special="all") == tokens(text)
+
+
+def test_added_token(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y <|endoftext", "<|endoftext|>\n\n  z"]
+    docs = list(enumerate(texts))
+    check_packing(docs, rows(packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"))))
+    assert tokens(texts[1]) == [50256]
 
 
 @settings(max_examples=60, deadline=None)
