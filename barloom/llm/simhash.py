@@ -9,7 +9,8 @@ are then compared inside the join.
 Copies cost nothing: only distinct fingerprints are joined. Segments that more than ``HOT`` distinct
 fingerprints share are first contracted: fingerprints that reach a common value by changing at most one
 bit each (two bits apart or less) are linked as a star around the smallest, and the joins then leave out
-pairs whose ends are in one star component already, so that no group is expanded into all its pairs.
+pairs whose ends are in one star component already. Pairs of two crowded segments meet by the segment and a
+piece of the other half, which differs by three bits at most as well: no key holds a crowd on both sides.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words than a
 shingle make one shingle; repeated rows are rows with equal fingerprints; a null doc_id is never the
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, is_empty, materialize
+from .common import connected_components, discard, fresh_names, is_empty, materialize
 
 SHINGLE_WORDS, RADIUS, SEED, HOT = 3, 3, 42, 64
 
@@ -91,6 +92,56 @@ def _stars(fps: DataFrame) -> DataFrame:
     return reach.join(centres, "value").select("u", F.col("fp").alias("v")).where("u <> v").distinct()
 
 
+def _far_enough(radius: int) -> Column:
+    """Sides a and b of a join are near and not in one star already."""
+    return (_apart(F.col("a.fp"), F.col("b.fp")) <= radius) & (F.col("a.group") != F.col("b.group"))
+
+
+def _met(a: DataFrame, b: DataFrame, radius: int, ordered: bool) -> DataFrame:
+    """Pairs ``(u, v)`` of ``a(fp, group, key)`` and ``b(fp, group, key)`` with equal keys that are near."""
+    a, b = a.alias("a"), b.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & _far_enough(radius)
+    if ordered:
+        on = on & (F.col("a.fp") < F.col("b.fp"))
+    return a.join(b, on).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def _deleted(rows: DataFrame, side: int) -> DataFrame:
+    """A row for each bit of the segment that is ``side``, with the segment's key without that bit."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(31)))
+    wild = rows.select("*", bit.alias("bit")).withColumn("mask", F.expr("shiftleft(1L, bit)"))
+    has = F.col("value").bitwiseAND(F.col("mask"))
+    key = F.col("seg") * (1 << 40) + (F.col("bit") + 1).cast("long") * (1 << 33) + F.col("value") - has
+    return wild.where((has != 0) if side else (has == 0)).withColumn("key", key)
+
+
+def _other(rows: DataFrame) -> Column:
+    """The half of the fingerprint that isn't the row's segment."""
+    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF)
+    return F.when(F.col("seg") == 0, low).otherwise(high)
+
+
+def _thirds(rows: DataFrame) -> DataFrame:
+    """Keys with each of three pieces of the other half: two bits apart there leave one piece equal."""
+    half = _other(rows)
+    pieces = [F.shiftrightunsigned(half, at).bitwiseAND((1 << n) - 1) for at, n in ((0, 11), (11, 11), (22, 10))]
+    keys = F.array(*[F.xxhash64("key", F.lit(i), p) for i, p in enumerate(pieces)])
+    return rows.select("fp", "group", F.explode(keys).alias("key"))
+
+
+def _wild_halves(rows: DataFrame, side: int) -> DataFrame:
+    """Keys with each 16-bit piece of the other half, whole and without one bit: three bits apart there leave
+    one piece at most one bit apart. Side 0 meets side 1 where the bit differs."""
+    half, keys = _other(rows), []
+    for i in range(2):
+        piece = F.shiftrightunsigned(half, 16 * i).bitwiseAND(0xFFFF)
+        keys.append(F.xxhash64("key", F.lit(-1 - i), piece))
+        for bit in range(16):
+            has = F.shiftrightunsigned(piece, bit).bitwiseAND(1)
+            keys.append(F.xxhash64("key", F.lit(16 * i + bit), piece - has * (1 << bit), has if side == 0 else 1 - has))
+    return rows.select("fp", "group", F.explode(F.array(*keys)).alias("key"))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Edges ``(u, v)`` over the distinct fingerprints ``fps(fp)`` whose components are those of all links.
 
@@ -100,38 +151,43 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
         raise ValueError("two segments with one deletion find pairs up to three bits apart")
     segments = materialize(_segments(fps), "segments")
     crowded = segments.groupBy("seg", "value").count().where(F.col("count") > hot).select("seg", "value")
-    crowd = materialize(segments.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct(), "crowd")
+    crowded = materialize(crowded, "crowded")
+    packed = not is_empty(crowded)
     stars = None
-    grouped = segments.withColumn("group", F.col("fp"))
-    if radius >= 2 and not is_empty(crowd):
-        stars = materialize(_stars(crowd), "stars")
-        roots = materialize(connected_components(stars), "roots")
-        grouped = materialize(
-            segments.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    rows = segments.withColumn("group", F.col("fp"))
+    if packed:
+        if radius >= 2:
+            crowd = materialize(segments.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct(), "crowd")
+            stars = materialize(_stars(crowd), "stars")
+            roots = materialize(connected_components(stars), "roots")
+            rows = segments.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
                 "fp", "seg", "value", F.coalesce("root", "fp").alias("group")
-            ),
-            "grouped",
-        )
-    key = F.col("seg") * (1 << 40)
-    same = grouped.select("fp", "group", (key + F.col("value")).alias("key"))
-    a, b = same.alias("a"), same.alias("b")
-    near = lambda: (_apart(F.col("a.fp"), F.col("b.fp")) <= radius) & (F.col("a.group") != F.col("b.group"))
-    equal = a.join(
-        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near()
-    ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(31)))
-    wild = grouped.select("*", bit.alias("bit")).withColumn("mask", F.expr("shiftleft(1L, bit)"))
-    is_set = F.col("value").bitwiseAND(F.col("mask")) != 0
-    key = key + (F.col("bit") + 1).cast("long") * (1 << 33)
-    clear = wild.where(~is_set).select("fp", "group", (key + F.col("value")).alias("key")).alias("a")
-    with_bit = wild.where(is_set).select("fp", "group", (key + F.col("value") - F.col("mask")).alias("key")).alias("b")
-    deleted = clear.join(with_bit, (F.col("a.key") == F.col("b.key")) & near()).select(
-        F.col("a.fp").alias("u"), F.col("b.fp").alias("v")
-    )
-    found = equal.unionByName(deleted)
-    if stars is not None:
-        found = found.unionByName(stars)
-    return materialize(found.distinct(), "links")
+            )
+        marked = crowded.withColumn("full", F.lit(True))
+        rows = rows.join(marked, ["seg", "value"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+        rows = materialize(rows, "grouped")
+    # Two crowded segments meet by further keys, so that no key holds a crowd on both sides.
+    whole = rows.withColumn("key", F.col("seg") * (1 << 40) + F.col("value"))
+    clear, filled = _deleted(rows, 0), _deleted(rows, 1)
+    plain = lambda df, full=False: (df.where(F.col("full") == full) if packed else df).select("fp", "group", "key")
+    found = [_met(plain(whole), plain(whole), radius, True)]
+    if not packed:
+        found.append(_met(plain(clear), plain(filled), radius, False))
+    else:
+        every = filled.select("fp", "group", "key")
+        found.append(_met(plain(clear), every, radius, False))
+        found.append(_met(plain(clear, True), plain(filled), radius, False))
+        dense, lack, have = (df.where("full") for df in (whole, clear, filled))
+        found.append(_met(_wild_halves(dense, 0), _wild_halves(dense, 1), radius, False))
+        found.append(_met(_thirds(lack), _thirds(have), radius, False))
+        if stars is not None:
+            found.append(stars)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = materialize(out.distinct(), "links")
+    discard(segments)
+    return out
 
 
 def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -159,9 +215,15 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS
     group; exact copies are exact_dedup's matter.
     """
     groups = near_duplicate_groups(docs, words_per_shingle, radius)
+    return without_losers(docs, groups)
+
+
+def without_losers(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` without the doc_ids that are never the component_id of ``groups(doc_id, component_id)``."""
+    (gone_id,) = fresh_names(docs, "gone_id")
     gone = materialize(
         groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-        .where("not stays").select(F.col("doc_id").alias("_gone_id")),
+        .where("not stays").select(F.col("doc_id").alias(gone_id)),
         "gone",
     )
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
