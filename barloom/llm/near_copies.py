@@ -7,7 +7,10 @@ Jaccard similarity. What ``simhash`` links (three-word shingles, three bits) sta
 
 These links contract first; then members of bands that more than ``HOT`` sets share are verified against one of
 them. The candidates then leave out pairs whose ends are in one component already, so that a group of copies isn't
-expanded into all its pairs. Pairs across components are all verified.
+expanded into all its pairs, and pairs that a sketch rules out. The sketch is the parity of a set's hashes by slot:
+each shingle that only one of two sets has flips one of ``SLOTS`` bits, so the bits that differ are at most as many
+as such shingles, and the bound is exact: no pair at 0.8 is lost. It tells sets of up to about 1,500 shingles apart;
+pairs of longer ones are verified without it.
 
 Defined cases: a null or wordless text has the empty set and is a copy of the others; fewer words than a shingle
 make one shingle; letters A-Z alone are folded; rows with a null doc_id stay and are never the smallest; an
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, is_empty, materialize
-from .simhash import HOT, SEED, links, text_fingerprint
+from .simhash import HOT, SEED, links, text_fingerprint, without_losers
 
-SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, ROUNDS = 5, (4, 5), 32, 6, 3
+SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, ROUNDS, SLOTS = 5, (4, 5), 32, 6, 3, 1024
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), "u8")
 _TIMES, _MASK = _DRAWN[0] | np.uint64(1), _DRAWN[1]
@@ -68,6 +71,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view("i8")
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the hashes in each of ``SLOTS`` slots, as longs."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype("i8") % SLOTS, minlength=SLOTS) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of distinct hashes reach the similarity; two empty sets do."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -75,34 +84,45 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, fp, node, n, bands)``: fingerprint, hash of the shingle set, its size and band keys."""
+    """``(doc_id, text, fp, node, n, bands, sketch)``: node is the hash of the shingle set, n its size."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fps, nodes, sizes, bands = [], [], [], []
+            fps, nodes, sizes, bands, sketches = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py())
                 fps.append(text_fingerprint(text.as_py()))
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
                 bands.append(band_keys(hashes))
-            offsets = np.cumsum([0, *map(len, bands)])
-            values = np.concatenate(bands) if bands else np.zeros(0, "i8")
+                sketches.append(sketch(hashes))
+            lists = [
+                pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, "i8"))
+                )
+                for x in (bands, sketches)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.array(fps, "u8").view("i8")),
-                 pa.array(np.array(nodes, "u8").view("i8")), pa.array(sizes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
-                ["doc_id", "text", "fp", "node", "n", "bands"],
+                 pa.array(np.array(nodes, "u8").view("i8")), pa.array(sizes, pa.int64()), *lists],
+                ["doc_id", "text", "fp", "node", "n", "bands", "sketch"],
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), "text")
-    return chosen.mapInArrow(signed, "doc_id long, text string, fp long, node long, n long, bands array<long>")
+    return chosen.mapInArrow(
+        signed, "doc_id long, text string, fp long, node long, n long, bands array<long>, sketch array<long>"
+    )
+
 
+def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)``: one text for each of ``nodes(node)``."""
+    return rows.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidates ``pairs(u, v)`` that reach the similarity, by the texts ``(node, text)``."""
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The candidates ``pairs(u, v)`` that reach the similarity, by the texts of ``rows(node, text)``."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, "u8")
@@ -114,56 +134,71 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good.append(similar(shingle_hashes(a.as_py()), held))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = materialize(_texts(rows, ends), "texts")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
     # The side with the hub of a star is v: rows are sorted by it last, so its shingles are made once.
     joined = pairs.join(a, "u").join(b.hint("merge"), "v").select("u", "v", "text_u", "text_v")
-    return joined.mapInArrow(checked, "u long, v long")
+    out = materialize(joined.mapInArrow(checked, "u long, v long"), "verified")
+    discard(texts)
+    return out
 
 
-def _sized(n: str, m: str):
-    """Sets whose sizes alone don't rule the similarity out."""
+def _possible(n: str, m: str, a: str, b: str):
+    """Sets that neither their sizes ``n`` and ``m`` nor their sketches ``a`` and ``b`` keep from the similarity."""
     least, most = F.least(n, m), F.greatest(n, m)
-    return least * SIMILARITY[1] >= most * SIMILARITY[0]
+    differ = F.lit(0)
+    for i in range(SLOTS // 64):
+        differ = differ + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    # At least 4/5 alike: at most a ninth of both sets' elements is in one of them only.
+    share = SIMILARITY[1] - SIMILARITY[0], SIMILARITY[1] + SIMILARITY[0]
+    return (least * SIMILARITY[1] >= most * SIMILARITY[0]) & (differ * share[1] <= (F.col(n) + F.col(m)) * share[0])
 
 
-def similar_links(sets: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
-    """Edges ``(u, v)`` over ``sets(node, n, bands, text)``: with the edges ``known``, the components of all candidates.
+def similar_links(sets: DataFrame, rows: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
+    """Edges ``(u, v)`` over ``sets(node, n, bands, sketch)``: with the edges ``known``, the components of all candidates.
 
-    Pairs that ``known`` connects already aren't verified again.
+    ``rows(node, text)`` have the texts. Pairs that ``known`` connects already aren't verified again.
     """
-    texts = sets.select("node", "text")
-    banded = sets.select("node", "n", F.explode("bands").alias("band"))
+    banded = sets.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    rows = materialize(banded.join(shared, "band"), "bands")
-    crowd = rows.where(F.col("size") > hot)
+    members = materialize(banded.join(shared, "band"), "bands")
+    facts = sets.select("node", "n", "sketch")
+    crowd = members.where(F.col("size") > hot)
     edges, roots = known, materialize(connected_components(known), "roots")
     for number in range(ROUNDS if not is_empty(crowd) else 0):
         # Each round verifies the members of a crowded band against another one of them.
-        centre = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(number))).alias("c")
-        stars = crowd.join(crowd.groupBy("band").agg(centre), "band").where(F.col("node") != F.col("c.node"))
-        pairs = stars.where(_sized("n", "c.n")).select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
+        centre = F.min_by("node", F.xxhash64("node", F.lit(number))).alias("v")
+        stars = crowd.join(crowd.groupBy("band").agg(centre), "band").where(F.col("node") != F.col("v"))
+        pairs = stars.select(F.col("node").alias("u"), "v").distinct()
         for end in "uv":
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            own = facts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+            pairs = pairs.join(own, end)
         apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
         # One centre a member and round: its bands mostly name the same group.
-        pairs = pairs.where(apart).groupBy("u").agg(F.min("v").alias("v"))
-        found = materialize(_verified(pairs, texts), "stars")
+        pairs = pairs.where(apart & _possible("n_u", "n_v", "sketch_u", "sketch_v")).groupBy("u").agg(F.min("v").alias("v"))
+        pairs = materialize(pairs, "star-pairs")
+        found = _verified(pairs, rows)
         if is_empty(found):
             break
         edges = edges.unionByName(found)
         roots = materialize(connected_components(edges), "roots")
-    rows = rows.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    rows = materialize(rows, "grouped")
-    split = rows.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    rows = rows.join(split.select("band"), "band", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
+    grouped = members.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("group"))
+    grouped = materialize(grouped, "grouped")
+    split = grouped.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    facing = materialize(grouped.join(split.select("band"), "band", "left_semi").join(facts, "node"), "facing")
+    a, b = facing.alias("a"), facing.alias("b")
     pairs = a.join(
         b,
         (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node"))
-        & (F.col("a.group") != F.col("b.group")) & _sized("a.n", "b.n"),
+        & (F.col("a.group") != F.col("b.group")) & _possible("a.n", "b.n", "a.sketch", "b.sketch"),
     ).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    found = _verified(materialize(pairs, "candidates"), texts)
-    return materialize(found.unionByName(edges), "similar")
+    pairs = materialize(pairs, "candidates")
+    out = materialize(_verified(pairs, rows).unionByName(edges), "similar")
+    for done in (members, grouped, facing, pairs):
+        discard(done)
+    return out
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -172,7 +207,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     sets = materialize(
         rows.groupBy("node").agg(
             F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("text").alias("text"),
+            F.first("sketch").alias("sketch"),
         ),
         "sets",
     )
@@ -183,7 +218,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     for end in "uv":
         near = near.withColumnRenamed(end, "fp").join(named, "fp").drop("fp").withColumnRenamed("node", end)
     known = near.select("u", "v").unionByName(same.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    edges = similar_links(sets, materialize(known, "known"))
+    edges = similar_links(sets, rows, materialize(known, "known"))
     roots = materialize(connected_components(edges), "components")
     rooted = materialize(
         sets.select("node", "first_id").join(roots, "node", "left")
@@ -193,8 +228,8 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = materialize(rooted.join(least, "root").select("node", "component_id"), "ids")
     out = materialize(rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id"), "groups")
-    discard(rows)
-    discard(sets)
+    for done in (rows, sets, prints):
+        discard(done)
     return out
 
 
@@ -204,9 +239,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay. Rows that repeat a staying doc_id stay as well if their texts are in one
     group; exact copies are exact_dedup's matter.
     """
-    gone = materialize(
-        near_copy_groups(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-        .where("not stays").select(F.col("doc_id").alias("_gone_id")),
-        "gone",
-    )
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    return without_losers(docs, near_copy_groups(docs))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,3 +58,14 @@ def test_edited_copies(spark, monkeypatch, hot):
     assert sorted(i for i in got if i is not None) == kept_by_force(texts)
     assert got.count(None) == 1
     assert near_copies.drop_near_copies(docs.where("false")).count() == 0
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (5, 150, 2000):
+        for gone in (0, 1, 7, size // 3):
+            a = rng.integers(0, 1 << 63, size, "u8")
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone, "u8")])
+            x, y = (near_copies.sketch(s).view("u8") for s in (a, b))
+            differ = int(np.bitwise_count(x ^ y).sum())
+            assert differ <= 2 * gone and (size > 150 or gone > 7 or differ >= 2 * gone - 4)
