@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from .basket import BasketConfig, align, replay_basket
 from .indicators import by_symbol
 from .metrics import equity_stats, run_metrics
@@ -80,17 +81,14 @@ def decide_all(frame: DataFrame, name: str, combos: list[dict]) -> DataFrame:
     return wide.select(*frame.columns, F.explode(F.array(*alternatives)).alias("_alt")).select(*frame.columns, "_alt.*")
 
 
-def _scored(frame: DataFrame, name: str, combos: list[dict], cfg: ReplayConfig, keys: tuple[str, ...], only: DataFrame | None = None) -> DataFrame:
-    """Metrics of every combination over every run of ``frame``, or of the (keys, combo) in ``only``."""
-    decided = decide_all(frame, name, combos)
-    if only is not None:
-        decided = decided.join(only, [*keys], "left_semi")
+def _scored(decided: DataFrame, cfg: ReplayConfig, keys: tuple[str, ...]) -> DataFrame:
+    """Measures of every run of a frame with decisions."""
     run = tuple(k for k in keys if k != "symbol")
-    events = replay(decided, _Decided(), cfg, run)
+    events = replay(decided, Decided(), cfg, run)
     return run_metrics(equity_curve(events, run), fills(events, run), cfg.initial_capital, (*run, "symbol"))
 
 
-class _Decided:
+class Decided:
     """A frame that has its signals already."""
 
     def apply(self, frame: DataFrame) -> DataFrame:
@@ -99,7 +97,7 @@ class _Decided:
 
 def run_sweep(frame: DataFrame, name: str, grid: dict[str, list], cfg: ReplayConfig | None = None) -> DataFrame:
     """Every combination once over each symbol's whole frame."""
-    return _scored(frame, name, expand_grid(grid), cfg or ReplayConfig(), ("combo", "symbol"))
+    return _scored(decide_all(frame, name, expand_grid(grid)), cfg or ReplayConfig(), ("combo", "symbol"))
 
 
 def best_combination(scored: DataFrame, objective: str = "sharpe", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -115,21 +113,26 @@ def walk_forward(frame: DataFrame, name: str, grid: dict[str, list], splits: Dat
     """For each symbol and split the combination chosen in sample and its out-of-sample score beside buy and hold's."""
     cfg, combos = cfg or ReplayConfig(), expand_grid(grid)
     indexed = frame.withColumn("bar_idx", F.row_number().over(by_symbol()) - 1)
-    placed = indexed.join(F.broadcast(splits) if _few(splits) else splits, "symbol")
-    train = placed.where("bar_idx >= train_start and bar_idx < train_end")
-    test = placed.where("bar_idx >= train_end and bar_idx < test_end")
-    keys = ("split", "combo", "symbol")
-    chosen = best_combination(_scored(train, name, combos, cfg, keys), objective, ("symbol", "split"))
-    chosen = chosen.persist()  # a row per symbol and split, used below and in the result
-    picked = chosen.select("symbol", "split", "combo")
-    out = _scored(test, name, combos, cfg, keys, picked).select(
-        "symbol", "split", F.col(objective).alias("out_sample"), F.col("total_return_pct").alias("out_sample_return"),
+    splits = splits.select("symbol", "split", "train_start", "train_end", "test_end")
+    placed = indexed.join(F.broadcast(splits) if _few(splits) else splits, "symbol").where(
+        "bar_idx >= train_start and bar_idx < test_end"
+    ).withColumn("tested", F.col("bar_idx") >= F.col("train_end"))
+    placed = written(placed.select(*frame.columns, "split", "tested"), "placed")
+    # One replay stage: all combinations in and out of sample, and buy and hold (combination -1) out of sample.
+    decided = decide_all(placed, name, combos)
+    held = BuyAndHold().apply(placed.where("tested")).withColumn("combo", F.lit(-1))
+    decided = decided.unionByName(held, allowMissingColumns=True)
+    measured = _scored(decided, cfg, ("tested", "split", "combo", "symbol"))
+    measured = written(measured.select("tested", "split", "combo", "symbol", objective, "total_return_pct", "num_trades"), "measured")
+    chosen = best_combination(measured.where("not tested"), objective, ("symbol", "split"))
+    out = measured.where("tested").select(
+        "symbol", "split", "combo", F.col(objective).alias("out_sample"), F.col("total_return_pct").alias("out_sample_return"),
         "num_trades",
     )
-    held = replay(BuyAndHold().apply(test), _Decided(), cfg, ("split",))
-    base = run_metrics(equity_curve(held, ("split",)), fills(held, ("split",)), cfg.initial_capital, ("split", "symbol"))
-    base = base.select("symbol", "split", F.col(objective).alias("baseline"), F.col("total_return_pct").alias("baseline_return"))
-    return chosen.join(out, ["symbol", "split"]).join(base, ["symbol", "split"]).withColumn(
+    base = measured.where("combo = -1").select(
+        "symbol", "split", F.col(objective).alias("baseline"), F.col("total_return_pct").alias("baseline_return")
+    )
+    return chosen.join(out, ["symbol", "split", "combo"]).join(base, ["symbol", "split"]).withColumn(
         "beats", F.col("out_sample_return") > F.col("baseline_return")
     )
 
@@ -145,7 +148,7 @@ def basket_sweep(frame: DataFrame, name: str, grid: dict[str, list], cfg: Basket
     """
     cfg, combos = cfg or BasketConfig(), expand_grid(grid)
     decided = decide_all(frame, name, combos)
-    shared = replay_basket(decided, _Decided(), cfg, ("combo",))
+    shared = replay_basket(decided, Decided(), cfg, ("combo",))
     curve = shared.where("kind = 'equity'").select("combo", "ts", "equity", "position_value")
     aligned = align(decided, ("combo",))
     count = aligned.select("symbol").distinct().count()
@@ -153,7 +156,7 @@ def basket_sweep(frame: DataFrame, name: str, grid: dict[str, list], cfg: Basket
         cfg.initial_capital / max(1, count), cfg.fee_bps, cfg.slippage_bps, cfg.max_position_pct, cfg.target_vol, cfg.vol_lookback,
         cfg.stop_loss_pct, cfg.take_profit_pct, cfg.max_drawdown_cutoff_pct,
     )
-    parts = equity_curve(replay(aligned, _Decided(), alone, ("combo",)), ("combo",))
+    parts = equity_curve(replay(aligned, Decided(), alone, ("combo",)), ("combo",))
     summed = parts.groupBy("combo", "ts").agg(F.sum("equity").alias("equity"), F.sum("position_value").alias("position_value"))
     both = curve.withColumn("arm", F.lit("basket")).unionByName(summed.withColumn("arm", F.lit("control")))
     return equity_stats(both, cfg.initial_capital, ("arm", "combo"))

@@ -9,8 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -19,12 +23,14 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, written
 from ..sources.tables import model_id
 from .evaluation import time_folds
 from .features import FEATURES
 from .metrics import roc_auc_and_brier
 
 FEATURE_VERSION = "v1"
+LOGISTIC_ITERATIONS, PARALLEL_SPLITS = 1000, 8
 
 
 class TrainingError(ValueError):
@@ -35,13 +41,26 @@ class VersionError(ValueError):
     """A model of other features than these."""
 
 
+#: Trees where there is no watch fold to stop the boosting early.
+UNWATCHED_TREES = 100
+
+
 @dataclass(frozen=True)
 class TrainingConfig:
+    """``estimator`` makes another learner than the boosted trees; it is fitted without weights.
+
+    ``calibration`` is isotonic, sigmoid or none. With ``stop_early`` the calibration fold is the watch set:
+    boosting ends when its loss no longer falls by ``stop_tolerance``.
+    """
+
     horizon: int = 5
     fractions: tuple[float, float, float] = (0.6, 0.2, 0.2)
     trees: int = 30
     depth: int = 4
     rate: float = 0.1
+    calibration: str = "isotonic"
+    stop_early: bool = True
+    stop_tolerance: float = 1e-4
     min_calibration: int = 10
     cost_bps: float = 10.0
     enter_lo: float = 0.5
@@ -49,7 +68,12 @@ class TrainingConfig:
     enter_step: float = 0.02
     min_selected: int = 20
     hysteresis: float = 0.05
-    seed: int = 0
+    seed: int = 42
+    estimator: Callable[[TrainingConfig, int], list] | None = None
+
+    def __post_init__(self) -> None:
+        if self.calibration not in ("isotonic", "sigmoid", "none"):
+            raise TrainingError(f"unknown calibration: {self.calibration}")
 
 
 @dataclass
@@ -72,7 +96,9 @@ class TrainedModel:
         raw = raw.withColumn("_p", vector_to_array("probability")[1])
         if self.calibration is not None:
             raw = self.calibration.transform(raw)
-        p = F.col("_calibrated") if self.calibration is not None else F.col("_p")
+        p = F.col("_p")
+        if self.calibration is not None:
+            p = vector_to_array("_sigmoid")[1] if "_sigmoid" in raw.columns else F.col("_calibrated")
         out = raw.withColumn(column, F.when(F.col("_ready"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
         own = [F.col(f"_own_{c}").alias(c) if c in self.metadata["features"] else F.col(c) for c in rows.columns]
         return out.select(*own, column)
@@ -82,31 +108,76 @@ class TrainedModel:
         return model_id(self.metadata)
 
 
+def boosted_trees(cfg: TrainingConfig, watched: bool) -> GBTClassifier:
+    early = {"validationIndicatorCol": "_watch", "validationTol": cfg.stop_tolerance} if watched and cfg.stop_early else {}
+    return GBTClassifier(
+        featuresCol="_features", labelCol="label", weightCol="weight", maxDepth=cfg.depth, stepSize=cfg.rate, seed=cfg.seed,
+        maxIter=cfg.trees if early or not cfg.stop_early else min(cfg.trees, UNWATCHED_TREES), **early,
+    )
+
+
+def logistic_stages(cfg: TrainingConfig, n: int) -> list:
+    """Stages of a scaled logistic regression for ``n`` rows: the simplest learner to beat. Penalty one over n."""
+    return [
+        StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True),
+        LogisticRegression(
+            featuresCol="_scaled", labelCol="label", regParam=1 / max(1, n), maxIter=LOGISTIC_ITERATIONS, standardization=False
+        ),
+    ]
+
+
+def _calibration(kind: str, fold: DataFrame):
+    """A fitted map from ``_p`` to ``_calibrated``; rows count alike."""
+    if kind == "isotonic":
+        return IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(fold)
+    stages = [
+        VectorAssembler(inputCols=["_p"], outputCol="_score"),
+        LogisticRegression(
+            featuresCol="_score", labelCol="label", maxIter=LOGISTIC_ITERATIONS, rawPredictionCol="_margin",
+            probabilityCol="_sigmoid", predictionCol="_side",
+        ),
+    ]
+    return Pipeline(stages=stages).fit(fold)
+
+
+def train_until(panel: DataFrame, train_end: date | str | None = None) -> DataFrame:
+    """Panel rows decided on the day ``train_end`` or before it; all without one."""
+    if train_end is None:
+        return panel
+    kept = panel.where(F.col("decision_ts") < F.date_add(F.lit(str(train_end)).cast("date"), 1))
+    if not kept.take(1):
+        raise TrainingError(f"no panel rows until {train_end}")
+    return kept
+
+
 def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: list[str] | None = None) -> TrainedModel:
     """Fit, calibrate and choose thresholds on three folds by date, each purged against the next."""
     cfg, features = cfg or TrainingConfig(), features or FEATURES
-    folds = time_folds(panel, cfg.fractions).cache()
+    folds = time_folds(panel, cfg.fractions).withColumn("_watch", F.col("fold") == 1).cache()
     try:
         sizes = {r["fold"]: r for r in folds.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes"), F.max("decision_ts").alias("last")).collect()}
         if 0 not in sizes or sizes[0]["classes"] < 2:
             raise TrainingError("the fit fold has one class only")
+        two_sided = 1 in sizes and sizes[1]["classes"] == 2
         vector = VectorAssembler(inputCols=features, outputCol="_features")
-        trees = GBTClassifier(
-            featuresCol="_features", labelCol="label", weightCol="weight", maxIter=cfg.trees, maxDepth=cfg.depth,
-            stepSize=cfg.rate, seed=cfg.seed,
-        )
-        pipeline = Pipeline(stages=[vector, trees]).fit(folds.where("fold = 0"))
+        if cfg.estimator:
+            pipeline = Pipeline(stages=[vector, *cfg.estimator(cfg, sizes[0]["n"])]).fit(folds.where("fold = 0"))
+        else:
+            watched = folds.where("fold <= 1" if two_sided and cfg.stop_early else "fold = 0")
+            pipeline = Pipeline(stages=[vector, boosted_trees(cfg, two_sided)]).fit(watched)
         calibration = None
-        later = pipeline.transform(folds.where("fold > 0")).withColumn("_p", vector_to_array("probability")[1])
-        if 1 in sizes and sizes[1]["n"] >= cfg.min_calibration and sizes[1]["classes"] == 2:
-            calibration = IsotonicRegression(
-                featuresCol="_p", labelCol="label", weightCol="weight", predictionCol="_calibrated"
-            ).fit(later.where("fold = 1"))
+        if cfg.calibration != "none" and two_sided and sizes[1]["n"] >= cfg.min_calibration:
+            later = pipeline.transform(folds.where("fold = 1")).withColumn("_p", vector_to_array("probability")[1])
+            calibration = _calibration(cfg.calibration, later.select("_p", "label"))
+        learned = pipeline.stages[-1]
+        described = learned.toDebugString if hasattr(learned, "toDebugString") else str(learned.coefficients)
+        settings = asdict(cfg) | {"estimator": getattr(cfg.estimator, "__name__", None)}
         meta = {
-            "features": features, "feature_version": FEATURE_VERSION, "config": asdict(cfg),
+            "features": features, "feature_version": FEATURE_VERSION, "config": settings,
             "n": {str(k): v["n"] for k, v in sorted(sizes.items())},
-            "train_end": str(max(v["last"] for v in sizes.values())), "calibrated": calibration is not None,
-            "trees_sha256": hashlib.sha256(pipeline.stages[-1].toDebugString.encode()).hexdigest(),
+            "train_end": str(max(v["last"] for v in sizes.values())),
+            "calibrated": cfg.calibration if calibration is not None else None,
+            "learned_sha256": hashlib.sha256(described.encode()).hexdigest(),
         }
         model = TrainedModel(pipeline, calibration, cfg.enter_lo, max(0.0, cfg.enter_lo - cfg.hysteresis), meta)
         scored = model.score(folds.where("fold = 2")).withColumnRenamed("p_up", "p")
@@ -143,13 +214,9 @@ def select_threshold(scored: DataFrame, cfg: TrainingConfig) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, features: list[str] | None = None) -> PipelineModel:
-    """A scaled logistic regression, the simplest learner to beat."""
-    stages = [
-        VectorAssembler(inputCols=features or FEATURES, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
-        LogisticRegression(featuresCol="_features", labelCol="label", regParam=1e-3, maxIter=100),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    """A scaled logistic regression on all rows of ``train``."""
+    vector = VectorAssembler(inputCols=features or FEATURES, outputCol="_features")
+    return Pipeline(stages=[vector, *logistic_stages(TrainingConfig(), train.count())]).fit(train)
 
 
 def logistic_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -161,18 +228,45 @@ def logistic_floor(train: DataFrame, test: DataFrame, features: list[str] | None
     return logistic_scores(fit_logistic(train, features), test)
 
 
-def walk_forward_scores(rows: DataFrame, splits: list[int], cfg: TrainingConfig | None = None, features: list[str] | None = None) -> DataFrame:
-    """Out-of-sample probabilities of a model trained for each split of purged rows (split, role, panel columns).
+def each_split(splits: list[int], train: Callable[[int], None]) -> list[tuple[int, str]]:
+    """Run ``train`` for each split, a few at a time; the splits that can't be trained, and why.
 
-    The loop is over splits, a handful: each trains one distributed model.
+    Every split trains distributed models, so the threads only keep the cluster busy between small jobs.
     """
-    out = None
-    for split in splits:
+    def one(split: int) -> tuple[int, str] | None:
+        try:
+            train(split)
+        except TrainingError as e:
+            return split, str(e)
+        return None
+
+    with ThreadPoolExecutor(PARALLEL_SPLITS) as pool:
+        return [x for x in pool.map(inheritable_thread_target(SparkSession.active())(one), splits) if x]
+
+
+def walk_forward_scores(rows: DataFrame, cfg: TrainingConfig | None = None, features: list[str] | None = None) -> DataFrame:
+    """Out-of-sample probabilities ``p`` of a model trained for each split of purged rows (split, role, panel columns).
+
+    Splits that can't be trained have no rows.
+    """
+    spark = rows.sparkSession
+    rows = written(rows, "purged", "split")
+    folder = shared_folder(spark, "scores")
+    splits = sorted(r["split"] for r in rows.select("split").distinct().collect())
+    schema = None
+
+    def train(split: int) -> None:
+        nonlocal schema
         own = rows.where(F.col("split") == split)
         model = train_model(own.where("role = 'train'"), cfg, features)
         scored = model.score(own.where("role = 'test'"), "p").withColumns({"enter": F.lit(model.enter), "leave": F.lit(model.leave)})
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        scored.write.parquet(f"{folder}/part={split}")
+        schema = scored.schema
+
+    skipped = each_split(splits, train)
+    if schema is None:
+        raise TrainingError("no split could be trained: " + "; ".join(why for _, why in skipped))
+    return spark.read.schema(schema).parquet(f"{folder}/part=*")
 
 
 def diagnostics(scored: DataFrame) -> DataFrame:
@@ -195,7 +289,9 @@ def load_model(spark: SparkSession, folder: str, model_id: str) -> TrainedModel:
     own = f"{folder}/{model_id}"
     meta = json.loads(spark.read.text(f"{own}/metadata").first()["value"])
     check_version(meta)
-    calibration = IsotonicRegressionModel.load(f"{own}/calibration") if meta["calibrated"] else None
+    kinds = {"isotonic": IsotonicRegressionModel, "sigmoid": PipelineModel, None: None}
+    kind = kinds[meta["calibrated"]]
+    calibration = kind.load(f"{own}/calibration") if kind else None
     return TrainedModel(PipelineModel.load(f"{own}/pipeline"), calibration, meta["enter"], meta["leave"], meta)
 
 
@@ -212,6 +308,6 @@ def check_version(metadata: dict, version: str = FEATURE_VERSION) -> None:
         raise VersionError(f"the model has features {metadata.get('feature_version')}, this code {version}")
 
 
-def default_trials(thresholds: int = 11, blocks: int = 16, max_leaves: int = 16, calibrations: int = 2, horizons: int = 3) -> int:
+def default_trials(thresholds: int = 11, switches: int = 16, learner_settings: int = 16, horizons: int = 2, dead_bands: int = 3) -> int:
     """How many configurations a search is taken to have tried."""
-    return thresholds * blocks * max_leaves * calibrations * horizons
+    return thresholds * switches * learner_settings * horizons * dead_bands

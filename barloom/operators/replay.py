@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from .indicators import add_sizing
 from .strategies import Classifier, RandomLongFlat
 
-FORCED = "Force-close open position on final bar."
+FORCED = "Last bar: closing what is held."
 EVENT_COLUMNS = (
     "kind string, seq int, ts timestamp_ntz, equity double, cash double, position_value double, side string, "
     "price double, quantity double, gross_value double, fee double, slippage double, position_after double, reason string"
 )
+#: Decision columns that go to the fold where a strategy has them.
+INPUTS = ("signal", "reason", "adverse", "score", "enter", "leave")
 EQUITY = ["ts", "equity", "cash", "position_value"]
 FILL = ["seq", "ts", "side", "price", "quantity", "gross_value", "fee", "slippage", "cash", "position_after", "equity", "reason"]
 
@@ -60,7 +62,10 @@ class Decider:
 
 class ScoreDecider(Decider):
     def __init__(self, cols, strategy: Classifier, seed_shift: int = 0):
-        self.score, self.s, self.held = cols["score"], strategy, 0
+        self.score, self.held = cols["score"], 0
+        # Thresholds may come with the run, a constant column each.
+        first = lambda name, default: float(cols[name][0]) if name in cols and len(cols[name]) else default
+        self.enter, self.leave, self.min_hold = first("enter", strategy.enter), first("leave", strategy.leave), strategy.min_hold
 
     def __call__(self, i, is_open):
         self.held = self.held + 1 if is_open else 0
@@ -68,9 +73,9 @@ class ScoreDecider(Decider):
         if p is None or p != p:
             return 0, "No score; holding."
         if not is_open:
-            return (1, f"p={p:.3f} reached {self.s.enter:g}") if p >= self.s.enter else (0, "")
-        if self.held >= self.s.min_hold and p < self.s.leave:
-            return -1, f"p={p:.3f} below {self.s.leave:g}"
+            return (1, f"p={p:.3f} reached {self.enter:g}") if p >= self.enter else (0, "")
+        if self.held >= self.min_hold and p < self.leave:
+            return -1, f"p={p:.3f} below {self.leave:g}"
         return 0, ""
 
 
@@ -168,7 +173,7 @@ def as_events(parts: list[pd.DataFrame], *more: str) -> pd.DataFrame:
 
 def replay_group(pdf: pd.DataFrame, strategy, cfg: ReplayConfig, seed_shift: int = 0) -> pd.DataFrame:
     pdf = pdf.sort_values("ts", ignore_index=True)
-    cols = {c: pdf[c].to_numpy() for c in ("signal", "reason", "adverse", "score") if c in pdf.columns}
+    cols = {c: pdf[c].to_numpy() for c in INPUTS if c in pdf.columns}
     curve, fills, halted, halt_ts = fold(
         pdf["ts"].tolist(), pdf["open"].to_numpy("f8"), pdf["close"].to_numpy("f8"), pdf["fraction"].to_numpy("f8"),
         decider_for(strategy)(cols, strategy, seed_shift), cfg,
@@ -196,7 +201,7 @@ def replay(frame: DataFrame, strategy, cfg: ReplayConfig | None = None, run_cols
     else:
         over = W.partitionBy(*keys).orderBy("ts")
         sized = add_sizing(decided, cfg.target_vol, cfg.vol_lookback, cfg.max_position_pct, over)
-    keep = [*keys, "ts", "open", "close", "fraction", *[c for c in ("signal", "reason", "adverse", "score") if c in sized.columns]]
+    keep = [*keys, "ts", "open", "close", "fraction", *[c for c in INPUTS if c in sized.columns]]
     types = {f.name: f.dataType.simpleString() for f in sized.schema}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

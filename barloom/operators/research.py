@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, written
 from ..functions.stats import expected_max_column, moments, psr_column
 from .basket import BasketConfig, replay_basket
-from .evaluation import generate_splits, purged_split_rows, time_folds
+from .evaluation import Decided, generate_splits, purged_split_rows
 from .features import FEATURES, date_positions, panel
-from .learning import TrainingConfig, TrainingError, default_trials, fit_logistic, logistic_scores, select_threshold, train_model
+from .learning import TrainingConfig, TrainingError, default_trials, each_split, logistic_stages, train_model
 from .metrics import bar_returns, run_metrics, turnover
 from .replay import ReplayConfig, equity_curve, fills, monte_carlo, replay
 from .significance import ensemble_percentile, overfitting_probability, paired_test, verdict
@@ -69,73 +70,71 @@ def _oos(frame: DataFrame, windows: DataFrame) -> DataFrame:
     return frame.join(windows, (F.col("ts") >= F.col("first_ts")) & (F.col("ts") <= F.col("last_ts"))).drop("first_ts", "last_ts")
 
 
-def _logistic_arm(train: DataFrame, frame: DataFrame, cfg: TrainingConfig, features: list[str]) -> tuple[DataFrame, float, float]:
-    folds = time_folds(train, cfg.fractions).persist()
-    model = fit_logistic(folds.where("fold = 0"), features)
-    best = select_threshold(logistic_scores(model, folds.where("fold = 2")), cfg).first()
-    folds.unpersist()
-    enter = best["enter"] if best and best["enter"] is not None else cfg.enter_lo
-    ready = frame
-    for f in features:
-        ready = ready.where(F.col(f).isNotNull())
-    scored = logistic_scores(model, ready).select("symbol", "ts", F.col("p").alias("p_up"))
-    return frame.join(scored, ["symbol", "ts"], "left"), enter, max(0.0, enter - cfg.hysteresis)
-
-
 def _arms(featured: DataFrame, cfg: WalkForwardConfig, features: list[str], run):
-    """Panel, purged rows, test bars, events and skipped splits. Events of the model, logistic, rule and buy-and-hold arms of every split, by ``run(frame, strategy, run_cols)``."""
-    featured = featured.persist()
-    rows = panel(featured, cfg.training.horizon, features=features).persist()
+    """Purged rows, test bars, events and skipped splits of the model, logistic, rule and buy-and-hold arms.
+
+    ``run(frame, strategy, run_cols)`` replays. Each split's scores are written by themselves; then all arms of
+    all splits are replayed in two stages, one over scores and one over signals.
+    """
+    spark = featured.sparkSession
+    featured = written(featured, "featured")
+    rows = written(panel(featured, cfg.training.horizon, features=features), "panel")
     n = rows.select("decision_ts").distinct().count()
     splits = generate_splits(n, cfg.train_dates, cfg.test_dates, cfg.step_dates)
-    windows = _windows(rows, splits)
-    purged = purged_split_rows(rows, splits, cfg.training.horizon).persist()
-    tests = _oos(featured, windows)
-    events, skipped = None, []
-    for split in range(len(splits)):
-        train = purged.where((F.col("split") == split) & (F.col("role") == "train"))
+    if not splits:
+        raise TrainingError(f"{n} dates make no split")
+    purged = written(purged_split_rows(rows, splits, cfg.training.horizon), "purged", "split")
+    tests = written(_oos(featured, _windows(rows, splits)), "tests", "split")
+    folder = shared_folder(spark, "scores")
+    learners = {"model": cfg.training, "logistic": replace(cfg.training, estimator=logistic_stages)}
+
+    def train(split: int) -> None:
+        own = purged.where((F.col("split") == split) & (F.col("role") == "train"))
         frame = tests.where(F.col("split") == split)
-        try:
-            model = train_model(train, cfg.training, features)
-        except TrainingError as e:
-            skipped.append((split, str(e)))
-            continue
-        logistic, enter, leave = _logistic_arm(train, frame, cfg.training, features)
-        parts = [
-            run(model.score(frame).withColumn("arm", F.lit("model")), Classifier(model.enter, model.leave, cfg.min_hold), RUN),
-            run(logistic.withColumn("arm", F.lit("logistic")), Classifier(enter, leave, cfg.min_hold), RUN),
-        ]
-        for part in parts:
-            events = part if events is None else events.unionByName(part)
-    if events is None:
+        models = {arm: train_model(own, learner, features) for arm, learner in learners.items()}
+        for arm, model in models.items():
+            scored = model.score(frame).select(
+                "symbol", "ts", "p_up", F.lit(model.enter).alias("enter"), F.lit(model.leave).alias("leave")
+            )
+            scored.write.parquet(f"{folder}/split={split}/arm={arm}")
+
+    skipped = each_split(list(range(len(splits))), train)
+    if len(skipped) == len(splits):
         raise TrainingError("no split could be trained: " + "; ".join(why for _, why in skipped))
+    scores = spark.read.option("basePath", folder).schema(
+        "symbol string, ts timestamp_ntz, p_up double, enter double, leave double, split int, arm string"
+    ).parquet(f"{folder}/split=*")
     done = tests.where(~F.col("split").isin([s for s, _ in skipped])) if skipped else tests
-    events = events.unionByName(run(done.withColumn("arm", F.lit("rule")), TrendFollowing(), RUN))
-    events = events.unionByName(run(done.withColumn("arm", F.lit("buy_and_hold")), BuyAndHold(), RUN))
-    return rows, purged, done, events.persist(), skipped
+    keep = [c for c in ("symbol", "ts", "open", "high", "low", "close", "volume", "split") if c in done.columns]
+    scored = done.select(*keep).join(scores, ["split", "symbol", "ts"])
+    bars = done.select(*keep)
+    signals = TrendFollowing().apply(done).select(*keep, "signal", "reason").withColumn("arm", F.lit("rule"))
+    signals = signals.unionByName(BuyAndHold().apply(bars).withColumn("arm", F.lit("buy_and_hold")))
+    events = run(scored, Classifier(min_hold=cfg.min_hold), RUN).unionByName(run(signals, Decided(), RUN))
+    return purged, done, written(events, "events"), skipped
 
 
 def ml_walk_forward(featured: DataFrame, symbol: str, cfg: WalkForwardConfig | None = None, features: list[str] | None = None) -> WalkForwardResult:
     """Train on all symbols, replay ``symbol``: model, three baselines and random runs, then the verdict."""
     cfg, features = cfg or WalkForwardConfig(), features or FEATURES
     own = lambda frame, strategy, keys: replay(frame.where(F.col("symbol") == symbol), strategy, cfg.replay, keys)
-    rows, purged, tests, events, skipped = _arms(featured, cfg, features, own)
+    purged, tests, events, skipped = _arms(featured, cfg, features, own)
     keys = (*RUN, "symbol")
     curve, filled = equity_curve(events, RUN), fills(events, RUN)
     scores = run_metrics(curve, filled, cfg.replay.initial_capital, keys).join(turnover(filled, curve, keys), list(keys), "left")
-    scores = scores.persist()
+    scores = written(scores, "measures")
     exposure = scores.where("arm = 'model'").select("split", (F.col("exposure_pct") / 100).alias("p_long"))
     frames = tests.where(F.col("symbol") == symbol).join(exposure, "split")
-    random = monte_carlo(frames, cfg.runs, 0.5, cfg.min_hold, cfg.seed, cfg.replay, ("split",)).persist()
+    random = written(monte_carlo(frames, cfg.runs, 0.5, cfg.min_hold, cfg.seed, cfg.replay, ("split",)), "random")
     # Per bar: the arms, and a few random runs as further configurations.
-    bars = bar_returns(curve, keys).persist()
+    bars = written(bar_returns(curve, keys), "returns")
     sampled = equity_curve(random.where(F.col("run") < SAMPLED_RUNS), ("split", "run"))
     random_bars = bar_returns(sampled, ("split", "run", "symbol")).withColumn("arm", F.concat(F.lit("random-"), F.col("run").cast("string")))
     every = bars.unionByName(random_bars.drop("run"))
     performance = every.select(
         F.col("arm").alias("config"), (F.col("split").cast("long") * 1_000_000 + F.col("obs_idx")).alias("obs_idx"), "ret"
     )
-    pbo = overfitting_probability(performance, cfg.blocks)
+    pbo = written(overfitting_probability(written(performance, "performance"), cfg.blocks), "pbo")
     returns = lambda df: df.select("symbol", "split", F.col("total_return_pct").alias("return_pct"))
     ends = random.where("kind = 'equity'").groupBy("split", "run", "symbol").agg(F.max_by("equity", "ts").alias("e"))
     start = cfg.replay.initial_capital
@@ -143,7 +142,7 @@ def ml_walk_forward(featured: DataFrame, symbol: str, cfg: WalkForwardConfig | N
         ends.select("symbol", "split", "run", ((F.col("e") - start) / start * 100).alias("return_pct")),
         returns(scores.where("arm = 'model'")),
     )
-    judged = _judge(bars, scores, purged, pbo, mc, symbol, cfg)
+    judged = written(_judge(bars, scores, purged, pbo, written(mc, "percentile"), symbol, cfg), "judged")
     return WalkForwardResult(scores, bars, judged, skipped)
 
 
@@ -174,7 +173,7 @@ def basket_walk_forward(featured: DataFrame, cfg: WalkForwardConfig | None = Non
     """Measures of the model and its baselines over the basket, for each split and arm."""
     cfg, basket, features = cfg or WalkForwardConfig(), basket or BasketConfig(), features or FEATURES
     run = lambda frame, strategy, keys: replay_basket(frame, strategy, basket, keys)
-    _, _, _, events, _ = _arms(featured, cfg, features, run)
+    _, _, events, _ = _arms(featured, cfg, features, run)
     curve = events.where("kind = 'equity'").withColumn("symbol", F.lit("basket")).select(*RUN, "symbol", "ts", "equity", "cash", "position_value")
     filled = fills(events, RUN)
     return run_metrics(curve, filled.withColumn("symbol", F.lit("basket")).withColumn("seq", _sequence()), basket.initial_capital, (*RUN, "symbol")).drop("symbol")
@@ -200,9 +199,8 @@ def news_ablation(price_frame: DataFrame, news_frame: DataFrame, symbol: str, co
     base = cfg.trials or default_trials()
     price = ml_walk_forward(price_frame, symbol, cfg)
     news = ml_walk_forward(news_frame, symbol, replace(cfg, trials=base * configs_tried), FEATURES + (news_features or NEWS_FEATURES))
-    pairs = paired_bars(price.bars, news.bars).persist()
-    total = F.count("*").over(W.partitionBy())
-    drag = F.lit(cost_usd / cfg.replay.initial_capital) / total
+    pairs = written(paired_bars(price.bars, news.bars), "pairs")
+    drag = F.lit(cost_usd / cfg.replay.initial_capital / max(1, pairs.count()))
     order = (F.col("split").cast("long") * 1_000_000 + F.col("obs_idx")).alias("obs_idx")
     diffs = pairs.select(F.lit(symbol).alias("pair"), order, (F.col("news") - drag - F.col("price")).alias("diff"))
     tested = paired_test(diffs, base * configs_tried, resamples, seed=cfg.seed)

@@ -5,7 +5,6 @@ Doubles are rounded to six places on both sides. Instants are returned as second
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime
@@ -25,6 +24,7 @@ from ..sources import bars as bar_src
 from ..sources import news as news_src
 from ..sources import tables
 from ..streaming import streams
+from ..session import shared_folder, written
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a query's own files, in the shared folder where one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/barloom-plans/{name}-{uuid.uuid4().hex}"
+    """A folder for a query's own files, in the shared folder."""
+    return shared_folder(spark, f"plans-{name}")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -771,28 +770,45 @@ def v17b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("symbol", "expected", "psr", "dsr"))
 
 
-@query("v13_verdicts", sql.with_(sql.BARS) + """
-SELECT symbol, CASE WHEN count(*) % 50 < 30 THEN 'inconclusive' WHEN avg(close) > 100 AND max(high) > 150 THEN 'pass' ELSE 'fail' END AS verdict FROM bars GROUP BY symbol""")
+VERDICTS = """
+WITH r AS (
+  SELECT o_orderkey, (o_orderkey % 21)::BIGINT AS n, o_custkey % 2 = 0 AS hold, o_orderkey % 3 > 0 AS rule, o_custkey % 3 > 0 AS logistic,
+         CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 0.95 WHEN 3 THEN 0.9499 ELSE 0.97 END AS dsr,
+         CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0.5 WHEN 2 THEN 0.5001 ELSE 0.2 END AS pbo,
+         CASE o_custkey % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 0.95 WHEN 2 THEN 0.9499 ELSE 0.99 END AS mc FROM orders)
+SELECT o_orderkey, CASE WHEN n < 10 OR dsr IS NULL OR isnan(dsr) OR pbo IS NULL OR mc IS NULL OR isnan(mc) THEN 'inconclusive'
+  WHEN hold AND rule AND logistic AND mc >= 0.95 AND dsr >= 0.95 AND pbo <= 0.5 THEN 'pass' ELSE 'fail' END AS verdict FROM r"""
+
+
+@query("v13_verdicts", VERDICTS)
 def v13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bars(spark, sf_dir).groupBy("symbol").agg(
-        (F.count("*") % 50).alias("n_oos_trades"), (F.avg("close") > 100).alias("beats_rule"), (F.max("high") > 150).alias("beats_logistic")
-    ).withColumns({"deflated_sharpe": F.lit(0.97), "pbo": F.lit(0.2), "mc_percentile": F.lit(0.99), "beats_buy_and_hold": F.lit(True)})
-    return significance.verdict(r).select("symbol", "verdict")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    k, c, nan = F.col("o_orderkey"), F.col("o_custkey"), F.lit(float("nan"))
+    results = o.select(
+        "o_orderkey", (k % 21).alias("n_oos_trades"), (c % 2 == 0).alias("beats_buy_and_hold"), (k % 3 > 0).alias("beats_rule"),
+        (c % 3 > 0).alias("beats_logistic"),
+        F.when(k % 7 == 1, nan).when(k % 7 == 2, 0.95).when(k % 7 == 3, 0.9499).when(k % 7 > 3, 0.97).alias("deflated_sharpe"),
+        F.when(k % 5 == 1, 0.5).when(k % 5 == 2, 0.5001).when(k % 5 > 2, 0.2).alias("pbo"),
+        F.when(c % 5 == 0, nan).when(c % 5 == 1, 0.95).when(c % 5 == 2, 0.9499).otherwise(0.99).alias("mc_percentile"),
+    )
+    return significance.verdict(results).select("o_orderkey", "verdict")
+
+
+def purged_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and test rows of the default splits over the whole panel."""
+    rows = written(panel(spark, sf_dir), "panel")
+    return evaluation.purged_split_rows(rows, evaluation.generate_splits(rows.select("decision_ts").distinct().count()))
 
 
 @query("v09_train_and_score")
 def v09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel(spark, sf_dir).cache()
-    rows = evaluation.purged_split_rows(p, [(0, 400, 400, 600)])
-    scored = learning.walk_forward_scores(rows, [0], learning.TrainingConfig(trees=5, depth=3))
-    return rounded(learning.diagnostics(scored), 4)
+    return rounded(learning.diagnostics(learning.walk_forward_scores(purged_panel(spark, sf_dir))), 4)
 
 
 @query("v11_logistic_floor")
 def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluation.purged_split_rows(panel(spark, sf_dir), [(0, 400, 400, 600)])
-    scored = learning.logistic_floor(rows.where("role = 'train'"), rows.where("role = 'test'"))
-    return rounded(learning.diagnostics(scored), 4)
+    floor = learning.TrainingConfig(estimator=learning.logistic_stages, calibration="none")
+    return rounded(learning.diagnostics(learning.walk_forward_scores(purged_panel(spark, sf_dir), floor)), 4)
 
 
 FULL = research.WalkForwardConfig()

@@ -205,13 +205,23 @@ def test_paired_bootstrap_is_seeded(spark):
 
 
 def test_verdict_order(spark):
+    nan, yes = math.nan, (True, True, True)
+    cases = [
+        ((9, 0.99, 0.1, 0.99, *yes), "inconclusive"), ((10, 0.99, 0.1, 0.99, *yes), "pass"),  # the fewest round trips
+        ((50, nan, 0.1, 0.99, *yes), "inconclusive"), ((50, None, 0.1, 0.99, *yes), "inconclusive"),
+        ((50, 0.99, nan, 0.99, *yes), "inconclusive"), ((50, 0.99, 0.1, None, *yes), "inconclusive"),
+        ((50, 0.95, 0.5, 0.95, *yes), "pass"), ((50, 0.949, 0.5, 0.95, *yes), "fail"), ((50, 0.95, 0.501, 0.95, *yes), "fail"),
+        ((50, 0.95, 0.5, 0.949, *yes), "fail"), ((50, 0.99, 0.1, 0.99, False, True, True), "fail"),
+        ((50, 0.99, 0.1, 0.99, True, False, True), "fail"), ((50, 0.99, 0.1, 0.99, True, True, False), "fail"),
+    ]
     df = spark.createDataFrame(
-        [(10, math.nan, 0.1, 0.99, True, True, True), (50, math.nan, 0.1, 0.99, True, True, True), (50, 0.99, 0.1, 0.99, True, True, True), (50, 0.99, 0.6, 0.99, True, True, True)],
-        "n_oos_trades int, deflated_sharpe double, pbo double, mc_percentile double, beats_buy_and_hold boolean, beats_rule boolean, beats_logistic boolean",
+        [(i, *c) for i, (c, _) in enumerate(cases)],
+        "i int, n_oos_trades int, deflated_sharpe double, pbo double, mc_percentile double, beats_buy_and_hold boolean, beats_rule boolean, beats_logistic boolean",
     )
-    got = significance.verdict(df).collect()
-    assert [r["verdict"] for r in got] == ["inconclusive", "inconclusive", "pass", "fail"]
-    assert got[3]["reasons"][-1] == "pbo=0.600 <= 0.5: FAIL" and "floor" in got[0]["reasons"][0]
+    got = significance.verdict(df).orderBy("i").collect()
+    assert [r["verdict"] for r in got] == [v for _, v in cases]
+    assert got[0]["reasons"] == ["only 9 round trips out of sample, 10 needed"]
+    assert got[8]["reasons"][-1] == "not met: pbo 0.501, needed at most 0.5" and len(got[8]["reasons"]) == 6
 
 
 def test_money(spark):
