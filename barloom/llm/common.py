@@ -3,40 +3,25 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: White space that separates words: the space and U+0009 to U+000D.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
-_LOCAL: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(key, "") or tempfile.mkdtemp(prefix="barloom-")
-        _LOCAL[key] = base
-    return base.rstrip("/") + "/barloom"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path  # for discard()
@@ -69,6 +54,14 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of ``rows``, so that what is made of a slice stays small; freed memory goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, is_empty, materialize
+from .common import connected_components, discard, is_empty, materialize, sliced
 from .simhash import HOT, SEED, links, text_fingerprint, without_losers
 
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, ROUNDS, SLOTS = 5, (4, 5), 32, 6, 3, 1024
@@ -83,17 +83,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILARITY[1] >= (len(a) + len(b) - both) * SIMILARITY[0]
 
 
+def _text_key(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, fp, node, n, bands, sketch)``: node is the hash of the shingle set, n its size."""
+    """``(doc_id, key, fp, node, n, bands, sketch)``: key stands for the text, node for its shingle set of size n."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             fps, nodes, sizes, bands, sketches = [], [], [], [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py())
-                fps.append(text_fingerprint(text.as_py()))
+            for text in batch.column(2):
+                text = text.as_py()
+                hashes = shingle_hashes(text)
+                fps.append(text_fingerprint(text))
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
                 bands.append(band_keys(hashes))
@@ -107,26 +112,26 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.array(fps, "u8").view("i8")),
                  pa.array(np.array(nodes, "u8").view("i8")), pa.array(sizes, pa.int64()), *lists],
-                ["doc_id", "text", "fp", "node", "n", "bands", "sketch"],
+                ["doc_id", "key", "fp", "node", "n", "bands", "sketch"],
             )
 
-    chosen = docs.select(F.col("doc_id").cast("long"), "text")
-    return chosen.mapInArrow(
-        signed, "doc_id long, text string, fp long, node long, n long, bands array<long>, sketch array<long>"
-    )
+    chosen = docs.select(F.col("doc_id").cast("long"), _text_key(F.col("text")).alias("key"), "text")
+    return chosen.mapInArrow(signed, "doc_id long, key long, fp long, node long, n long, bands array<long>, sketch array<long>")
 
 
-def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)``: one text for each of ``nodes(node)``."""
-    return rows.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)``: one text of ``docs`` for each of ``nodes(node)``."""
+    keys = sets.select("node", "key").join(nodes, "node", "left_semi")
+    texts = docs.select(_text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The candidates ``pairs(u, v)`` that reach the similarity, by the texts of ``rows(node, text)``."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates ``pairs(u, v)`` that reach the similarity, by their texts in ``docs``."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, "u8")
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if v != last:
@@ -135,7 +140,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = materialize(_texts(rows, ends), "texts")
+    texts = materialize(_texts(docs, sets, ends), "texts")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
     # The side with the hub of a star is v: rows are sorted by it last, so its shingles are made once.
     joined = pairs.join(a, "u").join(b.hint("merge"), "v").select("u", "v", "text_u", "text_v")
@@ -155,10 +160,10 @@ def _possible(n: str, m: str, a: str, b: str):
     return (least * SIMILARITY[1] >= most * SIMILARITY[0]) & (differ * share[1] <= (F.col(n) + F.col(m)) * share[0])
 
 
-def similar_links(sets: DataFrame, rows: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
-    """Edges ``(u, v)`` over ``sets(node, n, bands, sketch)``: with the edges ``known``, the components of all candidates.
+def similar_links(sets: DataFrame, docs: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
+    """Edges ``(u, v)`` over ``sets(node, key, n, bands, sketch)``: with the edges ``known``, the components of all candidates.
 
-    ``rows(node, text)`` have the texts. Pairs that ``known`` connects already aren't verified again.
+    ``docs`` have the texts. Pairs that ``known`` connects already aren't verified again.
     """
     banded = sets.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -179,7 +184,7 @@ def similar_links(sets: DataFrame, rows: DataFrame, known: DataFrame, hot: int =
         # One centre a member and round: its bands mostly name the same group.
         pairs = pairs.where(apart & _possible("n_u", "n_v", "sketch_u", "sketch_v")).groupBy("u").agg(F.min("v").alias("v"))
         pairs = materialize(pairs, "star-pairs")
-        found = _verified(pairs, rows)
+        found = _verified(pairs, docs, sets)
         if is_empty(found):
             break
         edges = edges.unionByName(found)
@@ -195,7 +200,7 @@ def similar_links(sets: DataFrame, rows: DataFrame, known: DataFrame, hot: int =
         & (F.col("a.group") != F.col("b.group")) & _possible("a.n", "b.n", "a.sketch", "b.sketch"),
     ).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     pairs = materialize(pairs, "candidates")
-    out = materialize(_verified(pairs, rows).unionByName(edges), "similar")
+    out = materialize(_verified(pairs, docs, sets).unionByName(edges), "similar")
     for done in (members, grouped, facing, pairs):
         discard(done)
     return out
@@ -206,7 +211,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     rows = materialize(_signed(docs), "signed")
     sets = materialize(
         rows.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+            F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch"),
         ),
         "sets",
@@ -218,7 +223,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     for end in "uv":
         near = near.withColumnRenamed(end, "fp").join(named, "fp").drop("fp").withColumnRenamed("node", end)
     known = near.select("u", "v").unionByName(same.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    edges = similar_links(sets, rows, materialize(known, "known"))
+    edges = similar_links(sets, docs, materialize(known, "known"))
     roots = materialize(connected_components(edges), "components")
     rooted = materialize(
         sets.select("node", "first_id").join(roots, "node", "left")

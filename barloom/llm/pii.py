@@ -1,14 +1,16 @@
 """Personal data by rules and by bootstrapped contexts, with DataFrame functions only.
 
-The base rules find e-mail addresses, IPv4 addresses, payment cards and phone numbers. Their finds are
-seeds: the words before them are lexical patterns, and tokens with a digit or an at sign are instances.
-Patterns and instances make a weighted graph whose scores Spark computes in rounds: a pattern is as good
-as the instances that it introduces, an instance as the patterns that introduce it. Patterns that stay
-above ``ACCEPT`` with enough different seeds behind them mark the tokens that no rule found.
+The base rules find e-mail addresses, IPv4 addresses, payment cards and phone numbers; a further one finds
+keys of 32 hexadecimal digits or more, which are secrets. Their finds are seeds: the two words before them
+(of the last ``CONTEXT_CHARS`` code points) are lexical patterns, and tokens with a digit or an at sign are
+instances, without the quotes and brackets around them. Patterns and instances make a weighted graph whose
+scores Spark computes in rounds: a pattern is as good as the instances that it introduces, an instance as the
+patterns that introduce it. Patterns above ``ACCEPT`` with enough different instances of that score behind
+them, seeds or found, mark the tokens that no rule found.
 
 Offsets are code points. They come from the lengths of what a split leaves and of what matched, and both
-walk the same matches. The rules are written so that no text makes them backtrack: repetitions are
-possessive, and runs are entered at their start or where the last match ended.
+walk the same matches, in blocks whose offsets are added up after. The rules are written so that no text makes
+them backtrack: repetitions are possessive, and runs are entered at their start or where the last match ended.
 
 Defined cases: a null text counts as empty; a text without finds has zero counts and empty lists; repeated
 rows each get their own result; equal starts are ordered by kind. An empty table gives an empty result.
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 from .common import is_empty, materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that rules find. Secrets aren't personal data and have columns of their own.
+RULED = (*KINDS, "secret")
 #: The rules, as patterns that match what the plain ones match, in time linear in the text.
 RULES = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
@@ -40,7 +45,10 @@ TOKEN = rf"(?<![^{_SPACE}])(?=[^{_SPACE}]*[0-9@])[^{_SPACE}]+"
 LAST_WORDS = rf"(?:[^{_SPACE}]+[{_SPACE}]+)?[^{_SPACE}]+[{_SPACE}]*$"
 #: Code points before a token in which its context is looked for.
 CONTEXT_CHARS = 80
-ROUNDS, ACCEPT, MIN_SEEDS, PRIOR = 3, 0.9, 5, 1.0
+ROUNDS, ACCEPT, MIN_SEEDS, PRIOR = 4, 0.8, 5, 1.0
+#: Matches whose offsets are added up in one go.
+BLOCK = 128
+_LEAD, _TAIL = r"^[\"'(\[{<]+", r"[.,;:!?)\]}>'\"#*]+$"
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -59,6 +67,8 @@ def _valid(kind: str, found: Column) -> Column:
 
         total = F.aggregate(F.transform(place, worth), F.lit(0), lambda a, b: a + b)
         return F.length(digits).between(16, 19) & (total % 10 == 0)
+    if kind == "secret":
+        return found.rlike("[0-9]") & found.rlike("[A-Fa-f]")
     return F.lit(True)
 
 
@@ -69,11 +79,17 @@ def _validator(kind: str) -> Callable[[Column], Column]:
 SPAN = "struct<start:int,stop:int,found:string,before:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches with their offsets and what stands between each and the one before, as an array."""
     steps = F.arrays_zip(
         F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     )
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["between"])
@@ -87,8 +103,27 @@ def spans(text: Column, pattern: str) -> Column:
             F.coalesce(stop, start).alias("at"), F.when(x["found"].isNull(), acc["spans"]).otherwise(more).alias("spans")
         )
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.aggregate(steps, none, step, lambda acc: acc["spans"])
+    def ends(blocks: Column) -> Column:
+        """Where each block starts: the sum of the lengths before it."""
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(
+            blocks, empty,
+            lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+            lambda acc: acc["starts"],
+        )
+
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(
+            block["spans"],
+            lambda x: F.struct((x["start"] + by).alias("start"), (x["stop"] + by).alias("stop"), x["found"].alias("found"), x["before"].alias("before")),
+        )
+
+    def all_blocks(s: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(s), F.lit(BLOCK))
+        return F.transform(firsts, lambda at: F.aggregate(F.slice(s, at, F.lit(BLOCK)), none, step))
+
+    joined = lambda blocks: F.flatten(F.zip_with(blocks, ends(blocks), moved))
+    return _let(steps, lambda s: _let(all_blocks(s), joined))
 
 
 def _guarded(kind: str, text: Column) -> Column:
@@ -99,18 +134,20 @@ def _guarded(kind: str, text: Column) -> Column:
         return F.instr(text, "+") > 0
     if kind == "ip":
         return text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
+    if kind == "secret":
+        return text.rlike("[0-9A-Fa-f]{32}")
     return text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, email, ip, card, phone, tokens)``: base spans and candidate tokens of every row, written."""
+    """``(row, doc_id, email, ip, card, phone, secret, tokens)``: base spans and candidate tokens of every row, written."""
     text = F.coalesce(F.col("text"), F.lit(""))
     empty = F.array().cast(f"array<{SPAN}>")
     found = {
         kind: F.when(
             _guarded(kind, text), F.filter(spans(text, RULES[kind]), _validator(kind))
         ).otherwise(empty)
-        for kind in KINDS
+        for kind in RULED
     }
     tokens = F.when(text.rlike("[0-9@]"), spans(text, TOKEN)).otherwise(empty)
     rows = docs.select("doc_id", *[c.alias(k) for k, c in found.items()], tokens.alias("tokens"))
@@ -128,15 +165,15 @@ def _found(kind: str) -> Column:
 
 def base_spans(scanned: DataFrame) -> DataFrame:
     """``(row, kind, start, stop, found)`` of what the rules found."""
-    return scanned.select("row", F.explode(F.concat(*map(_found, KINDS))).alias("s")).select("row", "s.*")
+    return scanned.select("row", F.explode(F.concat(*map(_found, RULED))).alias("s")).select("row", "s.*")
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
     """Tokens with their pattern, and the kind of the base span that starts there; none inside a base span."""
     tokens = scanned.select("row", F.explode("tokens").alias("t")).select(
-        "row", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"),
-        F.lower(F.regexp_replace("t.found", r"[.,;:!?)\]}'\"]+$", "")).alias("instance"),
-        F.length(F.regexp_extract("t.found", r"[.,;:!?)\]}'\"]+$", 0)).alias("tail"),
+        "row", (F.col("t.start") + F.length(F.regexp_extract("t.found", _LEAD, 0))).alias("start"), F.col("t.stop").alias("stop"),
+        F.lower(F.regexp_replace(F.regexp_replace("t.found", _LEAD, ""), _TAIL, "")).alias("instance"),
+        F.length(F.regexp_extract(F.regexp_replace("t.found", _LEAD, ""), _TAIL, 0)).alias("tail"),
         F.trim(F.regexp_replace(F.lower(F.regexp_extract("t.before", LAST_WORDS, 0)), rf"[{_SPACE}]+", " ")).alias("pattern"),
     )
     base = base_spans(scanned).select("row", "start", F.col("stop").alias("base_stop"), "kind", "found")
@@ -198,7 +235,7 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, m
             "scores",
         )
     backing = (
-        edges.join(seeds, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+        edges.join(scores.where(F.col("score") >= accept), "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
         .where(F.col("seeds") >= min_seeds)
     )
     good = patterns.where(F.col("score") >= accept).join(backing, ["pattern", "kind"]).select(
@@ -211,10 +248,10 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, m
 
 
 def find_personal_data(docs: DataFrame, bootstrap: bool = True) -> DataFrame:
-    """A row per document: doc_id, arrays of base spans by kind, and discovered spans (kind, start, stop)."""
+    """A row per document: doc_id, arrays of ruled spans by kind, and discovered spans (kind, start, stop)."""
     scanned = scan(docs)
     spans_type = "array<struct<kind:string,start:int,stop:int>>"
-    bare = scanned.select("row", "doc_id", *KINDS)
+    bare = scanned.select("row", "doc_id", *RULED)
     if not bootstrap:
         return bare.withColumn("discovered", F.array().cast(spans_type)).drop("row")
     more = materialize(discover(scanned), "discovered")
@@ -235,13 +272,7 @@ def tagged(kind: str) -> Column:
     )
 
 
-def _of_kind(found: str, kind: str) -> Column:
-    return F.filter(found, lambda x: x["kind"] == kind)
-
-
-def all_spans() -> Column:
-    """Base and discovered spans by kind in the order of ``KINDS``, then by start."""
-    by_kind = []
-    for kind in KINDS:
-        by_kind.append(F.array_sort(F.concat(tagged(kind), _of_kind("discovered", kind))))
-    return F.concat(*by_kind)
+def all_spans(kinds: tuple[str, ...] = KINDS) -> Column:
+    """Ruled and discovered spans by kind in the order of ``kinds``, then by start."""
+    of = lambda kind: F.filter("discovered", lambda x: x["kind"] == kind)
+    return F.concat(*[F.array_sort(F.concat(tagged(kind), of(kind))) for kind in kinds])

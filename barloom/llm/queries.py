@@ -63,6 +63,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"),
         pii.span_list(pii.all_spans()).alias("spans"),
         pii.span_list(F.array_sort("discovered")).alias("discovered"),
+        pii.span_list(pii.all_spans(("secret",))).alias("secrets"),
+        F.size(pii.all_spans(pii.RULED)).cast("long").alias("n_found"),
     )
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -474,6 +475,49 @@ def test_pii_discovers_by_context(spark):
     assert not any(v for k, v in more.items() if k != 50)
 
 
+def test_pii_recall_on_held_out_identifiers(spark):
+    """Identifiers that no rule matches, in contexts that the rules' finds teach, among numbers in other contexts."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    words = lambda n: " ".join(rng.choices("amber birch cedar delta ember fjord grove haven iris jade".split(), k=n))
+    contexts = {
+        "phone": ["call me at", "phone number is", "reach us on"], "email": ["write mail to", "my address is"],
+        "ip": ["server runs on", "logged in from"], "secret": ["api key ="],
+    }
+    ruled = {
+        "phone": lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", "email": lambda: f"{words(1)}{digits(2)}@mail.{words(1)}.org",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "secret": lambda: '"' + "".join(rng.choices("0123456789abcdef", k=40)) + '"',
+    }
+    unseen = {
+        "phone": lambda: f"{digits(3)}-{digits(4)}", "email": lambda: f"{words(1)}{digits(2)}@localhost",
+        "ip": lambda: f"fe80::{digits(4)}:{digits(2)}", "secret": lambda: f'"sk-{digits(8)}"',
+    }
+    texts, want = [], set()
+    for i in range(900):
+        kind = rng.choice(list(contexts))
+        if i % 3 == 2:
+            texts.append(f"{words(9)} {rng.choice(['it costs', 'in the year', 'chapter number'])} {digits(4)} {words(5)}")
+            continue
+        before, hidden = f"{words(7)} {rng.choice(contexts[kind])} ", i % 3 == 1
+        found = (unseen if hidden else ruled)[kind]()
+        if hidden:
+            lead = found.startswith('"')
+            want.add((i, kind, len(before) + lead, len(before) + len(found) - lead))
+        texts.append(f"{before}{found} {words(6)}")
+    found = rows(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = {(r["doc_id"], *x) for r in found for x in r["discovered"]}
+    recall, precision = len(got & want) / len(want), len(got & want) / max(1, len(got))
+    assert recall >= 0.9 and precision >= 0.95, (recall, precision)
+
+
+def test_pii_offsets_of_many_matches(spark):
+    text = " ".join(f"{i}" for i in range(3 * pii.BLOCK + 7)) + " \U0001F600 a@b.c 1.2.3.4"
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(text,)], "t string").select(pii.spans(F.col("t"), pii.TOKEN).alias("s")).first()["s"]
+    assert [(x["start"], x["stop"], x["found"]) for x in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S*[0-9@]\S*", text)]
+
+
 # 9 SimHash
 
 
