@@ -1,20 +1,26 @@
 """Main text of web pages by text-to-tag ratios.
 
 A page is read once as a stream of parser events. Block elements end lines; each line has its text, the
-number of tags in it and the elements that hold it. Lines get the ratio of text to tags, the ratios are
-smoothed with a Gaussian and clustered in two by a threshold; lines that markup declares to be menus,
-headers, footers, sidebars, notices, adverts, forms or comments count as tags alone. The content region is
-the article that holds the most text of the high cluster, or, where a page has no article, the innermost
-element with most of that text. All lines of the region that are not declared something else are the text.
+number of tags in it, how much of it is linked, and the element that holds it. Lines get the ratio of text to
+tags, the ratios are smoothed with a Gaussian and clustered in two by a threshold. The content region is the
+article that holds the most text of the high cluster, or, where a page has no article, the innermost element
+with most of that text. Inside it the text is the run from the first to the last line of the high cluster; lines
+of the low cluster before and after that run stay unless they are mostly links.
+
+Lines in elements that are menus, headers, footers, sidebars or forms by tag, role or ``hidden`` are never text.
+Class names and ids only suggest that: an element that holds half of the page's high-cluster text is content
+whatever its names say.
 
 Defined cases: a null or empty page, and one without text, gives an empty string; equal or repeated pages
-are extracted alike; broken markup is read as far as a browser would; elements that never end hold what
-follows. An empty table gives an empty result. Only the id, url and html columns are looked at.
+are extracted alike; broken markup is read as far as a browser would, unknown declarations are comments; elements
+that never end hold what follows, and time and memory stay linear in a page's length however deep it nests. An
+empty table gives an empty result. Only the id, url and html columns are looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 #: HTML elements by what they mean for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
@@ -37,51 +45,64 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset(("article", "main"))
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
-#: First or last parts of class names and ids that declare boilerplate.
+#: Parts of class names and ids that suggest boilerplate, and what may stand beside them.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices newsletter subscribe subscription signup comment comments disqus replies sidebar widget menu nav "
     "navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations footer header "
     "masthead popup modal overlay toolbar pagination pager login copyright".split()
 )
+BESIDE = frozenset(
+    "area articles bar block body bottom box button buttons container content form holder icons inner item items left "
+    "links list main message outer panel posts right section site slot stories thread top unit wrap wrapper".split()
+)
 _NAME_PART = re.compile(r"[^a-z0-9]+")
 _NEGATED = frozenset("has no with without is not".split())
 SIGMA, REACH = 1.0, 2
 _KERNEL = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
+DECLARED, SUGGESTED = 2, 1
+
 
+def _suggests_boilerplate(name: str) -> bool:
+    parts = [p for p in _NAME_PART.split(name) if p]
+    if not parts or parts[0] in _NEGATED:
+        return False
+    rest = parts[1:]
+    return parts[-1] in HINTS or (parts[0] in HINTS and all(p in BESIDE or p in HINTS or p.isdigit() for p in rest))
 
-def _declares_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """DECLARED by tag, role or hiding, SUGGESTED by names, or 0."""
     if tag in BOILERPLATE:
-        return True
+        return DECLARED
+    found = 0
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return DECLARED
         if not value or tag in ("html", "body"):
             continue
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "class" or name == "id":
-            for one in value.lower().split():
-                parts = [p for p in _NAME_PART.split(one) if p]
-                if parts and parts[0] not in _NEGATED and (parts[0] in HINTS or parts[-1] in HINTS):
-                    return True
+            return DECLARED
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return DECLARED
+        if (name == "class" or name == "id") and any(map(_suggests_boilerplate, value.lower().split())):
+            found = SUGGESTED
+    return found
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags, whether declared boilerplate, and the numbers of the open elements."""
+    """Lines of a page as (text, tags, linked characters, in a list, element); elements know their parent."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, boilerplate, hidden
-        self.bad = self.hidden = self.links = 0
-        self.number = 0
-        self.containers: set[int] = set()
-        self.articles: set[int] = set()
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int, bool]] = []  # tag, number, hidden
+        self.open: Counter[str] = Counter()
+        self.hidden = 0
+        self.parent, self.doubt = [-1], [0]  # by element number; 0 is the page
+        self.containers: list[int] = []
+        self.articles: list[int] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
@@ -89,10 +110,7 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            path = tuple(e[1] for e in self.stack)
-            in_list = any(e[0] == "li" for e in self.stack)
-            only_links = in_list and self.linked >= len("".join(text.split()))
-            self.lines.append((text, self.tags, self.bad > 0, path, only_links))
+            self.lines.append((text, self.tags, self.linked, self.open["li"] > 0, self.stack[-1][1] if self.stack else 0))
         if self.parts:
             self.parts = []
         self.tags = self.linked = 0
@@ -118,16 +136,18 @@ class _Lines(HTMLParser):
             if tag == "br" and not self.hidden:
                 self.parts.append(" ")
             return
-        bad, hidden = _declares_boilerplate(tag, attrs), tag in HIDDEN
-        self.number += 1
-        self.stack.append((tag, self.number, bad, hidden))
-        self.bad += bad
+        number = len(self.parent)
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        self.doubt.append(_boilerplate(tag, attrs))
+        hidden = tag in HIDDEN
+        self.stack.append((tag, number, hidden))
+        self.open[tag] += 1
         self.hidden += hidden
-        self.links += tag == "a"
-        if tag in CONTAINERS or any(k == "role" and v in ("main", "article") for k, v in attrs):
-            self.containers.add(self.number)
-        if tag == "article" or any(k == "role" and v == "article" for k, v in attrs):
-            self.articles.add(self.number)
+        role = next((v for k, v in attrs if k == "role"), None)
+        if tag in CONTAINERS or role in ("main", "article"):
+            self.containers.append(number)
+        if tag == "article" or role == "article":
+            self.articles.append(number)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -135,13 +155,14 @@ class _Lines(HTMLParser):
             self._pop()
 
     def _pop(self) -> None:
-        tag, _, bad, hidden = self.stack.pop()
-        self.bad -= bad
+        tag, _, hidden = self.stack.pop()
+        self.open[tag] -= 1
         self.hidden -= hidden
-        self.links -= tag == "a"
 
     def _close(self, tag: str, until: frozenset[str]) -> None:
         """Close the nearest open ``tag``, and what is open in it, unless an element of ``until`` is nearer."""
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 while len(self.stack) > at:
@@ -159,36 +180,51 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len("".join(data.split()))
 
 
-def _region(lines: list, containers: set[int]) -> int | None:
-    """The number of the element that holds the content; None for the whole page."""
-    size = np.array([0 if bad else len(text) for text, _, bad, _, _ in lines], "f8")
-    tags = np.array([tags for _, tags, _, _, _ in lines], "f8")
+def _high(lines: list, bad: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the lines, none where ``bad``, and whether they are in the high cluster of smoothed ratios."""
+    size = np.array([0 if bad[x[4]] else len(x[0]) for x in lines], "f8")
+    tags = np.array([x[1] for x in lines], "f8")
     ratio = np.convolve(np.pad(size / (1 + tags), REACH, mode="edge"), _KERNEL, "valid")
     low, high = float(ratio.min()), float(ratio.max())
     for _ in range(20):  # two clusters: the threshold is half-way between their means
-        cut = (low + high) / 2
-        above = ratio > cut
+        above = ratio > (low + high) / 2
         if not above.any() or above.all():
             break
         low, high = float(ratio[~above].mean()), float(ratio[above].mean())
-    weight = size * np.where(ratio >= (low + high) / 2, 1.0, 0.1)
-    held: dict[int, float] = {}
-    count: dict[int, int] = {}
-    for w, (_, _, _, path, _) in zip(weight.tolist(), lines, strict=True):
-        for number in path:
-            held[number] = held.get(number, 0.0) + w
-            count[number] = count.get(number, 0) + 1
-    inside = {n: held[n] for n in containers if held.get(n)}
+    return size, (ratio >= (low + high) / 2) & (size > 0)
+
+
+def _held(parent: list[int], at: list[int], weight: list[float]) -> list[float]:
+    """What each element and all in it hold. Elements are numbered after their parents."""
+    held = [0.0] * len(parent)
+    for number, w in zip(at, weight, strict=True):
+        held[number] += w
+    for number in range(len(parent) - 1, 0, -1):
+        held[parent[number]] += held[number]
+    return held
+
+
+def _inherited(parent: list[int], own: list[bool]) -> list[bool]:
+    out = list(own)
+    for number in range(1, len(parent)):
+        out[number] = out[number] or out[parent[number]]
+    return out
+
+
+def _region(reader: _Lines, at: list[int], weight: np.ndarray) -> int:
+    """The number of the element that holds the content; 0 for the whole page."""
+    held = _held(reader.parent, at, weight.tolist())
+    inside = {n: held[n] for n in reader.containers if held[n] > 0}
     if inside:
         most = max(inside.values())
         return min(n for n, w in inside.items() if w >= 0.999 * most)
-    total = float(weight.sum())
-    deep = [n for n, w in held.items() if w >= 0.75 * total > 0 and count[n] > 1]
-    return max(deep) if deep else None
+    count = _held(reader.parent, at, [1.0] * len(at))
+    deep = [n for n, w in enumerate(held) if w >= 0.75 * held[0] > 0 and count[n] > 1]
+    return max(deep, default=0)
 
 
 def extract_text(html: str | None) -> str:
@@ -205,24 +241,44 @@ def extract_text(html: str | None) -> str:
     lines = reader.lines
     if not lines:
         return ""
-    region = _region(lines, reader.containers)
-    chosen = [x for x in lines if not x[2] and (region is None or region in x[3])]
-    out, run = [], []
-    for text, _, _, path, only_links in [*chosen, ("", 0, False, (), False)]:
-        if only_links and (reader.articles.isdisjoint(path) or not any(map(str.isalpha, text))):
+    at = [x[4] for x in lines]
+    declared = [d == DECLARED for d in reader.doubt]
+    bad = _inherited(reader.parent, declared)
+    size, high = _high(lines, bad)
+    if any(d == SUGGESTED for d in reader.doubt):
+        held = _held(reader.parent, at, np.where(high, size, 0.0).tolist())
+        own = [d or (s == SUGGESTED and 2 * h < held[0]) for d, s, h in zip(declared, reader.doubt, held, strict=True)]
+        bad = _inherited(reader.parent, own)
+        size, high = _high(lines, bad)
+    region = _region(reader, at, size * np.where(high, 1.0, 0.1))
+    inside = _inherited(reader.parent, [n == region for n in range(len(reader.parent))])
+    own_articles = set(reader.articles)
+    article = _inherited(reader.parent, [n in own_articles for n in range(len(reader.parent))])
+    chosen = [i for i, n in enumerate(at) if inside[n] and not bad[n]]
+    core = [i for i in chosen if high[i]]
+    first, last = (core[0], core[-1]) if core else (0, len(lines))
+    out: list[str] = []
+    run: list[str] = []
+    for i in chosen:
+        text, _, linked, in_list, number = lines[i]
+        solid = len("".join(text.split()))
+        if not first <= i <= last and not in_list and 2 * linked > solid:
+            continue
+        if in_list and linked >= solid and not (article[number] and any(map(str.isalpha, text))):
             run.append(text)
             continue
         out += run if len(run) < 3 else []  # three links in a row or more are a menu; in an article, only page numbers
         run = []
         out.append(text)
-    return "\n".join(out[:-1])
+    out += run if len(run) < 3 else []
+    return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page."""
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [extract_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

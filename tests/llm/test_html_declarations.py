@@ -23,3 +23,40 @@ def test_links_in_article():
     items = "".join(f"<li><a href='/{i}'>Source number {i}</a></li>" for i in range(4))
     page = f"<nav><ul>{items}</ul></nav><article><p>{'Some words. ' * 20}</p><ul>{items}</ul></article>"
     assert extract_text(page).count("Source number") == 4
+
+
+TEXT = "long running text of the story " * 6
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # Names suggest, text decides.
+        (f"<body><div class='ad-free content'><p>{TEXT}</p><p>{TEXT}</p></div></body>", f"{TEXT.strip()}\n{TEXT.strip()}"),
+        (f"<body><div class='article social'><p>{TEXT}</p><p>end</p></div><div class=social>Follow us</div></body>", f"{TEXT.strip()}\nend"),
+        (f"<body><article><p>{TEXT}</p><div class='ad-box'>Buy it</div><p>end</p></article></body>", f"{TEXT.strip()}\nend"),
+        (f"<body><article><p>{TEXT}</p></article><div class=comments><p>{TEXT[:40]}</p></div></body>", TEXT.strip()),
+        # Link lines at the borders of an article go, plain short lines stay.
+        (f"<article><p><a>Share this</a></p><h1>Head</h1><p>{TEXT}</p><p>Short.</p><p><a>More stories here</a></p></article>", f"Head\n{TEXT.strip()}\nShort."),
+        (f"<article><h1><a>Linked head</a> by me, the one and only author</h1><p>{TEXT}</p></article>", f"Linked head by me, the one and only author\n{TEXT.strip()}"),
+    ],
+)
+def test_ratios_decide(html, text):
+    assert extract_text(html) == text
+
+
+def test_linear_in_depth():
+    import time
+    import tracemalloc
+
+    def cost(n):
+        page = "<div>x" * n + "</b>" * n
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert extract_text(page).count("x") >= 0.75 * n
+        took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return took, peak
+
+    (_, small), (took, large) = cost(2000), cost(16000)
+    assert large < 12 * small and took < 30
