@@ -3,16 +3,17 @@
 A window is ``WINDOW`` consecutive words. Of the ``ANCHOR``-word sequences in a window the one with the
 least hash is its anchor, so equal windows have equal anchors at equal places; neighbouring windows that
 share an anchor make one *stretch*, and there is a stretch for about eight words. The index keeps a row per
-distinct stretch: its anchor's fingerprint ``a``, an independent digest ``c`` of all its words, and where it
-came first. Rows are written as immutable runs, bucketed and sorted by ``(a, c)``.
+distinct stretch: its anchor's fingerprint ``a``, a digest ``c`` of all its words, and where it came first. The
+two come from separate halves of 128-bit word hashes, so stretches that agree in both are taken to be equal.
+Rows are written as immutable runs, bucketed and sorted by ``(a, c)``.
 
 A new batch becomes a run of its own and is merge-joined with the older runs. A stretch whose ``(a, c)``
 came before repeats whole. A new stretch that shares only its anchor with others may repeat in part: such
 stretches are read again from the texts and compared window by window. Runs are compacted by merging them
 when there are ``FANOUT`` of them.
 
-Before a shuffle each task keeps one row per stretch and marks the others as repeats, so that a passage in a
-third of all documents costs a row per task; the joins and sums that follow are split or pre-aggregated.
+Before a shuffle each Arrow batch keeps one row per stretch and marks the others as repeats, so that a passage in
+a third of all documents costs a row per batch; the joins and sums that follow are split or pre-aggregated.
 
 Defined cases: words are separated by ASCII white space; null texts and texts under a window have no
 windows; overlapping repeats within a document count; earlier means earlier batch, then smaller doc_id, then
@@ -41,13 +42,25 @@ _CACHED_WORDS = 1 << 18
 
 
 class _WordHashes(dict):
+    """Words by number, with both halves of their 128-bit hashes by that number."""
+
+    def __init__(self) -> None:
+        self.halves = np.zeros((2, _CACHED_WORDS), "u8")
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= _CACHED_WORDS:
+        self[word] = at = len(self)
+        value = xxhash.xxh3_128_intdigest(word, 7)
+        self.halves[:, at] = value & 0xFFFFFFFFFFFFFFFF, value >> 64
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) + len(words) > self.halves.shape[1]:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, 7)
-        return value
+            if len(words) > self.halves.shape[1]:
+                self.halves = np.zeros((2, 2 * len(words)), "u8")
+        return self.halves[:, np.fromiter(map(self.__getitem__, words), "i8", len(words))]
 
 
 _HASHES = _WordHashes()
@@ -77,10 +90,9 @@ class Words:
         self.words = (text or "").encode("utf-8", "surrogatepass").split()
         self.n = len(self.words)
         if self.n >= WINDOW:
-            own = np.fromiter(map(_HASHES.__getitem__, self.words), "u8", self.n)
             power, self.inverse = _powers(self.n + 1)
             self.sums = []
-            for h in (own, _mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
+            for h in _HASHES.of(self.words):
                 total = np.zeros(self.n + 1, "u8")
                 np.cumsum(h * power[: self.n], out=total[1:])
                 self.sums.append(total)
@@ -141,24 +153,25 @@ def _stretches(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, v, doc_id, start)``: both hashes of every window of the wanted stretches (doc_id, ats)."""
+    """``(h, v, batch, doc_id, start)``: both hashes of every window of the wanted stretches (doc_id, ats)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text, ats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            ids, numbers = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for doc_id, text, ats, number in zip(ids, batch.column(1), batch.column(2), numbers, strict=True):
                 words = Words(text.as_py())
                 at = ats.values.to_numpy(zero_copy_only=False)
                 start = np.concatenate([np.arange(x >> 4, (x >> 4) + (x & 15) + 1) for x in at.tolist()])
                 for col, x in zip(cols, (words.ranges(0, start, start + WINDOW).view("i8"),
-                                         words.ranges(1, start, start + WINDOW).view("i8"),
+                                         words.ranges(1, start, start + WINDOW).view("i8"), np.full(len(start), number, "i8"),
                                          np.full(len(start), doc_id, "i8"), start), strict=True):
                     col.append(x)
             arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, "i8"), pa.int64()) for c in cols]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "v", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "v", "batch", "doc_id", "start"])
 
-    joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "ats")
-    return joined.mapInArrow(found, "h long, v long, doc_id long, start long")
+    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "ats", "batch")
+    return joined.mapInArrow(found, "h long, v long, batch long, doc_id long, start long")
 
 
 class FingerprintIndex:
@@ -235,22 +248,16 @@ class FingerprintIndex:
         release(spark)
         unsure = materialize(firsts.join(shared, "a", "left_semi").select("doc_id", "at"), "unsure")
         release(spark)
-        texts = docs.select("doc_id", "text")
+        texts = docs.select("doc_id", "text", F.lit(number).cast("long").alias("batch"))
         texts = texts if self.texts is None else self.texts.unionByName(texts)
         if not is_empty(unsure):
             wanted = unsure.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
             windows = materialize(_windows(texts, wanted), "windows")
             release(spark)
-            batches = docs.select("doc_id")
-            firsts = (
-                windows.groupBy("h", "v")
-                .agg(F.min(F.struct("doc_id", "start")).alias("top"), F.count("*").alias("n")).where("n > 1")
-                .select("h", "v", "top")
-            )
-            later = windows.join(firsts, ["h", "v"]).where(F.struct("doc_id", "start") != F.col("top"))
-            part = later.select("doc_id", (F.col("start") * 16).alias("at"))
-            if self.batches:
-                part = part.join(batches, "doc_id", "left_semi")
+            place = F.struct("batch", "doc_id", "start")
+            firsts = windows.groupBy("h", "v").agg(F.min(place).alias("top"), F.count("*").alias("n")).where("n > 1").select("h", "v", "top")
+            mine = windows.where(F.col("batch") == number) if number else windows
+            part = mine.join(firsts, ["h", "v"]).where(place != F.col("top")).select("doc_id", (F.col("start") * 16).alias("at"))
             repeats.append(materialize(part, "parts"))
             discard(windows)
             release(spark)
