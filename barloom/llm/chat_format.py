@@ -4,15 +4,17 @@ A legal conversation is an optional system turn, then user and assistant in alte
 assistant. Dynamic programming over this automaton chooses, at least cost, which turns to relabel, which
 to merge with the turn before and where to insert empty turns. The repaired sequence is then rendered.
 
-A conversation is cut into blocks of turn numbers. A block's work is a small matrix, the least cost from
-each state before it to each state after it; the matrices of a conversation are combined first, which
-fixes the states at the block borders, and then each block is repaired by itself. No conversation, however
-long, is held by one task; the result has a row per turn with its part of the rendering, in order.
+All turns are range-sorted by conversation and turn, and the sorted rows are cut into blocks of ``BLOCK_TURNS``.
+A block's work is a small matrix, the least cost from each state before it to each state after it; the matrices
+of a conversation are combined first, which fixes the states at the block borders, and then each block is
+repaired by itself. So no task holds a conversation, however long and however its turns are numbered; the result
+has a row per turn with its part of the rendering, in order, and ``rendered_conversations`` joins them.
 
 Defined cases: roles are compared trimmed and in lower case; null or unknown roles are relabelled at a
 lower cost; null texts are empty; turns with equal numbers are ordered by role and text, and turns without a
-number come last; a null conv_id is a conversation of its own. An empty table gives an empty result. Only
-conv_id, turn, role and text are looked at.
+number come last; a null conv_id is a conversation of its own; ids keep their type. Turns that agree in
+conversation, number, role and the first ``PREFIX`` code points of a longer text are sorted by one task. An empty
+table gives an empty result. Only conv_id, turn, role and text are looked at.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_width
 
 ROLES = ("system", "user", "assistant")
 START, AFTER = 0, {"system": 1, "user": 2, "assistant": 3}  # states: nothing yet, or after a turn of a role
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 2.0, 0.5, 1.0, 1.5
-BLOCK_TURNS = 1024
+BLOCK_TURNS, PREFIX, PART_CHARS = 1024, 256, 1 << 20
 _INF = 1e18
 
 
@@ -154,26 +157,33 @@ def _runs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    columns = ["key", "block", "turn", "role", "text"]
-    return pdf.sort_values(columns, kind="stable", na_position="last", ignore_index=True)
+    return pdf.sort_values(["key", "block", "position"], kind="stable", ignore_index=True)
+
+
+def _sorted_turns(turns: DataFrame, block_turns: int) -> DataFrame:
+    """The turns with key, position in the order of conversations and turns, and block; written in that order."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+    rows = turns.select("conv_id", F.col("turn").cast("long"), F.col("role"), F.col("text"), key.alias("key"))
+    # Equal turns are equal rows where the text is short, so chance may part them; only then.
+    short = F.coalesce(F.length("text"), F.lit(0)) <= PREFIX
+    rows = rows.withColumns({"start": F.substring("text", 1, PREFIX), "chance": F.when(short, F.rand(7)).otherwise(0.0)})
+    order = [F.col("key"), *(F.col(c).asc_nulls_last() for c in ("turn", "role", "start"))]
+    dealt = rows.repartitionByRange(shuffle_width(turns.sparkSession), *order, F.col("chance"))
+    dealt = dealt.sortWithinPartitions(*order, F.col("text").asc_nulls_last(), F.col("chance")).drop("start", "chance")
+    dealt = dealt.withColumn("position", F.monotonically_increasing_id())
+    return dealt.withColumn("block", F.floor(F.col("position") / block_turns).cast("long"))
 
 
 def repair_conversations(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """A row per turn: conv_id, turn, place in its block, role, new_role, action, inserted roles and rendered part.
 
     The parts of a conversation, in order of block and place, joined without separator, are its rendering.
-    Blocks are dealt by hash into groups of about ``GROUP_TURNS`` turns, so that a task's Python call has
+    Blocks number the sorted rows of all conversations; a conversation's are in order but needn't start at 0.
+    They are dealt by hash into groups of about ``GROUP_TURNS`` turns, so that a task's Python call has
     many short conversations or a few blocks of a long one.
     """
-    keyed = turns.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text"),
-    ).withColumns(
-        {
-            "key": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")),
-            "block": F.coalesce(F.floor(F.col("turn") / block_turns), F.lit((1 << 62))).cast("long"),
-        }
-    )
-    keyed = materialize(keyed, "turns")
+    keyed = materialize(_sorted_turns(turns, block_turns), "turns")
+    id_type = turns.schema["conv_id"].dataType.simpleString()
     groups = max(1, -(-keyed.count() // GROUP_TURNS))
 
     def dealt(df: DataFrame, *by: str):
@@ -209,7 +219,7 @@ def repair_conversations(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
             place += range(b - a)
         return pd.DataFrame(
             {
-                "conv_id": pdf["conv_id"].astype("Int64"), "turn": pdf["turn"].astype("Int64"), "block": pdf["block"],
+                "key": pdf["key"], "turn": pdf["turn"].astype("Int64"), "block": pdf["block"],
                 "place": place, "role": pdf["role"], "new_role": [ROLES[r] for r, _, _ in steps],
                 "merged": [m for _, _, m in steps],
                 "relabelled": [h != r for h, (r, _, _) in zip(roles, steps, strict=True)],
@@ -221,8 +231,25 @@ def repair_conversations(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     blocks = dealt(keyed, "key", "block").applyInPandas(matrices, "key string, block long, costs array<double>")
     states = dealt(blocks, "key").applyInPandas(borders, "key string, block long, entry int, leave int, last boolean")
     states = materialize(states, "borders")
-    return dealt(keyed.join(states, ["key", "block"]), "key", "block").applyInPandas(
+    done = dealt(keyed.drop("conv_id").join(states, ["key", "block"]), "key", "block").applyInPandas(
         repaired,
-        "conv_id long, turn long, block long, place int, role string, new_role string, merged boolean, "
+        "key string, turn long, block long, place int, role string, new_role string, merged boolean, "
         "relabelled boolean, inserted_before array<string>, inserted_after array<string>, rendered string",
     )
+    conv_id = F.when(F.col("key") != "null", F.substring("key", 2, (1 << 31) - 1)).cast(id_type)
+    return done.withColumn("key", conv_id).withColumnRenamed("key", "conv_id")
+
+
+def rendered_conversations(repaired: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """``(conv_id, part, text, turns)``: each conversation's rendering, in numbered parts where it is long.
+
+    A part ends with the block that reaches ``part_chars`` code points; parts joined in order lose nothing.
+    """
+    joined = lambda by, text: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda x: x[text]), ""
+    ).alias("text")
+    blocks = repaired.groupBy("conv_id", "block").agg(joined("place", "rendered"), F.count("*").alias("turns"))
+    along = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text")).over(along), F.lit(0))
+    parted = blocks.withColumn("part", F.floor(before / part_chars).cast("int"))
+    return parted.groupBy("conv_id", "part").agg(joined("block", "text"), F.sum("turns").alias("turns"))

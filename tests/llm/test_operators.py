@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on the small tables and on awkward rows."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -222,6 +223,66 @@ def test_chat_conversations(spark, sf_dir):
     assert whole.count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
 
 
+def least_cost(roles):
+    """The least cost of a legal labelling, by recursion over turns and states."""
+    @functools.cache
+    def best(at, state):
+        if at == len(roles):
+            return chat_format.ENDING[state][1]
+        return min(
+            c + chat_format._label_cost(roles[at], r) + best(at + 1, a) for s, r, a, c, _, _ in chat_format.STEPS if s == state
+        )
+
+    return best(0, 0)
+
+
+def check_rendering(text, turns, got):
+    """A rendering opens and closes legal turns only, has the texts in order, and its repairs cost the least."""
+    opened = re.findall(r"<\|(system|user|assistant)\|>\n", text)
+    assert opened[:1] != ["assistant"] and "system" not in opened[1:]
+    talk = [r for r in opened if r != "system"]
+    assert talk == ["user", "assistant"] * (len(talk) // 2) and text.count("\n<|end|>\n") == len(opened)
+    at = 0
+    for _, _, said in turns:
+        at = text.index(chat_format.escaped(said or ""), at) + len(chat_format.escaped(said or ""))
+    cost = sum(
+        chat_format._label_cost(chat_format.known_role(r["role"]), chat_format.ROLES.index(r["new_role"])) + r["merged"] * chat_format.MERGE
+        + (len(r["inserted_before"]) + len(r["inserted_after"])) * chat_format.INSERT for r in got
+    )
+    assert cost == pytest.approx(least_cost(tuple(chat_format.known_role(r) for _, r, _ in turns)))
+
+
+@pytest.mark.parametrize("block_turns", [3, 1024])
+def test_chat_whole_table(spark, sf_dir, block_turns):
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = chat_format.repair_conversations(table, block_turns)
+    repaired.cache()
+    turns, got = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows(table):
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"]))
+    for r in rows(repaired):
+        got[r["conv_id"]].append(r)
+    texts = collections.defaultdict(str)
+    for r in sorted(rows(chat_format.rendered_conversations(repaired, 200)), key=lambda r: r["part"]):
+        texts[r["conv_id"]] += r["text"]
+    assert got.keys() == turns.keys() == texts.keys()
+    last = lambda t: (t[0] is None, t[0] or 0, t[1] is None, t[1] or "", t[2] is None, t[2] or "")
+    for conv in turns:
+        check_rendering(texts[conv], sorted(turns[conv], key=last), got[conv])
+    assert {r["conv_id"]: r["text"] for r in rows(chat_format.rendered_conversations(repaired))} == texts
+
+
+def test_chat_equal_turns_and_text_ids(spark):
+    turns = [("a", 1, "user", f"same {i % 3}", 5) for i in range(100)] + [("b", None, None, None, 5)] * 50 + [("null", 1, "user", "x", 5), (None, 1, "user", "y", 5)]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string, block int").repartition(5)
+    got = rows(chat_format.repair_conversations(df, 8))
+    assert collections.Counter(r["conv_id"] for r in got) == {"a": 100, "b": 50, "null": 1, None: 1}
+    assert max(collections.Counter((r["conv_id"], r["block"]) for r in got).values()) <= 8
+    text = {r["conv_id"]: r["text"] for r in rows(chat_format.rendered_conversations(chat_format.repair_conversations(df, 8)))}
+    assert re.findall(r"same \d", text["a"]) == sorted(f"same {i % 3}" for i in range(100))
+    assert text["null"] == "<|user|>\nx\n<|end|>\n<|assistant|>\n\n<|end|>\n"
+
+
 # 4 media
 
 
@@ -369,6 +430,24 @@ def test_substring_dedup(spark, batches):
     assert got == removed_by_force(docs)
 
 
+@pytest.mark.parametrize("fanout", [2, 9])
+def test_substring_index_by_batches(spark, fanout):
+    """Earlier batches come first, whatever their doc_ids; runs are compacted on the way."""
+    docs = made_documents()
+    parts = [[d for d in docs if 90 <= d[0]], [d for d in docs if 30 <= d[0] < 90], [d for d in docs if d[0] < 30]]
+    index = substring_dedup.FingerprintIndex(spark, buckets=2, fanout=fanout)
+    got = {}
+    for part in parts:
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        for r in rows(substring_dedup.remove_repeats(df, index)):
+            got[r["doc_id"]] = (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest())
+    assert len(index.runs) == (1 if fanout == 2 else 3)
+    index.drop()
+    ordered = [d for part in parts for d in part]
+    want = removed_by_force([(i, text) for i, (_, text) in enumerate(ordered)])
+    assert got == {doc_id: want[i] for i, (doc_id, _) in enumerate(ordered)}
+
+
 def test_substring_dedup_documents(spark, sf_dir, documents, awkward, empty):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(QUERIES["op6_substring_dedup"](spark, sf_dir))}
     assert got == removed_by_force([(r["doc_id"], r["text"]) for r in rows(documents)])
