@@ -2,34 +2,39 @@
 
 Each image is looked at in several scales. Corners are local maxima of the structure tensor's least
 eigenvalue; the patch around a corner is turned by the direction of its intensity centroid and described
-by 128 comparisons of point pairs. Descriptors meet in Hamming tables: an equality join on each of four
-32-bit words, verified on all bits. The pairs of points that agree vote for a shift and a scale of the whole
-image, and an image is a match if enough of them agree on one.
+by 128 comparisons of point pairs. Descriptors meet in Hamming tables, one for each of six words of 21 bits or
+more: an equality join of the words of all pictures with those of the queries, as they are and with each bit
+turned. Two descriptors ``MAX_DISTANCE`` = 11 bits apart have a word that differs in one bit at most, so the tables
+find what a comparison of all pairs would. The pairs of points that agree vote for a shift and a scale of the
+whole image, and an image is a match if enough of them agree on one.
 
 Images with equal pixels are one class, and only one of a class is described and joined, so that a
-picture with a third of all rows costs no more than any other.
+picture with a third of all rows costs no more than any other. Words that many points share are split by the
+adaptive skew join.
 
 Defined cases: a null or malformed image has no descriptors and matches nothing; images without corners
 match nothing but their own class; equal votes go to the smaller query. An empty table gives an empty
 result. Only media_id and image are looked at. Images are binary PGM (P5), a media column that needs no
-decoder; ``render`` makes them from vectors, as the tables have no pictures: a vector seeds a texture.
+decoder; ``render`` makes them from vectors, as the tables have no pictures: a vector's numbers weigh fixed
+textures, so that near vectors give like pictures.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, sliced
 
 SCALES = (1.0, 0.7, 0.5)
-PATCH, TABLES, BITS = 7, 4, 128
-MAX_DISTANCE, MIN_VOTES, BIN = 8, 5, 4
+PATCH, TABLES, BITS = 7, 6, 128
+MAX_DISTANCE, MIN_VOTES, BIN = 2 * TABLES - 1, 5, 4
+OCTAVES = ((6, 1.0), (12, 1.0), (24, 0.7))
 _PICK = np.random.default_rng(20)
 _PLACES = np.clip(_PICK.normal(0, PATCH / 1.8, (BITS, 3)), -PATCH + 1, PATCH - 1)
 #: Point pairs of the binary tests. Both points lie across the patch's direction, so that the gradient that
@@ -37,15 +42,22 @@ _PLACES = np.clip(_PICK.normal(0, PATCH / 1.8, (BITS, 3)), -PATCH + 1, PATCH - 1
 _PAIRS = np.stack([_PLACES[:, 0], _PLACES[:, 1], _PLACES[:, 0], _PLACES[:, 2]], axis=1)
 
 
+@lru_cache
+def _textures(length: int) -> list[np.ndarray]:
+    """For each octave the random grids that a vector of ``length`` numbers weighs."""
+    rng = np.random.default_rng(length)
+    return [rng.normal(0, 1, ((cells + 1) ** 2, length)).astype("f4") for cells, _ in OCTAVES]
+
+
 def render(vector: list[float] | None, side: int = 64) -> bytes | None:
     """A picture of cloudy texture in three octaves that a vector determines, as PGM."""
     if vector is None or not len(vector):
         return None
-    values = np.nan_to_num(np.asarray(vector, "f4"))
-    rng = np.random.default_rng(zlib.crc32(values.tobytes()))
+    values = np.nan_to_num(np.asarray(vector, "f4"), posinf=0, neginf=0)
+    values = values / max(float(np.linalg.norm(values)), 1e-9)  # bounded, so that no picture is all black or white
     picture = np.zeros((side, side))
-    for cells, weight in ((6, 1.0), (12, 1.0), (24, 0.7)):
-        grid = rng.normal(0, 1, (cells + 1, cells + 1))
+    for (cells, weight), basis in zip(OCTAVES, _textures(len(values)), strict=True):
+        grid = (basis @ values).reshape(cells + 1, cells + 1)
         at = np.arange(side) * cells / side
         i, f = at.astype(int), at % 1
         f = f * f * (3 - 2 * f)
@@ -141,40 +153,52 @@ POINT_SCHEMA = "media_id long, x float, y float, scale float, high long, low lon
 def local_descriptors(images: DataFrame) -> DataFrame:
     """A row per corner of ``images(media_id, image)``."""
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
             ids, points = [], []
-            for media_id, image in zip(pdf["media_id"], pdf["image"], strict=True):
-                found = describe(decode_pgm(image))
+            for media_id, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = describe(decode_pgm(image.as_py()))
                 ids += [media_id] * len(found)
                 points += found
             codes = np.array([p[3] for p in points], "u1").reshape(-1, 16).copy().view("<i8")
-            yield pd.DataFrame(
-                {
-                    "media_id": np.array(ids, "i8"), "x": np.array([p[0] for p in points], "f4"),
-                    "y": np.array([p[1] for p in points], "f4"), "scale": np.array([p[2] for p in points], "f4"),
-                    "high": codes[:, 0], "low": codes[:, 1],
-                }
+            places = [pa.array(np.array([p[i] for p in points], "f4")) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), *places, pa.array(codes[:, 0]), pa.array(codes[:, 1])],
+                ["media_id", "x", "y", "scale", "high", "low"],
             )
 
-    return images.select("media_id", "image").mapInPandas(described, POINT_SCHEMA)
+    return images.select("media_id", "image").mapInArrow(described, POINT_SCHEMA)
+
+
+def _words() -> list[Column]:
+    """The words of a descriptor: three of 21 bits from each half, the last of a half with its 22nd bit too."""
+    out = []
+    for c in ("high", "low"):
+        for i in range(TABLES // 2):
+            last = i == TABLES // 2 - 1
+            out.append(F.shiftrightunsigned(F.col(c), 21 * i).bitwiseAND((1 << (22 if last else 21)) - 1))
+    return out
 
 
-def _tables(points: DataFrame) -> DataFrame:
-    """A row for each 32-bit word of a descriptor, tagged with the word's place."""
-    words = [
-        F.shiftrightunsigned(c, 32 * i).bitwiseAND(0xFFFFFFFF) + F.lit((2 * (c == "low") + i) << 32)
-        for c in ("high", "low") for i in range(2)
-    ]
-    return points.select("*", F.explode(F.array(*words)).alias("word"))
+def _tables(points: DataFrame, turned: bool) -> DataFrame:
+    """A row for each word of a descriptor, tagged with the word's place; ``turned``: and for each bit of it turned."""
+    keys = []
+    for i, word in enumerate(_words()):
+        bits = 22 if i % (TABLES // 2) == TABLES // 2 - 1 else 21
+        keys.append(word + (i << 32))
+        if turned:
+            keys += [word.bitwiseXOR(F.lit(1 << b)) + (i << 32) for b in range(bits)]
+    return points.select("*", F.explode(F.array(*keys)).alias("word"))
 
 
 def match_points(queries: DataFrame, points: DataFrame, max_distance: int = MAX_DISTANCE, min_votes: int = MIN_VOTES) -> DataFrame:
     """``(query_id, media_id, votes)`` of pictures that enough points place at one shift and scale."""
-    q, p = _tables(queries).alias("q"), _tables(points).alias("p")
+    q, p = _tables(queries, turned=True).alias("q"), _tables(points, turned=False).alias("p")
     apart = F.bit_count(F.col("q.high").bitwiseXOR(F.col("p.high"))) + F.bit_count(
         F.col("q.low").bitwiseXOR(F.col("p.low"))
     )
+    if max_distance > MAX_DISTANCE:
+        raise ValueError(f"the tables find points up to {MAX_DISTANCE} bits apart")
     pairs = q.join(p, (F.col("q.word") == F.col("p.word")) & (apart <= max_distance))
     ratio = F.col("q.scale") / F.col("p.scale")
     vote = pairs.select(
@@ -205,12 +229,13 @@ def find_copies(media: DataFrame, query_every: int = 20) -> DataFrame:
     pictures = classes.select(F.col("class_id").alias("media_id"), "image")
     points = materialize(local_descriptors(pictures), "points")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(image=[edited(x) for x in pdf["image"]])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
+            images = [edited(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["media_id", "image"])
 
     asked = classes.where("asked").select(F.col("class_id").alias("media_id"), "image")
-    queries = materialize(local_descriptors(asked.mapInPandas(cut, "media_id long, image binary")), "query-points")
+    queries = materialize(local_descriptors(asked.mapInArrow(cut, "media_id long, image binary")), "query-points")
     matches = materialize(match_points(queries, points), "matches")
     best = matches.groupBy("media_id").agg(
         F.count("*").alias("n_links"), F.max_by("query_id", F.struct("votes", -F.col("query_id"))).alias("best_query"),
@@ -220,14 +245,18 @@ def find_copies(media: DataFrame, query_every: int = 20) -> DataFrame:
         "digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_query", "best_votes"
     )
     named = materialize(named, "named")
+    for done in (classes, points, queries, matches):
+        discard(done)
     return rows.select("media_id", "digest").join(named, "digest").drop("digest")
 
 
 def rendered_vectors(vectors: DataFrame) -> DataFrame:
     """``(media_id, image)`` from ``vectors(vec_id, embedding)``."""
 
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"media_id": pdf["vec_id"], "image": [render(v) for v in pdf["embedding"]]})
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
+            images = [render(v.as_py()) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["media_id", "image"])
 
-    return vectors.select("vec_id", "embedding").mapInPandas(drawn, "media_id long, image binary")
+    chosen = vectors.select(F.col("vec_id").cast("long"), "embedding")
+    return chosen.mapInArrow(drawn, "media_id long, image binary")

@@ -300,6 +300,64 @@ def test_media_copies(spark):
     assert rows(media.find_copies(df.limit(0))) == []
 
 
+def boxes(rng):
+    """A picture of flat boxes with hard edges."""
+    p = np.full((64, 64), 120.0)
+    for _ in range(14):
+        y, x, h, w = rng.integers(0, 54, 2).tolist() + rng.integers(6, 26, 2).tolist()
+        p[y : y + h, x : x + w] = rng.integers(0, 255)
+    return media.encode_pgm(p)
+
+
+def votes_by_force(query, points):
+    """Votes of one query for one picture by comparing all their points, as match_points counts them."""
+    votes = collections.defaultdict(set)
+    for i, (qx, qy, qs, qc) in enumerate(query):
+        for px, py, ps, pc in points:
+            if int(np.bitwise_count(qc ^ pc).sum()) <= media.MAX_DISTANCE:
+                qx, qy, px, py, qs, ps = map(np.float32, (qx, qy, px, py, qs, ps))
+                ratio = float(qs) / float(ps)
+                place = lambda a, b: float(np.float64(a) - np.float64(b) * ratio) / media.BIN
+                half_up = lambda v: int(np.floor(abs(v) + 0.5) * np.sign(v))
+                votes[half_up(np.log2(ratio) * 2), half_up(place(px, qx)), half_up(place(py, qy))].add(i)
+    return max(map(len, votes.values()), default=0)
+
+
+def test_media_matches_by_force(spark):
+    """The tables find what comparing all points would, for textures and for pictures of boxes."""
+    rng = np.random.default_rng(4)
+    pictures = [media.render(rng.normal(0, 1, 64)) for _ in range(12)] + [boxes(rng) for _ in range(12)]
+    schema = "media_id long, image binary"
+    asked = {i: media.edited(p) for i, p in enumerate(pictures)}
+    every, queries = (spark.createDataFrame([(i, bytearray(p)) for i, p in x], schema) for x in (enumerate(pictures), asked.items()))
+    got = {(r["query_id"], r["media_id"]): r["votes"] for r in rows(media.match_points(media.local_descriptors(queries), media.local_descriptors(every)))}
+    q, p = ([media.describe(media.decode_pgm(x)) for x in y] for y in (asked.values(), pictures))
+    want = {(i, j): v for i, a in enumerate(q) for j, b in enumerate(p) if (v := votes_by_force(a, b)) >= media.MIN_VOTES}
+    assert got == want
+
+
+def test_media_recall_over_edits(spark):
+    """Copies by crop, contrast, noise and size are found, and few others, among textures and boxes."""
+    rng = np.random.default_rng(5)
+    pictures = [media.render(rng.normal(0, 1, 64)) for _ in range(60)] + [boxes(rng) for _ in range(60)]
+    decoded = [media.decode_pgm(p) for p in pictures]
+    edits = {
+        "crop": lambda p: p[8:, 10:], "corner": lambda p: p[:46, :46], "contrast": lambda p: p * 0.7 + 30,
+        "noise": lambda p: p + rng.normal(0, 2, p.shape), "smaller": lambda p: media._scaled(p, 0.7),
+    }
+    every = media.local_descriptors(spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(pictures)], "media_id long, image binary"))
+    every.cache()
+    found = {}
+    for name, edit in edits.items():
+        asked = [(i, bytearray(media.encode_pgm(edit(p)))) for i, p in enumerate(decoded)]
+        got = rows(media.match_points(media.local_descriptors(spark.createDataFrame(asked, "media_id long, image binary")), every))
+        right = sum(r["query_id"] == r["media_id"] for r in got)
+        found[name] = (right / len(pictures), right / max(1, len(got)))
+    print(found)
+    assert all(recall >= 0.9 for recall, _ in found.values()), found
+    assert all(precision >= 0.9 for _, precision in found.values()), found
+
+
 def test_media_malformed():
     assert media.describe(media.decode_pgm(b"P5 9 9 255\n123")) == []
     assert media.describe(media.decode_pgm(None)) == []
