@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The event types that an annotation may have.
@@ -28,6 +31,50 @@ def stub_annotations(news: DataFrame, prompt_version: str = PROMPT_VERSION) -> D
     )
 
 
+class AnnotationPort(Protocol):
+    """Who annotates, in two phases: a batch of requests is submitted, and its results are collected later."""
+
+    def submit(self, requests: DataFrame) -> str:
+        """Take ``requests(content_hash, headline, body)``; the batch's name."""
+
+    def collect(self, batch: str) -> DataFrame | None:
+        """The results of a batch, failed ones among them, or None while it runs."""
+
+
+class StubAnnotator:
+    """Annotations read off the hashes, by way of the shared folder. A batch runs for ``polls`` collects."""
+
+    def __init__(self, spark: SparkSession, folder: str, polls: int = 0):
+        self.spark, self.folder, self.left = spark, folder.rstrip("/"), {}
+        self.polls = polls
+
+    def submit(self, requests: DataFrame) -> str:
+        batch = f"batch-{uuid.uuid4().hex}"
+        requests.select("content_hash", "headline", "body").write.parquet(f"{self.folder}/{batch}")
+        self.left[batch] = self.polls
+        return batch
+
+    def collect(self, batch: str) -> DataFrame | None:
+        if batch not in self.left:
+            raise KeyError(f"unknown batch: {batch}")
+        if self.left[batch]:
+            self.left[batch] -= 1
+            return None
+        return stub_annotations(self.spark.read.parquet(f"{self.folder}/{batch}"))
+
+
+def annotation_requests(news: DataFrame, annotations: DataFrame | None, limit: int | None = None, prompt_version: str = PROMPT_VERSION) -> DataFrame:
+    """``(content_hash, headline, body)`` of news without an annotation of this prompt, one a hash, by first item."""
+    order = F.col("item_id").cast("long")
+    item = F.struct(order.alias("item"), "headline", "body")
+    wanted = news.groupBy("content_hash").agg(F.min_by(item, order).alias("first"))
+    if annotations is not None:
+        done = annotations.where(F.col("prompt_version") == prompt_version).select("content_hash")
+        wanted = wanted.join(done, "content_hash", "left_anti")
+    wanted = wanted.orderBy("first.item").limit(limit) if limit is not None else wanted
+    return wanted.select("content_hash", "first.headline", "first.body")
+
+
 def parse_annotation(reply: Column) -> Column:
     """A model's JSON reply as a struct, clamped to its ranges; null if a field is missing or unusable."""
     r = F.from_json(reply, "sentiment string, relevance string, event_type string, rationale string")

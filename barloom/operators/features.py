@@ -88,5 +88,5 @@ def panel_report(marked: DataFrame) -> DataFrame:
 
 
 def date_positions(rows: DataFrame, column: str = "decision_ts") -> DataFrame:
-    """Distinct dates with their position from 0. One row a date; the numbering is over dates alone."""
+    """Distinct dates with their position from 0. The numbering is one task over dates alone: a calendar, some thousands."""
     return rows.select(column).distinct().withColumn("pos", F.row_number().over(W.orderBy(column)) - 1)

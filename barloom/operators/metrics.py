@@ -122,12 +122,28 @@ def dominance(parts: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
 
 
+#: Ranges of scores that ranks are summed over first; a range's distinct scores are sorted by one task.
+SCORE_RANGES = 4096
+
+
 def roc_auc_and_brier(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """AUC by rank sums with average ranks, and Brier score, of ``(p, label)``; null AUC for one class."""
-    ties = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    by = W.partitionBy(*keys).orderBy("p") if keys else W.partitionBy(F.lit(0)).orderBy("p")
-    below = F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
+    """AUC by rank sums with average ranks, and Brier score, of probabilities ``(p, label)``; null AUC for one class.
+
+    Ranks are prefix sums: over ranges of scores, a bounded number of rows, and inside each range.
+    """
+    part = F.greatest(F.lit(0), F.least(F.lit(SCORE_RANGES - 1), F.floor(F.col("p") * SCORE_RANGES))).cast("int")
+    ties = scored.groupBy(*keys, part.alias("_range"), "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    by = [*keys, "_range"]
+    ranges = ties.groupBy(*by).agg(F.sum("n").alias("_in"))
+    along = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select(*by, F.coalesce(F.sum("_in").over(along), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*by).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    below = F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    same = F.lit(True)
+    named = starts.withColumnsRenamed({c: f"_own_{c}" for c in by})
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_own_{c}"))
+    ranked = ties.join(named, same).withColumn("rank", below + (F.col("n") + 1) / 2)
     pos, total = F.sum("pos"), F.sum("n")
     auc = F.try_divide(F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2, pos * (total - pos))
     out = ranked.groupBy(*keys).agg(auc.alias("auc"), total.alias("n"))

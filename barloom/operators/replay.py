@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .indicators import add_sizing
-from .strategies import Classifier, RandomLongFlat
+from .strategies import Classifier, PerSymbol, RandomLongFlat
 
 FORCED = "Last bar: closing what is held."
 EVENT_COLUMNS = (
@@ -96,6 +96,12 @@ def decider_for(strategy) -> type[Decider]:
     return ScoreDecider if isinstance(strategy, Classifier) else RandomDecider if isinstance(strategy, RandomLongFlat) else Decider
 
 
+def decider_of(strategy, symbol: str, cols: dict[str, np.ndarray], seed_shift: int = 0) -> Decider:
+    """A fresh decider of one symbol's own strategy."""
+    own = strategy.of(symbol) if isinstance(strategy, PerSymbol) else strategy
+    return decider_for(own)(cols, own, seed_shift)
+
+
 def level_hit(entry: float, close: float, stop: float | None, target: float | None) -> str | None:
     if not (math.isfinite(entry) and entry > 0 and math.isfinite(close)):
         return None
@@ -176,7 +182,7 @@ def replay_group(pdf: pd.DataFrame, strategy, cfg: ReplayConfig, seed_shift: int
     cols = {c: pdf[c].to_numpy() for c in INPUTS if c in pdf.columns}
     curve, fills, halted, halt_ts = fold(
         pdf["ts"].tolist(), pdf["open"].to_numpy("f8"), pdf["close"].to_numpy("f8"), pdf["fraction"].to_numpy("f8"),
-        decider_for(strategy)(cols, strategy, seed_shift), cfg,
+        decider_of(strategy, pdf["symbol"].iloc[0], cols, seed_shift), cfg,
     )
     eq = pd.DataFrame(curve, columns=EQUITY).assign(kind="equity")
     fl = pd.DataFrame(fills, columns=FILL[1:]).assign(kind="fill")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import annotate, money
 from ..functions.stats import expected_max_column, psr_column
-from ..operators import basket, evaluation, learning, metrics, paper, quality, replay, research, significance
+from ..operators import basket, cycle, evaluation, learning, metrics, paper, quality, replay, research, significance
 from ..operators import news as news_ops
 from ..operators import features as feats
 from ..operators.indicators import INDICATORS, add_indicators, add_sizing, rolling, trailing_return
@@ -343,10 +343,10 @@ SELECT item_id, content_hash FROM (
   WHERE content_hash NOT IN (SELECT content_hash FROM ann WHERE seed % 3 = 0)) WHERE n = 1 ORDER BY item_id::BIGINT LIMIT 100""")
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     news, ann = annotated_news(spark, sf_dir)
-    done = ann.where(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("long") % 3 == 0).select("content_hash")
-    first = W.partitionBy("content_hash").orderBy(F.col("item_id").cast("long"))
-    open_ = news.select("item_id", "content_hash").join(done, "content_hash", "left_anti").withColumn("n", F.row_number().over(first))
-    return open_.where("n = 1").orderBy(F.col("item_id").cast("long")).limit(100).select("item_id", "content_hash")
+    done = ann.where(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("long") % 3 == 0)
+    wanted = annotate.annotation_requests(news, done, 100)
+    firsts = news.groupBy("content_hash").agg(F.min_by("item_id", F.col("item_id").cast("long")).alias("item_id"))
+    return wanted.join(firsts, "content_hash").select("item_id", "content_hash")
 
 
 @query("j04_cost_of_symbols", sql.with_(sql.NEWS) + "SELECT round(coalesce(sum(cost_usd), 0), 8) AS cost_usd FROM ann WHERE content_hash IN (SELECT content_hash FROM news WHERE symbol IN ('AF', 'NO'))")
@@ -566,18 +566,33 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EventOverlay(Flat()).apply(frame).select("symbol", "ts", "adverse")
 
 
-@query("t03_event_overlay_replay")
+ADVERSE = sql.mean_reversion().replace("sig AS", "sig0 AS") + ", sig AS MATERIALIZED (SELECT sig0.* EXCLUDE (signal), CASE WHEN n_event >= 0.5 AND n_decayed < -0.3 THEN -1 ELSE signal END AS signal FROM sig0 JOIN nf USING (symbol, ts, i))"
+RUN_OUT = "s.symbol, n, round(final_equity, 4) AS final_equity, round(total_return_pct, 4) + 0 AS total_return_pct, round(max_drawdown_pct, 4) + 0 AS max_drawdown_pct, round(sharpe, 4) + 0 AS sharpe, coalesce(num_trades, 0) AS num_trades"
+
+
+def _run_out(events: DataFrame) -> DataFrame:
+    m = metrics.run_metrics(replay.equity_curve(events), replay.fills(events), 100_000.0)
+    return rounded(m.select("symbol", "n", "final_equity", "total_return_pct", "max_drawdown_pct", "sharpe", "num_trades"), 4)
+
+
+def _run_sql(*ctes: str, **how: str) -> str:
+    return sql.with_(sql.BARS, *ctes, sql.fold(**how), sql.equity_stats()) + f"SELECT {RUN_OUT} FROM stats s LEFT JOIN tstats t USING (symbol)"
+
+
+@query("t03_event_overlay_replay", _run_sql(sql.BANDS, sql.NEWS, sql.ARRIVE, ADVERSE))
 def t03b(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = news_ops.add_news_features(bands(spark, sf_dir), joined_news(spark, sf_dir))
-    events = replay.replay(frame, EventOverlay(MeanReversion()))
-    return rounded(metrics.run_metrics(replay.equity_curve(events), replay.fills(events), 100_000.0), 4)
+    return _run_out(replay.replay(frame, EventOverlay(MeanReversion())))
+
+
+SCORED = "sig AS MATERIALIZED (SELECT *, 0 AS signal, 0.5::DOUBLE - 2 * (close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY i) - 1) AS p FROM b)"
+HYSTERESIS = "CASE WHEN p IS NULL THEN 0 WHEN qty = 0 THEN (p >= 0.55)::INT WHEN held >= 3 AND p < 0.5 THEN -1 ELSE 0 END"
 
 
-@query("t04_classifier_replay")
+@query("t04_classifier_replay", _run_sql(SCORED, signal=HYSTERESIS, more="p"))
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = bars(spark, sf_dir).withColumn("p_up", F.when(trailing_return(5).isNotNull(), 0.5 - 2 * trailing_return(5)))
-    events = replay.replay(frame, Classifier(0.55, 0.5, 3))
-    return rounded(metrics.run_metrics(replay.equity_curve(events), replay.fills(events), 100_000.0), 4)
+    return _run_out(replay.replay(frame, Classifier(0.55, 0.5, 3)))
 
 
 @query("t07_random_ensemble")
@@ -589,21 +604,9 @@ def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Replays
 
 
-RUN_OUT = "s.symbol, n, round(final_equity, 4) AS final_equity, round(total_return_pct, 4) + 0 AS total_return_pct, round(max_drawdown_pct, 4) + 0 AS max_drawdown_pct, round(sharpe, 4) + 0 AS sharpe, coalesce(num_trades, 0) AS num_trades"
-
-
-def _run_out(spark: SparkSession, events: DataFrame) -> DataFrame:
-    m = metrics.run_metrics(replay.equity_curve(events), replay.fills(events), 100_000.0)
-    return rounded(m.select("symbol", "n", "final_equity", "total_return_pct", "max_drawdown_pct", "sharpe", "num_trades"), 4)
-
-
-def _run_sql(*ctes: str, **how: str) -> str:
-    return sql.with_(sql.BARS, *ctes, sql.fold(**how), sql.equity_stats()) + f"SELECT {RUN_OUT} FROM stats s LEFT JOIN tstats t USING (symbol)"
-
-
 @query("e01_replay_reversion", _run_sql(sql.BANDS, sql.mean_reversion()))
 def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_out(spark, mr_events(spark, sf_dir))
+    return _run_out(mr_events(spark, sf_dir))
 
 
 @query("e01_equity_curve", MR_SQL + "SELECT symbol, ts, round(equity, 4) AS equity, round(cash, 4) AS cash, round(pv, 4) AS position_value FROM curve")
@@ -613,27 +616,27 @@ def e01b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e01_replay_trend", _run_sql(sql.INDICATORS, sql.TREND))
 def e01c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_out(spark, replay.replay(indicators(spark, sf_dir), TrendFollowing()))
+    return _run_out(replay.replay(indicators(spark, sf_dir), TrendFollowing()))
 
 
 @query("e01_replay_stops", _run_sql(sql.BANDS, sql.mean_reversion(), stop="0.05", target="0.03"))
 def e01d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_out(spark, mr_events(spark, sf_dir, replay.ReplayConfig(stop_loss_pct=0.05, take_profit_pct=0.03)))
+    return _run_out(mr_events(spark, sf_dir, replay.ReplayConfig(stop_loss_pct=0.05, take_profit_pct=0.03)))
 
 
 @query("e01_replay_halt", _run_sql(sql.BANDS, sql.mean_reversion(), cutoff="0.10"))
 def e01e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_out(spark, mr_events(spark, sf_dir, replay.ReplayConfig(max_drawdown_cutoff_pct=0.10)))
+    return _run_out(mr_events(spark, sf_dir, replay.ReplayConfig(max_drawdown_cutoff_pct=0.10)))
 
 
 @query("e01_replay_volatility", sql.with_(sql.BARS, sql.BANDS, VOL.format("ind"), sql.mean_reversion().replace("FROM ind", "FROM vols"), sql.fold(fraction=SIZED), sql.equity_stats()) + f"SELECT {RUN_OUT} FROM stats s LEFT JOIN tstats t USING (symbol)")
 def e01f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_out(spark, mr_events(spark, sf_dir, replay.ReplayConfig(target_vol=0.15)))
+    return _run_out(mr_events(spark, sf_dir, replay.ReplayConfig(target_vol=0.15)))
 
 
 @query("e01_replay_buy_and_hold", _run_sql(sql.BANDS, sql.HOLD))
 def e01g(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_out(spark, replay.replay(bars(spark, sf_dir), BuyAndHold()))
+    return _run_out(replay.replay(bars(spark, sf_dir), BuyAndHold()))
 
 
 @query("e06_basket_replay")
@@ -677,13 +680,39 @@ def v03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.splits_frame(bars(spark, sf_dir))
 
 
-@query("v04_walk_forward")
+WALK_SQL = sql.with_(
+    sql.BARS, sql.BANDS,
+    "grid AS (SELECT * FROM (VALUES (0, 1.5::DOUBLE, 0.0::DOUBLE), (1, 1.5, 0.5), (2, 2.0, 0.0), (3, 2.0, 0.5), (-1, 0, 0)) t(combo, a, z))",
+    "sp AS (SELECT symbol, k::INT AS split, 504 + k * 126 AS train_end, least(504 + k * 126 + 126, n) AS test_end FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), range(0, 100) r(k) WHERE 504 + k * 126 < n)",
+    """sig AS MATERIALIZED (
+  SELECT ind.*, split, i >= train_end AS tested, combo,
+         CASE WHEN combo = -1 THEN 1 WHEN sma_20 IS NULL OR std_20 IS NULL THEN 0 WHEN close < sma_20 - a * std_20 THEN 1 WHEN close >= sma_20 - z * std_20 THEN -1 ELSE 0 END AS signal
+  FROM ind JOIN sp USING (symbol) CROSS JOIN grid WHERE i < test_end AND (combo >= 0 OR i >= train_end))""",
+    sql.fold(keys="tested, split, combo, symbol"), sql.equity_stats("tested, split, combo, symbol"),
+    """best AS (SELECT symbol, split, arg_max(combo, row(sharpe, total_return_pct, -combo)) AS combo, max(sharpe) AS in_sample,
+       arg_max(total_return_pct, row(sharpe, total_return_pct, -combo)) AS in_sample_return FROM stats WHERE NOT tested GROUP BY symbol, split)""",
+) + """
+SELECT x.symbol, x.split, x.combo, round(in_sample, 4) + 0 AS in_sample, round(in_sample_return, 4) + 0 AS in_sample_return, round(o.sharpe, 4) + 0 AS out_sample,
+       round(o.total_return_pct, 4) + 0 AS out_sample_return, coalesce(num_trades, 0) AS num_trades, round(h.sharpe, 4) + 0 AS baseline,
+       round(h.total_return_pct, 4) + 0 AS baseline_return, o.total_return_pct > h.total_return_pct AS beats
+FROM best x JOIN stats o ON o.tested AND o.symbol = x.symbol AND o.split = x.split AND o.combo = x.combo
+JOIN stats h ON h.combo = -1 AND h.symbol = x.symbol AND h.split = x.split
+LEFT JOIN tstats t ON t.tested AND t.symbol = x.symbol AND t.split = x.split AND t.combo = x.combo"""
+
+
+@query("v04_walk_forward", WALK_SQL)
 def v04(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = bands(spark, sf_dir)
     splits = evaluation.splits_frame(frame)
     return rounded(evaluation.walk_forward(frame, "mean_reversion", GRID, splits), 4)
 
 
+@query("p08_train_until", sql.with_(sql.BARS, sql.INDICATORS, sql.features()) + "SELECT symbol, count(*) AS n, max(decision_ts) AS last FROM panel WHERE decision_ts < '1996-06-29' GROUP BY symbol")
+def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = learning.train_until(panel(spark, sf_dir), "1996-06-28")
+    return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.max("decision_ts").alias("last"))
+
+
 @query("v10_summary", sql.with_(sql.BARS) + """
 , w AS (SELECT symbol, year(ts) AS y, arg_max(close, ts) / arg_min(open, ts) - 1 AS out_sample, max(high) / min(low) - 1 AS in_sample, avg(close) / 100 - 1 AS baseline FROM bars GROUP BY ALL)
 SELECT symbol, count(*) AS n, round(max(out_sample), 6) AS best, round(median(out_sample), 6) AS median, round(min(out_sample), 6) AS worst,
@@ -699,7 +728,7 @@ def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PURGED = """
 , dates AS (SELECT decision_ts, row_number() OVER (ORDER BY decision_ts) - 1 AS pos FROM (SELECT DISTINCT decision_ts FROM panel)),
-sp AS (SELECT * FROM (VALUES (0, 0, 300, 300, 400), (1, 0, 400, 400, 500)) t(split, a, z, c, d)),
+sp AS (SELECT k::INT AS split, 0 AS a, 504 + k * 126 AS z, 504 + k * 126 AS c, least(504 + k * 126 + 126, n) AS d FROM (SELECT count(*) AS n FROM dates), range(0, 100) r(k) WHERE 504 + k * 126 < n),
 w AS (SELECT sp.*, x.decision_ts AS test_ts, e.decision_ts AS emb_ts FROM sp JOIN dates x ON x.pos = sp.c JOIN dates e ON e.pos = greatest(0, sp.c - 5)),
 roles AS (SELECT w.split, CASE WHEN pos >= w.c THEN 'test' WHEN label_end_ts >= test_ts THEN 'purged' WHEN p.decision_ts >= emb_ts THEN 'embargoed' ELSE 'train' END AS role
   FROM panel p JOIN dates USING (decision_ts) JOIN w ON pos >= w.a AND pos < w.d)
@@ -710,10 +739,15 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.panel(feats.add_features(indicators(spark, sf_dir)))
 
 
+def purged_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and test rows of the default splits over the whole panel."""
+    rows = written(panel(spark, sf_dir), "panel")
+    return evaluation.purged_split_rows(rows, evaluation.generate_splits(rows.select("decision_ts").distinct().count()))
+
+
 @query("v06_purged_splits", sql.with_(sql.BARS, sql.INDICATORS, sql.features()) + PURGED)
 def v06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluation.purged_split_rows(panel(spark, sf_dir), [(0, 300, 300, 400), (0, 400, 400, 500)])
-    return evaluation.split_counts(rows)
+    return evaluation.split_counts(purged_panel(spark, sf_dir))
 
 
 @query("v08_time_folds", sql.with_(sql.BARS, sql.INDICATORS, sql.features()) + """
@@ -738,21 +772,22 @@ def v10t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERF = """
-, perf AS (SELECT i - 1 AS obs_idx, symbol AS config, ret FROM st WHERE ret IS NOT NULL AND i <= 320),
-blocks AS (SELECT config, obs_idx // 40 AS block, avg(ret) AS mean FROM perf GROUP BY ALL),
-bits AS (SELECT x FROM range(0, 256) r(x) WHERE bit_count(x::INT) = 4),
-halves AS (SELECT x AS subset, k AS block, (x >> k) & 1 = 1 AS inside FROM bits, range(0, 8) r(k)),
+, perf AS (SELECT i - 1 AS obs_idx, symbol AS config, ret FROM st WHERE ret IS NOT NULL),
+num AS (SELECT obs_idx, row_number() OVER (ORDER BY obs_idx) - 1 AS k, count(*) OVER () // 16 AS size FROM (SELECT DISTINCT obs_idx FROM perf)),
+blocks AS (SELECT config, k // size AS block, avg(ret) AS mean FROM perf JOIN num USING (obs_idx) WHERE k < size * 16 GROUP BY ALL),
+bits AS (SELECT x FROM range(0, 65536) r(x) WHERE bit_count(x::INT) = 8),
+halves AS (SELECT x AS subset, k AS block, (x >> k) & 1 = 1 AS inside FROM bits, range(0, 16) r(k)),
 m AS (SELECT subset, config, avg(mean) FILTER (inside) AS ism, avg(mean) FILTER (NOT inside) AS osm FROM blocks JOIN halves USING (block) GROUP BY ALL),
 rk AS (SELECT *, rank() OVER (PARTITION BY subset ORDER BY osm) + (count(*) OVER (PARTITION BY subset, osm) - 1) / 2.0 AS rank,
        count(*) OVER (PARTITION BY subset) AS n, row_number() OVER (PARTITION BY subset ORDER BY ism DESC, config) = 1 AS best FROM m)
-SELECT round(avg((least(greatest(rank / n, 1e-10), 1 - 1e-10) <= 0.5)::INT), 6) AS pbo, count(*) AS n_combinations, 8 AS n_splits FROM rk WHERE best"""
+SELECT round(avg((least(greatest(rank / n, 1e-10), 1 - 1e-10) <= 0.5)::INT), 6) AS pbo, count(*) AS n_combinations, 16 AS n_splits FROM rk WHERE best"""
 
 
 @query("v16_overfitting", sql.with_(sql.BARS, sql.STEPS) + PERF)
 def v16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bar_src.with_bar_index(bars(spark, sf_dir)).withColumn("ret", trailing_return(1)).where("ret is not null and bar_idx <= 320")
+    r = bar_src.with_bar_index(bars(spark, sf_dir)).withColumn("ret", trailing_return(1)).where("ret is not null")
     perf = r.select(F.col("symbol").alias("config"), (F.col("bar_idx") - 1).alias("obs_idx"), "ret")
-    return rounded(significance.overfitting_probability(perf, 8))
+    return rounded(significance.overfitting_probability(perf))
 
 
 @query("v17_paired_bootstrap")
@@ -794,12 +829,6 @@ def v13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significance.verdict(results).select("o_orderkey", "verdict")
 
 
-def purged_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train and test rows of the default splits over the whole panel."""
-    rows = written(panel(spark, sf_dir), "panel")
-    return evaluation.purged_split_rows(rows, evaluation.generate_splits(rows.select("decision_ts").distinct().count()))
-
-
 @query("v09_train_and_score")
 def v09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.diagnostics(learning.walk_forward_scores(purged_panel(spark, sf_dir))), 4)
@@ -887,6 +916,20 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The daily cycle
 
 
+@query("r03_daily_cycle")
+def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days of both passes, then the account's measures beside the replay's."""
+    frame = written(bands(spark, sf_dir), "bands")
+    days = [r["day"] for r in frame.where("symbol = 'NO' and ts >= '1996-05-06'").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).orderBy("day").limit(3).collect()]
+    store, broker = cycle.CycleStore(spark, scratch(spark, "cycle")), paper.SimulatedBroker()
+    own = cycle.Deployment(1, ("AF", "NF", "NO", "RF"), MeanReversion(0.5, 0.0), config=basket.BasketConfig(max_position_pct=0.3))
+    for day in days:
+        _, own = cycle.run_cycle(store, broker, own, frame, day)
+    shown = cycle.expected_and_live(own, frame, store)
+    fills = store.fills.read().agg(F.count("*").alias("fills"), F.sum("slippage_delta").alias("slippage"))
+    return rounded(shown.select("deployment_id", "expected_n", "expected_final_equity", "live_n", "live_final_equity").crossJoin(fills), 4)
+
+
 @query("r01_plan_cycle")
 def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = add_sizing(MeanReversion(0.5, 0.0).apply(bands(spark, sf_dir)), 0.15)
@@ -911,6 +954,20 @@ def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("client_order_id", "symbol", "side", "modeled_reference_price", "slippage_delta"), 4)
 
 
+@query("n01_annotation_batches", sql.with_(sql.NEWS) + "SELECT content_hash, round(sentiment, 6) AS sentiment, event_type, status FROM ann")
+def n01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news, folder = news_src.canonical_news(spark, sf_dir), scratch(spark, "annotator")
+    table = tables.Table(spark, f"{folder}/annotations", ["content_hash", "prompt_version"])
+    client = annotate.StubAnnotator(spark, folder, polls=1)
+    for limit in (100, None):  # the second batch has what the first left
+        wanted = annotate.annotation_requests(news, table.read() if table.exists() else None, limit)
+        batch = client.submit(wanted)
+        while (found := client.collect(batch)) is None:
+            pass
+        table.insert_new(found)
+    return rounded(table.read().select("content_hash", "sentiment", "event_type", "status"))
+
+
 @query("n02_stub_annotations", sql.with_(sql.NEWS) + "SELECT content_hash, round(sentiment, 6) AS sentiment, round(relevance, 6) AS relevance, event_type, status FROM ann")
 def n02(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ann = annotated_news(spark, sf_dir)

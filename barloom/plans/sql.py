@@ -106,8 +106,12 @@ sig AS MATERIALIZED (
 HOLD = "sig AS MATERIALIZED (SELECT *, 1 AS signal FROM ind)"
 
 
-def fold(fraction: str = "0.95", stop: str = "NULL", target: str = "NULL", cutoff: str = "NULL", source: str = "sig", keys: str = "symbol") -> str:
-    """The replay as a recursion: one row of state per run and bar. ``keys`` may add run columns before symbol."""
+def fold(fraction: str = "0.95", stop: str = "NULL", target: str = "NULL", cutoff: str = "NULL", source: str = "sig", keys: str = "symbol", signal: str = "signal", more: str = "") -> str:
+    """The replay as a recursion: one row of state per run and bar. ``keys`` may add run columns before symbol.
+
+    ``signal`` may use ``qty``, ``held`` (bars that the position is open) and the columns ``more`` of the source.
+    """
+    more_cols = "".join(f", s.{m.strip()}" for m in more.split(",") if m.strip())
     on = " AND ".join(f"s.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
     cols = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
     return f"""
@@ -116,22 +120,22 @@ src AS MATERIALIZED (SELECT *, {fraction} AS fraction, row_number() OVER (PARTIT
 fold AS (
   SELECT DISTINCT {keys}, -1::BIGINT AS j, NULL::TIMESTAMP AS ts, 100000::DOUBLE AS cash, 0::DOUBLE AS qty, 0::DOUBLE AS entry, 0 AS ord,
          0.95::DOUBLE AS share, 100000::DOUBLE AS peak, false AS halted, 100000::DOUBLE AS equity, 0::DOUBLE AS pv,
-         0 AS did, 0::DOUBLE AS gross, false AS forced, 0::DOUBLE AS fgross FROM src
+         0 AS did, 0::DOUBLE AS gross, false AS forced, 0::DOUBLE AS fgross, 0 AS held FROM src
   UNION ALL
   SELECT {keys}, j, ts, cash, qty, CASE WHEN qty > 0 THEN entry ELSE 0 END,
-         CASE WHEN j = m - 1 THEN 0 WHEN lvl THEN -1 WHEN trip AND qty > 0 THEN -1 WHEN signal < 0 THEN -1 WHEN signal > 0 AND NOT (halted OR trip) THEN 1 ELSE 0 END,
-         fraction, peak, halted OR trip, equity, pv, did, gross, forced, fgross
+         CASE WHEN j = m - 1 THEN 0 WHEN lvl THEN -1 WHEN trip AND qty > 0 THEN -1 WHEN ({signal}) < 0 THEN -1 WHEN ({signal}) > 0 AND NOT (halted OR trip) THEN 1 ELSE 0 END,
+         fraction, peak, halted OR trip, equity, pv, did, gross, forced, fgross, held
   FROM (
     SELECT *, coalesce(j < m - 1 AND qty > 0 AND (close <= entry * (1 - {stop}) OR close >= entry * (1 + {target})), false) AS lvl,
            coalesce(j < m - 1 AND NOT halted AND (peak - equity) / peak >= {cutoff}, false) AS trip
     FROM (
-      SELECT *, cash + qty * close AS equity, qty * close AS pv, greatest(peak0, cash + qty * close) AS peak
+      SELECT *, CASE WHEN qty > 0 THEN held0 + 1 ELSE 0 END AS held, cash + qty * close AS equity, qty * close AS pv, greatest(peak0, cash + qty * close) AS peak
       FROM (
         SELECT * EXCLUDE (cash1, qty1), CASE WHEN j = m - 1 AND qty1 > 0 THEN cash1 + qty1 * close * (1 - 5.0::DOUBLE / 10000) * (1 - 5.0::DOUBLE / 10000) ELSE cash1 END AS cash,
                CASE WHEN j = m - 1 THEN 0 ELSE qty1 END AS qty, j = m - 1 AND qty1 > 0 AS forced,
                CASE WHEN j = m - 1 THEN qty1 * close * (1 - 5.0::DOUBLE / 10000) ELSE 0 END AS fgross
         FROM (
-          SELECT {cols}, s.j, s.m, s.ts, s.close, s.signal, s.fraction, f.peak AS peak0, f.halted,
+          SELECT {cols}, s.j, s.m, s.ts, s.close, s.signal, s.fraction{more_cols}, f.held AS held0, f.peak AS peak0, f.halted,
                  CASE WHEN f.ord = 1 AND f.qty = 0 AND f.share > 0 THEN s.open * (1 + 5.0::DOUBLE / 10000) ELSE f.entry END AS entry,
                  CASE WHEN f.ord = 1 AND f.qty = 0 THEN f.cash - f.cash * f.share
                       WHEN f.ord = -1 AND f.qty > 0 THEN f.cash + f.qty * s.open * (1 - 5.0::DOUBLE / 10000) * (1 - 5.0::DOUBLE / 10000) ELSE f.cash END AS cash1,

@@ -78,6 +78,13 @@ class OfflineNewsProvider:
         return normalize_news(raw, F.lit(symbol)).where(day.between(F.lit(start), F.lit(end)))
 
 
+def make_news_provider(spark: SparkSession, folder: str, api_key: str | None = None) -> OfflineNewsProvider:
+    """The offline provider; with a key, the caller fetches payloads and uses parse_vendor_news()."""
+    if api_key:
+        raise SourceError("no network provider is built in: fetch payloads and use parse_vendor_news()")
+    return OfflineNewsProvider(spark, folder)
+
+
 def parse_vendor_news(payloads: DataFrame) -> DataFrame:
     """``payloads(symbol, body)`` of a news vendor's JSON lists to news frames; crawl time is first seen."""
     rows = payloads.select(F.col("symbol").alias("for"), F.explode(F.from_json("body", VENDOR_NEWS)).alias("n"))

@@ -53,26 +53,43 @@ class Table:
     def append(self, rows: DataFrame) -> None:
         self._write(rows, "append")
 
+    def rewrite(self, rows: DataFrame) -> None:
+        """The table, or those partitions that ``rows`` are in, with ``rows`` instead; they may be made from it."""
+        staged = f"{self.path}.staging-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        self._write(self.spark.read.schema(rows.schema).parquet(staged), "overwrite")
+        self._drop(staged)
+
+    def _drop(self, path: str) -> None:
+        fs, _ = self._fs()
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """``rows`` as they are now, computed once and counted from the files' own figures after."""
+        path = f"{self.path}.given-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
     def upsert(self, rows: DataFrame) -> int:
         """Insert or update; returns the rows given. Only the partitions of the new rows are rewritten."""
-        count = rows.count()
+        given, path = self._staged(rows)
+        count = given.count()
         if not self.exists():
-            self._write(rows, "overwrite")
-            return count
-        old = self.read()
-        if self.partition_by:
-            old = old.join(rows.select(*self.partition_by).distinct(), self.partition_by, "left_semi")
-        staged = f"{self.path}.staging-{uuid.uuid4().hex}"
-        merge_update(old, rows.select(*old.columns), self.keys).write.parquet(staged)
-        self._write(self.spark.read.schema(old.schema).parquet(staged), "overwrite")
-        fs, _ = self._fs()
-        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+            self._write(given, "overwrite")
+        else:
+            old = self.read()
+            if self.partition_by:
+                old = old.join(given.select(*self.partition_by).distinct(), self.partition_by, "left_semi")
+            self.rewrite(merge_update(old, given.select(*old.columns), self.keys))
+        self._drop(path)
         return count
 
     def insert_new(self, rows: DataFrame) -> int:
         """Insert what has no row of its key yet; returns the rows given."""
-        count = rows.count()
-        self.append(merge_ignore(self.read(), rows, self.keys) if self.exists() else rows.dropDuplicates(self.keys))
+        given, path = self._staged(rows)
+        count = given.count()
+        self.append(merge_ignore(self.read(), given, self.keys) if self.exists() else given.dropDuplicates(self.keys))
+        self._drop(path)
         return count
 
 

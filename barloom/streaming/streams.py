@@ -28,12 +28,20 @@ def run_to_end(writer, checkpoint: str) -> None:
 
 
 def ingest_bars(bars: DataFrame, table: Table, checkpoint: str) -> None:
-    """Each micro-batch keeps what is newer than the stored high-water marks and upserts it: re-delivery is harmless."""
+    """Each micro-batch keeps what is newer than the stored high-water marks and upserts it: re-delivery is harmless.
+
+    Of a bar that a batch repeats with other figures the one with the largest values, compared in the order of the
+    columns, stays. Corrections of older bars are left to an upsert of their own. Marks are looked up for the
+    batch's symbols only.
+    """
 
     def take(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["symbol", "ts"])
+        keys = ["symbol", "ts"]
+        values = F.struct(*[F.col(c) for c in batch.columns if c not in keys])
+        fresh = batch.groupBy(*keys).agg(F.max(values).alias("v")).select(*keys, "v.*").select(*batch.columns)
         if table.exists():
-            fresh = newer_than(fresh, high_water(table.read(), "ts"), "ts")
+            own = table.read().join(batch.select("symbol").distinct(), "symbol", "left_semi")
+            fresh = newer_than(fresh, high_water(own, "ts"), "ts")
         table.upsert(fresh)
 
     run_to_end(bars.writeStream.foreachBatch(take), checkpoint)
