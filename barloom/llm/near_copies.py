@@ -5,7 +5,7 @@ values, and sets with an equal band are candidates: a pair at exactly 0.8 shares
 (1 - 0.8**6)**32, about six in 100,000, and a nearer pair with less. Candidates are verified by their exact
 Jaccard similarity. What ``simhash`` links (three-word shingles, three bits) stays linked.
 
-These links contract first; then members of bands that more than ``HOT`` sets share are verified against one of
+These links contract first; then members of bands that more than ``HOT`` sets share are verified against a few of
 them. The candidates then leave out pairs whose ends are in one component already, so that a group of copies isn't
 expanded into all its pairs, and pairs that a sketch rules out. The sketch is the parity of a set's hashes by slot:
 each shingle that only one of two sets has flips one of ``SLOTS`` bits, so the bits that differ are at most as many
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, is_empty, materialize, sliced
 from .simhash import HOT, SEED, links, text_fingerprint, without_losers
 
-SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, ROUNDS, SLOTS = 5, (4, 5), 32, 6, 3, 1024
+SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, CENTRES, SLOTS = 5, (4, 5), 32, 6, 3, 1024
+HELD_SETS = 256
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), "u8")
 _TIMES, _MASK = _DRAWN[0] | np.uint64(1), _DRAWN[1]
@@ -130,23 +131,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidates ``pairs(u, v)`` that reach the similarity, by their texts in ``docs``."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, "u8")
+        held: dict[int, np.ndarray] = {}  # the hubs of stars come again and again
         for batch in sliced(batches):
             good = []
             for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if v != last:
-                    last, held = v, shingle_hashes(b.as_py())
-                good.append(similar(shingle_hashes(a.as_py()), held))
+                if v not in held:
+                    if len(held) >= HELD_SETS:
+                        held.clear()
+                    held[v] = shingle_hashes(b.as_py())
+                good.append(similar(shingle_hashes(a.as_py()), held[v]))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = materialize(_texts(docs, sets, ends), "texts")
-    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-    # The side with the hub of a star is v: rows are sorted by it last, so its shingles are made once.
-    joined = pairs.join(a, "u").join(b.hint("merge"), "v").select("u", "v", "text_u", "text_v")
-    out = materialize(joined.mapInArrow(checked, "u long, v long"), "verified")
-    discard(texts)
-    return out
+    # Each side's texts are written, so the joins know their size and broadcast what is small, pairs or hubs.
+    sides = [
+        materialize(_texts(docs, sets, pairs.select(F.col(x).alias("node")).distinct()), "texts").select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+        for x in "uv"
+    ]
+    joined = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "text_u", "text_v")
+    return materialize(joined.mapInArrow(checked, "u long, v long"), "verified")
 
 
 def _possible(n: str, m: str, a: str, b: str):
@@ -171,23 +173,20 @@ def similar_links(sets: DataFrame, docs: DataFrame, known: DataFrame, hot: int =
     facts = sets.select("node", "n", "sketch")
     crowd = members.where(F.col("size") > hot)
     edges, roots = known, materialize(connected_components(known), "roots")
-    for number in range(ROUNDS if not is_empty(crowd) else 0):
-        # Each round verifies the members of a crowded band against another one of them.
-        centre = F.min_by("node", F.xxhash64("node", F.lit(number))).alias("v")
-        stars = crowd.join(crowd.groupBy("band").agg(centre), "band").where(F.col("node") != F.col("v"))
-        pairs = stars.select(F.col("node").alias("u"), "v").distinct()
+    if not is_empty(crowd):
+        # The members of a crowded band are verified against ``CENTRES`` of them, one a member for each place.
+        centres = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)]
+        chosen = crowd.groupBy("band").agg(F.array(*centres).alias("centres"))
+        stars = crowd.join(chosen, "band").select(F.col("node").alias("u"), F.posexplode("centres").alias("place", "v"))
+        pairs = stars.where("u <> v").distinct()
         for end in "uv":
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
             own = facts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
             pairs = pairs.join(own, end)
         apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
-        # One centre a member and round: its bands mostly name the same group.
-        pairs = pairs.where(apart & _possible("n_u", "n_v", "sketch_u", "sketch_v")).groupBy("u").agg(F.min("v").alias("v"))
-        pairs = materialize(pairs, "star-pairs")
-        found = _verified(pairs, docs, sets)
-        if is_empty(found):
-            break
-        edges = edges.unionByName(found)
+        pairs = pairs.where(apart & _possible("n_u", "n_v", "sketch_u", "sketch_v")).groupBy("u", "place").agg(F.min("v").alias("v"))
+        pairs = materialize(pairs.select("u", "v").distinct(), "star-pairs")
+        edges = edges.unionByName(_verified(pairs, docs, sets))
         roots = materialize(connected_components(edges), "roots")
     grouped = members.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("group"))
     grouped = materialize(grouped, "grouped")
