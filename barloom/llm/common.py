@@ -14,10 +14,36 @@ from ..session import shared_folder
 #: White space that separates words: the space and U+0009 to U+000D.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+class Tidy:
+    """Deletes at its end what was materialized inside it, but for what is kept; that falls to the scope around it.
+
+    Only what no later plan reads may go, so a result is kept with all the written frames that its plan reads.
+    """
+
+    def __enter__(self) -> Tidy:
+        self.kept: set[str] = set()
+        _SCOPES.append([])
+        return self
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.kept |= {f._barloom_path for f in frames}
+
+    def __exit__(self, *_: object) -> None:
+        for frame in _SCOPES.pop():
+            if frame._barloom_path not in self.kept:
+                discard(frame)
+            elif _SCOPES:
+                _SCOPES[-1].append(frame)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -25,6 +51,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path  # for discard()
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, is_empty, materialize, sliced
+from .common import Tidy, connected_components, discard, is_empty, materialize, sliced
 from .simhash import HOT, SEED, links, text_fingerprint, without_losers
 
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, CENTRES, SLOTS = 5, (4, 5), 32, 6, 3, 1024
@@ -207,34 +207,34 @@ def similar_links(sets: DataFrame, docs: DataFrame, known: DataFrame, hot: int =
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)``: the smallest doc_id reachable over similar sets and near fingerprints."""
-    rows = materialize(_signed(docs), "signed")
-    sets = materialize(
-        rows.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        ),
-        "sets",
-    )
-    prints = materialize(rows.select("fp", "node").distinct(), "prints")
-    named = materialize(prints.groupBy("fp").agg(F.min("node").alias("node")), "named")
-    same = prints.join(named.withColumnRenamed("node", "least"), "fp").where("node <> least")
-    near = links(named.select("fp"))
-    for end in "uv":
-        near = near.withColumnRenamed(end, "fp").join(named, "fp").drop("fp").withColumnRenamed("node", end)
-    known = near.select("u", "v").unionByName(same.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    edges = similar_links(sets, docs, materialize(known, "known"))
-    roots = materialize(connected_components(edges), "components")
-    rooted = materialize(
-        sets.select("node", "first_id").join(roots, "node", "left")
-        .select("node", "first_id", F.coalesce("root", "node").alias("root")),
-        "rooted",
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = materialize(rooted.join(least, "root").select("node", "component_id"), "ids")
-    out = materialize(rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id"), "groups")
-    for done in (rows, sets, prints):
-        discard(done)
-    return out
+    with Tidy() as tidy:
+        rows = materialize(_signed(docs), "signed")
+        sets = materialize(
+            rows.groupBy("node").agg(
+                F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                F.first("sketch").alias("sketch"),
+            ),
+            "sets",
+        )
+        prints = materialize(rows.select("fp", "node").distinct(), "prints")
+        named = materialize(prints.groupBy("fp").agg(F.min("node").alias("node")), "named")
+        same = prints.join(named.withColumnRenamed("node", "least"), "fp").where("node <> least")
+        near = links(named.select("fp"))
+        for end in "uv":
+            near = near.withColumnRenamed(end, "fp").join(named, "fp").drop("fp").withColumnRenamed("node", end)
+        known = near.select("u", "v").unionByName(same.select(F.col("node").alias("u"), F.col("least").alias("v")))
+        edges = similar_links(sets, docs, materialize(known, "known"))
+        roots = materialize(connected_components(edges), "components")
+        rooted = materialize(
+            sets.select("node", "first_id").join(roots, "node", "left")
+            .select("node", "first_id", F.coalesce("root", "node").alias("root")),
+            "rooted",
+        )
+        least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        ids = materialize(rooted.join(least, "root").select("node", "component_id"), "ids")
+        out = materialize(rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id"), "groups")
+        tidy.keep(out)
+        return out
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialize
+from .common import Tidy, is_empty, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that rules find. Secrets aren't personal data and have columns of their own.
@@ -254,8 +254,10 @@ def find_personal_data(docs: DataFrame, bootstrap: bool = True) -> DataFrame:
     bare = scanned.select("row", "doc_id", *RULED)
     if not bootstrap:
         return bare.withColumn("discovered", F.array().cast(spans_type)).drop("row")
-    more = materialize(discover(scanned), "discovered")
-    more = more.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("discovered"))
+    with Tidy() as tidy:
+        found = materialize(discover(scanned), "discovered")
+        tidy.keep(found)
+    more = found.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("discovered"))
     return bare.join(more, "row", "left").withColumn(
         "discovered", F.coalesce(F.col("discovered"), F.array().cast(spans_type))
     ).drop("row")

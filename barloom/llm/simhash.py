@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, fresh_names, is_empty, materialize
+from .common import Tidy, connected_components, fresh_names, is_empty, materialize
 
 SHINGLE_WORDS, RADIUS, SEED, HOT = 3, 3, 42, 64
 
@@ -147,61 +147,64 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
 
     Two segments find every pair up to three bits apart; ``radius`` may be smaller.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("two segments with one deletion find pairs up to three bits apart")
-    segments = materialize(_segments(fps), "segments")
-    crowded = segments.groupBy("seg", "value").count().where(F.col("count") > hot).select("seg", "value")
-    crowded = materialize(crowded, "crowded")
-    packed = not is_empty(crowded)
-    stars = None
-    rows = segments.withColumn("group", F.col("fp"))
-    if packed:
-        if radius >= 2:
-            crowd = materialize(segments.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct(), "crowd")
-            stars = materialize(_stars(crowd), "stars")
-            roots = materialize(connected_components(stars), "roots")
-            rows = segments.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-                "fp", "seg", "value", F.coalesce("root", "fp").alias("group")
-            )
-        marked = crowded.withColumn("full", F.lit(True))
-        rows = rows.join(marked, ["seg", "value"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
-        rows = materialize(rows, "grouped")
-    # Two crowded segments meet by further keys, so that no key holds a crowd on both sides.
-    whole = rows.withColumn("key", F.col("seg") * (1 << 40) + F.col("value"))
-    clear, filled = _deleted(rows, 0), _deleted(rows, 1)
-    plain = lambda df, full=False: (df.where(F.col("full") == full) if packed else df).select("fp", "group", "key")
-    found = [_met(plain(whole), plain(whole), radius, True)]
-    if not packed:
-        found.append(_met(plain(clear), plain(filled), radius, False))
-    else:
-        every = filled.select("fp", "group", "key")
-        found.append(_met(plain(clear), every, radius, False))
-        found.append(_met(plain(clear, True), plain(filled), radius, False))
-        dense, lack, have = (df.where("full") for df in (whole, clear, filled))
-        found.append(_met(_wild_halves(dense, 0), _wild_halves(dense, 1), radius, False))
-        found.append(_met(_thirds(lack), _thirds(have), radius, False))
-        if stars is not None:
-            found.append(stars)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = materialize(out.distinct(), "links")
-    discard(segments)
-    return out
+    with Tidy() as tidy:
+        if not 0 <= radius <= 3:
+            raise ValueError("two segments with one deletion find pairs up to three bits apart")
+        segments = materialize(_segments(fps), "segments")
+        crowded = segments.groupBy("seg", "value").count().where(F.col("count") > hot).select("seg", "value")
+        crowded = materialize(crowded, "crowded")
+        packed = not is_empty(crowded)
+        stars = None
+        rows = segments.withColumn("group", F.col("fp"))
+        if packed:
+            if radius >= 2:
+                crowd = materialize(segments.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct(), "crowd")
+                stars = materialize(_stars(crowd), "stars")
+                roots = materialize(connected_components(stars), "roots")
+                rows = segments.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+                    "fp", "seg", "value", F.coalesce("root", "fp").alias("group")
+                )
+            marked = crowded.withColumn("full", F.lit(True))
+            rows = rows.join(marked, ["seg", "value"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+            rows = materialize(rows, "grouped")
+        # Two crowded segments meet by further keys, so that no key holds a crowd on both sides.
+        whole = rows.withColumn("key", F.col("seg") * (1 << 40) + F.col("value"))
+        clear, filled = _deleted(rows, 0), _deleted(rows, 1)
+        plain = lambda df, full=False: (df.where(F.col("full") == full) if packed else df).select("fp", "group", "key")
+        found = [_met(plain(whole), plain(whole), radius, True)]
+        if not packed:
+            found.append(_met(plain(clear), plain(filled), radius, False))
+        else:
+            every = filled.select("fp", "group", "key")
+            found.append(_met(plain(clear), every, radius, False))
+            found.append(_met(plain(clear, True), plain(filled), radius, False))
+            dense, lack, have = (df.where("full") for df in (whole, clear, filled))
+            found.append(_met(_wild_halves(dense, 0), _wild_halves(dense, 1), radius, False))
+            found.append(_met(_thirds(lack), _thirds(have), radius, False))
+            if stars is not None:
+                found.append(stars)
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        out = materialize(out.distinct(), "links")
+        tidy.keep(out)
+        return out
 
 
 def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest doc_id reachable over links of near fingerprints."""
-    rows = materialize(fingerprints(docs, words_per_shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = materialize(connected_components(links(distinct.select("fp"), radius)), "components")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = materialize(rooted, "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    with Tidy() as tidy:
+        rows = materialize(fingerprints(docs, words_per_shingle), "fingerprints")
+        distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        roots = materialize(connected_components(links(distinct.select("fp"), radius)), "components")
+        rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        )
+        rooted = materialize(rooted, "rooted")
+        least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+        named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
+        tidy.keep(rows, named)
+        return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

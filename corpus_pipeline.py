@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import exact_dedup, language_id, mixing, near_copies, packing
-from barloom.llm.common import materialize, table
+from barloom.llm.common import Tidy, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with Tidy() as tidy:
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            tidy.keep(docs)
     return docs

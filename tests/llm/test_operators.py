@@ -176,6 +176,16 @@ def test_html_pages(spark, sf_dir):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def test_html_awkward(spark):
+    odd = [(1, None, None, 7, "x"), (1, "u", "", 7, "x"), (None, "u", "<p>a</p>", 7, "x"), (2, "u", "<p>" + "long " * 200_000 + "</p>", 7, "x"),
+           (3, "u", "<p>a</p>", 7, "x"), (3, "u", "<p>a</p>", 7, "x"), (4, "u", "<" * 5000 + "&" * 5000, 7, "x")]
+    df = spark.createDataFrame(odd, "page_id int, url string, html string, n_chars int, text string")
+    got = rows(html_extract.extract_pages(df))
+    assert collections.Counter(r["page_id"] for r in got) == {1: 2, None: 1, 2: 1, 3: 2, 4: 1}
+    assert {r["page_id"]: r["n_chars"] for r in got}[2] == 999_999 and {r["text"] for r in got if r["page_id"] in (None, 3)} == {"a"}
+    assert rows(html_extract.extract_pages(df.limit(0))) == []
+
+
 # 3 chat formatting
 
 
@@ -283,6 +293,13 @@ def test_chat_equal_turns_and_text_ids(spark):
     assert text["null"] == "<|user|>\nx\n<|end|>\n<|assistant|>\n\n<|end|>\n"
 
 
+def test_chat_awkward(spark):
+    odd = [(None, None, None, None, 1, "p"), (1, 1, "user", "long " * 100_000, 1, "p"), (1, 1, "user", "long " * 100_000, 1, "p"), (2, None, "", "", 1, "p")]
+    df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string, place int, rendered string")
+    got = rows(chat_format.rendered_conversations(chat_format.repair_conversations(df), 1000))
+    assert sum(len(r["text"]) for r in got if r["conv_id"] == 1) > 1_000_000 and sum(r["turns"] for r in got) == 4
+
+
 # 4 media
 
 
@@ -363,6 +380,16 @@ def test_media_malformed():
     assert media.describe(media.decode_pgm(None)) == []
 
 
+def test_media_awkward(spark):
+    picture = media.render([0.5, -0.25] * 32)
+    odd = [(0, picture, 1, 2), (0, picture, 1, 2), (None, picture, 1, 2), (20, None, 1, 2), (21, b"", 1, 2), (22, b"P5 1 1 255\n\x00", 1, 2),
+           (23, media.encode_pgm(np.full((300, 300), 9.0)), 1, 2)]
+    df = spark.createDataFrame([(i, bytearray(x) if x is not None else None, a, b) for i, x, a, b in odd], "media_id long, image binary, class_id int, digest int")
+    got = rows(media.find_copies(df))
+    assert len(got) == len(odd) and {r["class_id"] for r in got if r["media_id"] in (0, None)} == {0}
+    assert {r["n_links"] for r in got if r["media_id"] in (20, 21, 22, 23)} == {0}
+
+
 # 5 packing
 
 
