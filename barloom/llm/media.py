@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tidy, materialize, sliced
+from .common import Tidy, materialize, release, sliced
 
 SCALES = (1.0, 0.7, 0.5)
 PATCH, TABLES, BITS = 7, 6, 128
@@ -180,35 +180,42 @@ def _words() -> list[Column]:
     return out
 
 
-def _tables(points: DataFrame, turned: bool) -> DataFrame:
-    """A row for each word of a descriptor, tagged with the word's place; ``turned``: and for each bit of it turned."""
-    keys = []
-    for i, word in enumerate(_words()):
-        bits = 22 if i % (TABLES // 2) == TABLES // 2 - 1 else 21
-        keys.append(word + (i << 32))
-        if turned:
-            keys += [word.bitwiseXOR(F.lit(1 << b)) + (i << 32) for b in range(bits)]
+def _table(points: DataFrame, number: int, turned: bool) -> DataFrame:
+    """A row for one word of each descriptor; ``turned``: and for each bit of it turned."""
+    word = _words()[number]
+    bits = 22 if number % (TABLES // 2) == TABLES // 2 - 1 else 21
+    keys = [word, *[word.bitwiseXOR(F.lit(1 << b)) for b in range(bits)]] if turned else [word]
     return points.select("*", F.explode(F.array(*keys)).alias("word"))
 
 
 def match_points(queries: DataFrame, points: DataFrame, max_distance: int = MAX_DISTANCE, min_votes: int = MIN_VOTES) -> DataFrame:
-    """``(query_id, media_id, votes)`` of pictures that enough points place at one shift and scale."""
-    q, p = _tables(queries, turned=True).alias("q"), _tables(points, turned=False).alias("p")
+    """``(query_id, media_id, votes)`` of pictures that enough points place at one shift and scale.
+
+    The tables are joined one after the other, and what each shuffled is let go, so that the disk holds one of them.
+    """
+    if max_distance > MAX_DISTANCE:
+        raise ValueError(f"the tables find points up to {MAX_DISTANCE} bits apart")
     apart = F.bit_count(F.col("q.high").bitwiseXOR(F.col("p.high"))) + F.bit_count(
         F.col("q.low").bitwiseXOR(F.col("p.low"))
     )
-    if max_distance > MAX_DISTANCE:
-        raise ValueError(f"the tables find points up to {MAX_DISTANCE} bits apart")
-    pairs = q.join(p, (F.col("q.word") == F.col("p.word")) & (apart <= max_distance))
     ratio = F.col("q.scale") / F.col("p.scale")
-    vote = pairs.select(
-        F.col("q.media_id").alias("query_id"), F.col("p.media_id").alias("media_id"),
-        F.round(F.log2(ratio) * 2).cast("int").alias("zoom"),
-        F.round((F.col("p.x") - F.col("q.x") * ratio) / BIN).cast("int").alias("dx"),
-        F.round((F.col("p.y") - F.col("q.y") * ratio) / BIN).cast("int").alias("dy"),
-        F.xxhash64("q.x", "q.y", "q.scale").alias("point"),
-    )
-    agreed = vote.groupBy("query_id", "media_id", "zoom", "dx", "dy").agg(F.count_distinct("point").alias("votes"))
+    votes = None
+    for number in range(TABLES):
+        q, p = _table(queries, number, turned=True).alias("q"), _table(points, number, turned=False).alias("p")
+        pairs = q.join(p, (F.col("q.word") == F.col("p.word")) & (apart <= max_distance))
+        vote = materialize(
+            pairs.select(
+                F.col("q.media_id").alias("query_id"), F.col("p.media_id").alias("media_id"),
+                F.round(F.log2(ratio) * 2).cast("int").alias("zoom"),
+                F.round((F.col("p.x") - F.col("q.x") * ratio) / BIN).cast("int").alias("dx"),
+                F.round((F.col("p.y") - F.col("q.y") * ratio) / BIN).cast("int").alias("dy"),
+                F.xxhash64("q.x", "q.y", "q.scale").alias("point"),
+            ),
+            "votes",
+        )
+        release(queries.sparkSession)
+        votes = vote if votes is None else votes.unionByName(vote)
+    agreed = votes.groupBy("query_id", "media_id", "zoom", "dx", "dy").agg(F.count_distinct("point").alias("votes"))
     return agreed.groupBy("query_id", "media_id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= min_votes)
 
 

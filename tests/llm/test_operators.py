@@ -562,6 +562,13 @@ def test_language_id(spark, sf_dir, documents, awkward, empty):
     assert language_id.drop_unidentified(awkward).columns == awkward.columns
 
 
+def test_language_labels_are_bounded(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    counts = collections.Counter(r["lang"] for r in rows(documents.where(~language_id.held_out(documents["doc_id"]) & documents["lang"].isNotNull())))
+    model = language_id.fit(documents)
+    assert model.languages == sorted(sorted(counts, key=lambda x: (-counts[x], x))[:2])
+
+
 def test_codewords():
     for n in (2, 3, 4, 6, 12, 40):
         code = language_id.codewords(n)
