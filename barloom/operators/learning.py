@@ -28,8 +28,9 @@ from ..sources.tables import model_id
 from .evaluation import time_folds
 from .features import FEATURES
 from .metrics import roc_auc_and_brier
+from .news import NEWS_FEATURES
 
-FEATURE_VERSION = "v1"
+FEATURE_VERSION, NEWS_FEATURE_VERSION = "v1", "v1"
 LOGISTIC_ITERATIONS, PARALLEL_SPLITS = 1000, 8
 
 
@@ -43,6 +44,7 @@ class VersionError(ValueError):
 
 #: Trees where there is no watch fold to stop the boosting early.
 UNWATCHED_TREES = 100
+ROWS_A_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -158,29 +160,32 @@ def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: l
         sizes = {r["fold"]: r for r in folds.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("label").alias("classes"), F.max("decision_ts").alias("last")).collect()}
         if 0 not in sizes or sizes[0]["classes"] < 2:
             raise TrainingError("the fit fold has one class only")
+        # Every pass over a fold is a job: small folds are read by few tasks.
+        of = lambda *own: folds.where(F.col("fold").isin(*own)).coalesce(max(1, -(-sum(sizes[i]["n"] for i in own if i in sizes) // ROWS_A_TASK)))
         two_sided = 1 in sizes and sizes[1]["classes"] == 2
         vector = VectorAssembler(inputCols=features, outputCol="_features")
         if cfg.estimator:
-            pipeline = Pipeline(stages=[vector, *cfg.estimator(cfg, sizes[0]["n"])]).fit(folds.where("fold = 0"))
+            pipeline = Pipeline(stages=[vector, *cfg.estimator(cfg, sizes[0]["n"])]).fit(of(0))
         else:
-            watched = folds.where("fold <= 1" if two_sided and cfg.stop_early else "fold = 0")
+            watched = of(0, 1) if two_sided and cfg.stop_early else of(0)
             pipeline = Pipeline(stages=[vector, boosted_trees(cfg, two_sided)]).fit(watched)
         calibration = None
         if cfg.calibration != "none" and two_sided and sizes[1]["n"] >= cfg.min_calibration:
-            later = pipeline.transform(folds.where("fold = 1")).withColumn("_p", vector_to_array("probability")[1])
+            later = pipeline.transform(of(1)).withColumn("_p", vector_to_array("probability")[1])
             calibration = _calibration(cfg.calibration, later.select("_p", "label"))
         learned = pipeline.stages[-1]
-        described = learned.toDebugString if hasattr(learned, "toDebugString") else str(learned.coefficients)
+        # What was learned, without the names that every fit draws anew, so that equal models have equal ids.
+        described = learned.toDebugString.partition("\n")[2] if hasattr(learned, "toDebugString") else str(getattr(learned, "coefficients", ""))
         settings = asdict(cfg) | {"estimator": getattr(cfg.estimator, "__name__", None)}
         meta = {
-            "features": features, "feature_version": FEATURE_VERSION, "config": settings,
+            "features": features, "feature_version": FEATURE_VERSION, "versions": component_versions(features), "config": settings,
             "n": {str(k): v["n"] for k, v in sorted(sizes.items())},
             "train_end": str(max(v["last"] for v in sizes.values())),
             "calibrated": cfg.calibration if calibration is not None else None,
             "learned_sha256": hashlib.sha256(described.encode()).hexdigest(),
         }
         model = TrainedModel(pipeline, calibration, cfg.enter_lo, max(0.0, cfg.enter_lo - cfg.hysteresis), meta)
-        scored = model.score(folds.where("fold = 2")).withColumnRenamed("p_up", "p")
+        scored = model.score(of(2)).withColumnRenamed("p_up", "p")
         best = select_threshold(scored, cfg).first()
         if best is not None and best["enter"] is not None:
             model.enter, model.leave = best["enter"], best["leave"]
@@ -303,9 +308,18 @@ def list_models(spark: SparkSession, folder: str) -> DataFrame:
     return found.orderBy(F.desc("train_end"), F.desc("model_id"))
 
 
-def check_version(metadata: dict, version: str = FEATURE_VERSION) -> None:
-    if metadata.get("feature_version") != version:
-        raise VersionError(f"the model has features {metadata.get('feature_version')}, this code {version}")
+def component_versions(features: list[str]) -> dict[str, str]:
+    """The versions of the feature families that a model uses."""
+    news = set(features) & set(NEWS_FEATURES)
+    return ({"price": FEATURE_VERSION} if set(features) - news else {}) | ({"news": NEWS_FEATURE_VERSION} if news else {})
+
+
+def check_version(metadata: dict) -> None:
+    """Refuse a model whose features, of any family, aren't those of this code."""
+    live = {"price": FEATURE_VERSION, "news": NEWS_FEATURE_VERSION}
+    for family, version in (metadata.get("versions") or {"price": metadata.get("feature_version")}).items():
+        if live.get(family) != version:
+            raise VersionError(f"the model has {family} features {version}, this code {live.get(family)}")
 
 
 def default_trials(thresholds: int = 11, switches: int = 16, learner_settings: int = 16, horizons: int = 2, dead_bands: int = 3) -> int:

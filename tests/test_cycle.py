@@ -125,6 +125,7 @@ def test_training_choices(spark, panel, tmp_path, more):
     assert rows(learning.diagnostics(scored.withColumn("split", F.lit(0))))[0]["auc"] > 0.85
     assert scored.columns == [*panel.columns, "p"] and scored.where("p < 0 or p > 1 or p is null").count() == 0
     name = learning.save_model(model, str(tmp_path))
+    assert learning.train_model(panel, cfg, ["f"]).id == model.id
     again = learning.load_model(spark, str(tmp_path), name).score(panel, "q").join(scored, "decision_ts")
     assert again.where("abs(p - q) > 1e-9").count() == 0
 
@@ -136,3 +137,12 @@ def test_training_end(panel):
         learning.train_until(panel, "2020-01-01")
     with pytest.raises(learning.TrainingError):
         learning.TrainingConfig(calibration="other")
+
+
+def test_version_gate():
+    both = learning.component_versions(["f_rsi", "n_decayed"])
+    assert both == {"price": "v1", "news": "v1"} and learning.component_versions(["f_rsi"]) == {"price": "v1"}
+    learning.check_version({"versions": both})
+    for wrong in ({"price": "v0"}, {"price": "v1", "news": "v0"}, {"price": "v1", "other": "v1"}):
+        with pytest.raises(learning.VersionError):
+            learning.check_version({"versions": wrong})
