@@ -20,7 +20,7 @@ empty table gives an empty result. Only the id, url and html columns are looked
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -97,7 +97,7 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, hidden
-        self.open: Counter[str] = Counter()
+        self.open: defaultdict[str, int] = defaultdict(int)
         self.hidden = 0
         self.parent, self.doubt = [-1], [0]  # by element number; 0 is the page
         self.containers: list[int] = []
@@ -115,6 +115,9 @@ class _Lines(HTMLParser):
             self.parts = []
         self.tags = self.linked = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers aren't needed
+
     def parse_html_declaration(self, i: int) -> int:
         # The parser fails on "<![" with an unknown word; to a browser all of these are comments up to ">".
         if self.rawdata.startswith("<![", i):
@@ -138,12 +141,12 @@ class _Lines(HTMLParser):
             return
         number = len(self.parent)
         self.parent.append(self.stack[-1][1] if self.stack else 0)
-        self.doubt.append(_boilerplate(tag, attrs))
+        self.doubt.append(_boilerplate(tag, attrs) if attrs else DECLARED if tag in BOILERPLATE else 0)
         hidden = tag in HIDDEN
         self.stack.append((tag, number, hidden))
         self.open[tag] += 1
         self.hidden += hidden
-        role = next((v for k, v in attrs if k == "role"), None)
+        role = dict(attrs).get("role") if attrs else None
         if tag in CONTAINERS or role in ("main", "article"):
             self.containers.append(number)
         if tag == "article" or role == "article":
@@ -188,13 +191,16 @@ def _high(lines: list, bad: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the lines, none where ``bad``, and whether they are in the high cluster of smoothed ratios."""
     size = np.array([0 if bad[x[4]] else len(x[0]) for x in lines], "f8")
     tags = np.array([x[1] for x in lines], "f8")
-    ratio = np.convolve(np.pad(size / (1 + tags), REACH, mode="edge"), _KERNEL, "valid")
-    low, high = float(ratio.min()), float(ratio.max())
+    ratio = size / (1 + tags)
+    ratio = np.convolve(np.concatenate([ratio[:1].repeat(REACH), ratio, ratio[-1:].repeat(REACH)]), _KERNEL, "valid")
+    low, high, n, total, before = float(ratio.min()), float(ratio.max()), len(ratio), float(ratio.sum()), -1
     for _ in range(20):  # two clusters: the threshold is half-way between their means
         above = ratio > (low + high) / 2
-        if not above.any() or above.all():
+        count = int(np.count_nonzero(above))
+        if count in (0, n, before):
             break
-        low, high = float(ratio[~above].mean()), float(ratio[above].mean())
+        upper, before = float(ratio[above].sum()), count
+        low, high = (total - upper) / (n - count), upper / count
     return size, (ratio >= (low + high) / 2) & (size > 0)
 
 
@@ -208,10 +214,13 @@ def _held(parent: list[int], at: list[int], weight: list[float]) -> list[float]:
     return held
 
 
-def _inherited(parent: list[int], own: list[bool]) -> list[bool]:
-    out = list(own)
-    for number in range(1, len(parent)):
-        out[number] = out[number] or out[parent[number]]
+def _inherited(parent: list[int], own: set[int]) -> list[bool]:
+    """Whether each element is in ``own`` or inside one of them."""
+    out = [False] * len(parent)
+    if own:
+        out[0] = 0 in own
+        for number in range(1, len(parent)):
+            out[number] = out[parent[number]] or number in own
     return out
 
 
@@ -242,18 +251,17 @@ def extract_text(html: str | None) -> str:
     if not lines:
         return ""
     at = [x[4] for x in lines]
-    declared = [d == DECLARED for d in reader.doubt]
+    declared = {n for n, d in enumerate(reader.doubt) if d == DECLARED}
+    suggested = [n for n, d in enumerate(reader.doubt) if d == SUGGESTED]
     bad = _inherited(reader.parent, declared)
     size, high = _high(lines, bad)
-    if any(d == SUGGESTED for d in reader.doubt):
+    if suggested:
         held = _held(reader.parent, at, np.where(high, size, 0.0).tolist())
-        own = [d or (s == SUGGESTED and 2 * h < held[0]) for d, s, h in zip(declared, reader.doubt, held, strict=True)]
-        bad = _inherited(reader.parent, own)
+        bad = _inherited(reader.parent, declared | {n for n in suggested if 2 * held[n] < held[0]})
         size, high = _high(lines, bad)
     region = _region(reader, at, size * np.where(high, 1.0, 0.1))
-    inside = _inherited(reader.parent, [n == region for n in range(len(reader.parent))])
-    own_articles = set(reader.articles)
-    article = _inherited(reader.parent, [n in own_articles for n in range(len(reader.parent))])
+    inside = _inherited(reader.parent, {region})
+    article = _inherited(reader.parent, set(reader.articles))
     chosen = [i for i, n in enumerate(at) if inside[n] and not bad[n]]
     core = [i for i in chosen if high[i]]
     first, last = (core[0], core[-1]) if core else (0, len(lines))
