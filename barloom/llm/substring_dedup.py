@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words. Of the ``ANCHOR``-word sequences in a
 least hash is its anchor, so equal windows have equal anchors at equal places; neighbouring windows that
 share an anchor make one *stretch*, and there is a stretch for about eight words. The index keeps a row per
 distinct stretch: its anchor's fingerprint ``a``, a digest ``c`` of all its words, and where it came first. The
-two come from separate halves of 128-bit word hashes, so stretches that agree in both are taken to be equal.
+two mix the words' 64-bit hashes in different ways; stretches that agree in both are taken to be equal, which
+only words with equal hashes could make wrong.
 Rows are written as immutable runs, bucketed and sorted by ``(a, c)``.
 
 A new batch becomes a run of its own and is merge-joined with the older runs. A stretch whose ``(a, c)``
@@ -42,25 +43,13 @@ _CACHED_WORDS = 1 << 18
 
 
 class _WordHashes(dict):
-    """Words by number, with both halves of their 128-bit hashes by that number."""
-
-    def __init__(self) -> None:
-        self.halves = np.zeros((2, _CACHED_WORDS), "u8")
-
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = at = len(self)
-        value = xxhash.xxh3_128_intdigest(word, 7)
-        self.halves[:, at] = value & 0xFFFFFFFFFFFFFFFF, value >> 64
-        return at
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) + len(words) > self.halves.shape[1]:
+        if len(self) >= _CACHED_WORDS:
             self.clear()
-            if len(words) > self.halves.shape[1]:
-                self.halves = np.zeros((2, 2 * len(words)), "u8")
-        return self.halves[:, np.fromiter(map(self.__getitem__, words), "i8", len(words))]
+        self[word] = value = xxhash.xxh64_intdigest(word, 7)
+        return value
 
 
 _HASHES = _WordHashes()
@@ -90,9 +79,10 @@ class Words:
         self.words = (text or "").encode("utf-8", "surrogatepass").split()
         self.n = len(self.words)
         if self.n >= WINDOW:
+            own = np.fromiter(map(_HASHES.__getitem__, self.words), "u8", self.n)
             power, self.inverse = _powers(self.n + 1)
             self.sums = []
-            for h in _HASHES.of(self.words):
+            for h in (own, _mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
                 total = np.zeros(self.n + 1, "u8")
                 np.cumsum(h * power[: self.n], out=total[1:])
                 self.sums.append(total)
