@@ -2,9 +2,9 @@
 
 Each image is looked at in several scales. Corners are local maxima of the structure tensor's least
 eigenvalue; the patch around a corner is turned by the direction of its intensity centroid and described
-by 128 comparisons of point pairs. Descriptors meet in Hamming tables, one for each of six words of 21 bits or
-more: an equality join of the words of all pictures with those of the queries, as they are and with each bit
-turned. Two descriptors ``MAX_DISTANCE`` = 11 bits apart have a word that differs in one bit at most, so the tables
+by 128 comparisons of point pairs. Descriptors meet in Hamming tables, one for each of four words of 32 bits: an
+equality join of the words of all pictures with those of the queries, as they are and with each bit turned. Two
+descriptors ``MAX_DISTANCE`` = 7 bits apart have a word that differs in one bit at most, so the tables
 find what a comparison of all pairs would. The pairs of points that agree vote for a shift and a scale of the
 whole image, and an image is a match if enough of them agree on one.
 
@@ -26,13 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tidy, materialize, release, sliced
 
 SCALES = (1.0, 0.7, 0.5)
-PATCH, TABLES, BITS = 7, 6, 128
+PATCH, TABLES, BITS = 7, 4, 128
 MAX_DISTANCE, MIN_VOTES, BIN = 2 * TABLES - 1, 5, 4
 OCTAVES = ((6, 1.0), (12, 1.0), (24, 0.7))
 _PICK = np.random.default_rng(20)
@@ -170,20 +170,11 @@ def local_descriptors(images: DataFrame) -> DataFrame:
     return images.select("media_id", "image").mapInArrow(described, POINT_SCHEMA)
 
 
-def _words() -> list[Column]:
-    """The words of a descriptor: three of 21 bits from each half, the last of a half with its 22nd bit too."""
-    out = []
-    for c in ("high", "low"):
-        for i in range(TABLES // 2):
-            last = i == TABLES // 2 - 1
-            out.append(F.shiftrightunsigned(F.col(c), 21 * i).bitwiseAND((1 << (22 if last else 21)) - 1))
-    return out
-
-
 def _table(points: DataFrame, number: int, turned: bool) -> DataFrame:
     """A row for one word of each descriptor; ``turned``: and for each bit of it turned."""
-    word = _words()[number]
-    bits = 22 if number % (TABLES // 2) == TABLES // 2 - 1 else 21
+    bits = BITS // TABLES
+    half, place = ("high", "low")[number * bits // 64], number * bits % 64
+    word = F.shiftrightunsigned(F.col(half), place).bitwiseAND((1 << bits) - 1)
     keys = [word, *[word.bitwiseXOR(F.lit(1 << b)) for b in range(bits)]] if turned else [word]
     return points.select("*", F.explode(F.array(*keys)).alias("word"))
 
