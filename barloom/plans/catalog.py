@@ -19,7 +19,7 @@ from ..operators import basket, cycle, evaluation, learning, metrics, paper, qua
 from ..operators import news as news_ops
 from ..operators import features as feats
 from ..operators.indicators import INDICATORS, add_indicators, add_sizing, rolling, trailing_return
-from ..operators.strategies import BuyAndHold, Classifier, EventOverlay, Flat, MeanReversion, RandomLongFlat, TrendFollowing
+from ..operators.strategies import BuyAndHold, Classifier, EventOverlay, Flat, MeanReversion, TrendFollowing
 from ..sources import bars as bar_src
 from ..sources import news as news_src
 from ..sources import tables
