@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tidy, materialize, release, sliced
@@ -170,11 +170,16 @@ def local_descriptors(images: DataFrame) -> DataFrame:
     return images.select("media_id", "image").mapInArrow(described, POINT_SCHEMA)
 
 
-def _table(points: DataFrame, number: int, turned: bool) -> DataFrame:
-    """A row for one word of each descriptor; ``turned``: and for each bit of it turned."""
+def _word(number: int, side: str = "") -> Column:
+    """One of the words of a descriptor."""
     bits = BITS // TABLES
     half, place = ("high", "low")[number * bits // 64], number * bits % 64
-    word = F.shiftrightunsigned(F.col(half), place).bitwiseAND((1 << bits) - 1)
+    return F.shiftrightunsigned(F.col(side + half), place).bitwiseAND((1 << bits) - 1)
+
+
+def _table(points: DataFrame, number: int, turned: bool) -> DataFrame:
+    """A row for one word of each descriptor; ``turned``: and for each bit of it turned."""
+    word, bits = _word(number), BITS // TABLES
     keys = [word, *[word.bitwiseXOR(F.lit(1 << b)) for b in range(bits)]] if turned else [word]
     return points.select("*", F.explode(F.array(*keys)).alias("word"))
 
@@ -193,7 +198,10 @@ def match_points(queries: DataFrame, points: DataFrame, max_distance: int = MAX_
     votes = None
     for number in range(TABLES):
         q, p = _table(queries, number, turned=True).alias("q"), _table(points, number, turned=False).alias("p")
-        pairs = q.join(p, (F.col("q.word") == F.col("p.word")) & (apart <= max_distance))
+        on = (F.col("q.word") == F.col("p.word")) & (apart <= max_distance)
+        for earlier in range(number):  # a pair is met once, in the first table that it shares
+            on = on & (F.bit_count(_word(earlier, "q.").bitwiseXOR(_word(earlier, "p."))) > 1)
+        pairs = q.join(p, on)
         vote = materialize(
             pairs.select(
                 F.col("q.media_id").alias("query_id"), F.col("p.media_id").alias("media_id"),
