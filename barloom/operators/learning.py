@@ -1,7 +1,7 @@
 """Training and judging a classifier on the pooled panel, under purged walk-forward.
 
-The estimator is MLlib's gradient-boosted trees with a calibration on a later fold, in place of a leaf-wise
-booster; folds, weights, thresholds, costs and the verdict follow the same protocol.
+The estimator is a leaf-wise booster on histograms (boosting.py), stopped early by the AUC on the calibration fold, with a
+calibration on that fold and thresholds chosen on a third. Another estimator goes through the same folds.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from datetime import date
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder, written
 from ..sources.tables import model_id
+from .boosting import BoosterConfig, Forest, fit_booster
 from .evaluation import time_folds
 from .features import FEATURES
 from .metrics import roc_auc_and_brier
@@ -52,17 +53,22 @@ class TrainingConfig:
     """``estimator`` makes another learner than the boosted trees; it is fitted without weights.
 
     ``calibration`` is isotonic, sigmoid or none. With ``stop_early`` the calibration fold is the watch set:
-    boosting ends when its loss no longer falls by ``stop_tolerance``.
+    boosting ends when its AUC hasn't risen for ``stop_rounds`` trees, and the trees after the best are dropped.
     """
 
     horizon: int = 5
     fractions: tuple[float, float, float] = (0.6, 0.2, 0.2)
-    trees: int = 30
+    trees: int = 400
     depth: int = 4
-    rate: float = 0.1
+    leaves: int = 15
+    rate: float = 0.03
+    min_rows: int = 30
+    row_share: float = 0.8
+    column_share: float = 0.8
+    l2: float = 1.0
     calibration: str = "isotonic"
     stop_early: bool = True
-    stop_tolerance: float = 1e-4
+    stop_rounds: int = 50
     min_calibration: int = 10
     cost_bps: float = 10.0
     enter_lo: float = 0.5
@@ -80,7 +86,7 @@ class TrainingConfig:
 
 @dataclass
 class TrainedModel:
-    pipeline: PipelineModel
+    learner: PipelineModel | Forest
     calibration: object
     enter: float
     leave: float
@@ -91,30 +97,34 @@ class TrainedModel:
         ready = F.lit(True)
         for f in self.metadata["features"]:
             ready = ready & F.col(f).isNotNull()
-        filled = rows.withColumn("_ready", ready)
-        for f in self.metadata["features"]:
-            filled = filled.withColumn(f"_own_{f}", F.col(f)).withColumn(f, F.coalesce(F.col(f), F.lit(0.0)))
-        raw = self.pipeline.transform(filled)
-        raw = raw.withColumn("_p", vector_to_array("probability")[1])
-        if self.calibration is not None:
-            raw = self.calibration.transform(raw)
+        raw = _raw_scores(self.learner, rows.withColumn("_ready", ready), self.metadata["features"])
         p = F.col("_p")
         if self.calibration is not None:
+            raw = self.calibration.transform(raw)
             p = vector_to_array("_sigmoid")[1] if "_sigmoid" in raw.columns else F.col("_calibrated")
-        out = raw.withColumn(column, F.when(F.col("_ready"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
-        own = [F.col(f"_own_{c}").alias(c) if c in self.metadata["features"] else F.col(c) for c in rows.columns]
-        return out.select(*own, column)
+        return raw.select(*rows.columns, F.when(F.col("_ready"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).alias(column))
 
     @property
     def id(self) -> str:
         return model_id(self.metadata)
 
 
-def boosted_trees(cfg: TrainingConfig, watched: bool) -> GBTClassifier:
-    early = {"validationIndicatorCol": "_watch", "validationTol": cfg.stop_tolerance} if watched and cfg.stop_early else {}
-    return GBTClassifier(
-        featuresCol="_features", labelCol="label", weightCol="weight", maxDepth=cfg.depth, stepSize=cfg.rate, seed=cfg.seed,
-        maxIter=cfg.trees if early or not cfg.stop_early else min(cfg.trees, UNWATCHED_TREES), **early,
+def _raw_scores(learner: PipelineModel | Forest, rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with the learner's probability ``_p``, before any calibration; null features count as 0."""
+    if isinstance(learner, Forest):
+        return rows.withColumn("_p", learner.probability())
+    own = [F.col(c).alias(f"_own_{c}") for c in features]
+    filled = rows.select("*", *own).withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in features})
+    scored = learner.transform(filled).withColumn("_p", vector_to_array("probability")[1])
+    return scored.select(*[F.col(f"_own_{c}").alias(c) if c in features else F.col(c) for c in rows.columns], "_p")
+
+
+def booster_config(cfg: TrainingConfig, watched: bool) -> BoosterConfig:
+    """Trees that nothing watches are fewer."""
+    trees = cfg.trees if watched or not cfg.stop_early else min(cfg.trees, UNWATCHED_TREES)
+    return BoosterConfig(
+        trees=trees, rate=cfg.rate, leaves=cfg.leaves, depth=cfg.depth, min_rows=cfg.min_rows, row_share=cfg.row_share,
+        column_share=cfg.column_share, l2=cfg.l2, stop_rounds=cfg.stop_rounds, seed=cfg.seed,
     )
 
 
@@ -163,19 +173,17 @@ def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: l
         # Every pass over a fold is a job: small folds are read by few tasks.
         of = lambda *own: folds.where(F.col("fold").isin(*own)).coalesce(max(1, -(-sum(sizes[i]["n"] for i in own if i in sizes) // ROWS_A_TASK)))
         two_sided = 1 in sizes and sizes[1]["classes"] == 2
-        vector = VectorAssembler(inputCols=features, outputCol="_features")
         if cfg.estimator:
-            pipeline = Pipeline(stages=[vector, *cfg.estimator(cfg, sizes[0]["n"])]).fit(of(0))
+            vector = VectorAssembler(inputCols=features, outputCol="_features")
+            learner = Pipeline(stages=[vector, *cfg.estimator(cfg, sizes[0]["n"])]).fit(of(0))
         else:
-            watched = of(0, 1) if two_sided and cfg.stop_early else of(0)
-            pipeline = Pipeline(stages=[vector, boosted_trees(cfg, two_sided)]).fit(watched)
+            watched = two_sided and cfg.stop_early
+            learner = fit_booster(of(0, 1) if watched else of(0), features, booster_config(cfg, two_sided), "_watch" if watched else None, ("symbol", "decision_ts"))
         calibration = None
         if cfg.calibration != "none" and two_sided and sizes[1]["n"] >= cfg.min_calibration:
-            later = pipeline.transform(of(1)).withColumn("_p", vector_to_array("probability")[1])
-            calibration = _calibration(cfg.calibration, later.select("_p", "label"))
-        learned = pipeline.stages[-1]
+            calibration = _calibration(cfg.calibration, _raw_scores(learner, of(1), features).select("_p", "label"))
         # What was learned, without the names that every fit draws anew, so that equal models have equal ids.
-        described = learned.toDebugString.partition("\n")[2] if hasattr(learned, "toDebugString") else str(getattr(learned, "coefficients", ""))
+        described = learner.described() if isinstance(learner, Forest) else str(getattr(learner.stages[-1], "coefficients", ""))
         settings = asdict(cfg) | {"estimator": getattr(cfg.estimator, "__name__", None)}
         meta = {
             "features": features, "feature_version": FEATURE_VERSION, "versions": component_versions(features), "config": settings,
@@ -184,7 +192,7 @@ def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: l
             "calibrated": cfg.calibration if calibration is not None else None,
             "learned_sha256": hashlib.sha256(described.encode()).hexdigest(),
         }
-        model = TrainedModel(pipeline, calibration, cfg.enter_lo, max(0.0, cfg.enter_lo - cfg.hysteresis), meta)
+        model = TrainedModel(learner, calibration, cfg.enter_lo, max(0.0, cfg.enter_lo - cfg.hysteresis), meta)
         scored = model.score(of(2)).withColumnRenamed("p_up", "p")
         best = select_threshold(scored, cfg).first()
         if best is not None and best["enter"] is not None:
@@ -281,10 +289,13 @@ def diagnostics(scored: DataFrame) -> DataFrame:
 def save_model(model: TrainedModel, folder: str) -> str:
     """Write the fitted stages and, last, the metadata: a model without metadata isn't listed."""
     own = f"{folder}/{model.id}"
-    model.pipeline.write().overwrite().save(f"{own}/pipeline")
+    spark = SparkSession.active()
+    if isinstance(model.learner, Forest):
+        spark.createDataFrame([(model.learner.to_json(),)], "value string").write.mode("overwrite").text(f"{own}/forest")
+    else:
+        model.learner.write().overwrite().save(f"{own}/pipeline")
     if model.calibration is not None:
         model.calibration.write().overwrite().save(f"{own}/calibration")
-    spark = SparkSession.active()
     spark.createDataFrame([(json.dumps(model.metadata),)], "value string").write.mode("overwrite").text(f"{own}/metadata")
     return model.id
 
@@ -297,7 +308,11 @@ def load_model(spark: SparkSession, folder: str, model_id: str) -> TrainedModel:
     kinds = {"isotonic": IsotonicRegressionModel, "sigmoid": PipelineModel, None: None}
     kind = kinds[meta["calibrated"]]
     calibration = kind.load(f"{own}/calibration") if kind else None
-    return TrainedModel(PipelineModel.load(f"{own}/pipeline"), calibration, meta["enter"], meta["leave"], meta)
+    if meta["config"]["estimator"]:
+        learner = PipelineModel.load(f"{own}/pipeline")
+    else:
+        learner = Forest.from_json(spark.read.text(f"{own}/forest").first()["value"])
+    return TrainedModel(learner, calibration, meta["enter"], meta["leave"], meta)
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
