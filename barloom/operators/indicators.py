@@ -1,20 +1,20 @@
 """Causal indicators of a symbol's bars, as window columns.
 
-Rolling columns are null until their window is full. The exponential recurrences (EMA, MACD, RSI) have no
-window form that is exact at any length, so they are one pass over a symbol's bars in Arrow batches.
+Rolling columns are null until their window is full. The exponential recurrences (EMA, MACD, RSI) are scans over blocks
+of bars (recurrence.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .recurrence import linear_scan, number_bars
+
 INDICATORS = ["sma_20", "sma_50", "ema_20", "rsi_14", "macd", "macd_signal", "volume_ma_20", "std_20"]
 
 
@@ -30,38 +30,31 @@ def rolling(value: str | Column, n: int, how: Callable[[Column], Column], over=N
     return F.when(F.count(column).over(frame) == n, how(column).over(frame))
 
 
-def exponential(values: np.ndarray, alpha: float, needed: int) -> np.ndarray:
-    """y = (1 - alpha) y + alpha x from the first value on; NaN until ``needed`` values were seen."""
-    out = pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy().copy()
-    out[np.cumsum(~np.isnan(values)) < needed] = np.nan
-    return out
-
-
-def _recurrences(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ts", ignore_index=True)
-    close = pdf["close"].to_numpy("f8")
-    line = exponential(close, 2 / 13, 12) - exponential(close, 2 / 27, 26)
-    moved = np.diff(close, prepend=np.nan)
-    gain = exponential(np.where(np.isnan(moved), np.nan, np.maximum(moved, 0)), 1 / 14, 14)
-    loss = exponential(np.where(np.isnan(moved), np.nan, np.maximum(-moved, 0)), 1 / 14, 14)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rsi = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-    rsi[np.isnan(loss)] = np.nan
-    added = {
-        "ema_20": exponential(close, 2 / 21, 20), "rsi_14": rsi, "macd": line, "macd_signal": exponential(line, 2 / 10, 9),
-    }
-    return pdf.assign(**{k: pd.Series(v).astype(object).where(~np.isnan(v), None) for k, v in added.items()})
+def _smoothed(value: Column, alpha: float, first: int) -> tuple[float, Column]:
+    """The step of y = (1 - alpha) y + alpha x that starts with the value of bar ``first``."""
+    b = F.when(F.col("_pos") == first, value).when(F.col("_pos") > first, alpha * value).otherwise(0.0)
+    return 1 - alpha, b
 
 
 def add_indicators(bars: DataFrame) -> DataFrame:
     """``bars`` with the eight indicator columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
-    added = ", ".join(f"{c} double" for c in ("ema_20", "rsi_14", "macd", "macd_signal"))
-    moved = bars.groupBy("symbol").applyInPandas(_recurrences, f"{schema}, {added}")
-    return moved.select(
+    moved = F.col("close") - F.col("_before_close")
+    once = linear_scan(
+        number_bars(bars, "close"),
+        {
+            "_e12": _smoothed(F.col("close"), 2 / 13, 0), "_e20": _smoothed(F.col("close"), 2 / 21, 0), "_e26": _smoothed(F.col("close"), 2 / 27, 0),
+            "_gain": _smoothed(F.greatest(moved, F.lit(0.0)), 1 / 14, 1), "_loss": _smoothed(F.greatest(-moved, F.lit(0.0)), 1 / 14, 1),
+        },
+    )
+    line = F.col("_e12") - F.col("_e26")
+    twice = linear_scan(once, {"_signal": _smoothed(line, 2 / 10, 25)})
+    since = lambda n, value: F.when(F.col("_pos") >= n, value)
+    rsi = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_gain", "_loss")))
+    return twice.select(
         *bars.columns,
         rolling("close", 20, F.avg).alias("sma_20"), rolling("close", 50, F.avg).alias("sma_50"),
-        "ema_20", "rsi_14", "macd", "macd_signal",
+        since(19, F.col("_e20")).alias("ema_20"), since(14, rsi).alias("rsi_14"), since(25, line).alias("macd"),
+        since(33, F.col("_signal")).alias("macd_signal"),
         rolling("volume", 20, F.avg).alias("volume_ma_20"), rolling("close", 20, F.stddev_samp).alias("std_20"),
     )
 

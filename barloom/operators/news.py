@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .indicators import by_symbol
+from .recurrence import linear_scan, number_bars
 
 CLOSE_ZONE, CLOSE_HOUR = "America/New_York", 16
 CAP, HALF_LIFE, TRAIL, EVENT_BARS, EVENT_RELEVANCE = 50, 5.0, 20, 5, 0.5
@@ -71,19 +72,15 @@ def add_news_features(bars: DataFrame, annotated: DataFrame, embargo: int = 1, r
     trail = by_symbol().rowsBetween(-(TRAIL - 1), 0)
     total, sentiment = F.sum("n_news").over(trail), F.sum("sentiment_sum").over(trail)
     spread = F.stddev_pop("n_news").over(trail)
-    # The decayed sum, folded over as many bars as a double can still tell from nothing.
     decay = 0.5 ** (1 / HALF_LIFE)
-    reach = by_symbol().rowsBetween(-300, 0)
-    decayed = F.aggregate(
-        F.collect_list("sentiment_sum").over(reach), F.lit(0.0), lambda acc, x: acc * F.lit(decay) + x
-    )
+    counted = linear_scan(number_bars(counted), {"_decayed": (decay, F.col("sentiment_sum"))}, fold=True).drop("_pos", "_block", "_k")
     return counted.withColumns(
         {
             "n_has_news": (F.col("n_news") > 0).cast("double"),
             "n_days_since": F.coalesce(F.least(F.lit(CAP), F.col("bar_idx") - last) / F.lit(float(CAP)), F.lit(1.0)),
-            "n_decayed": decayed,
+            "n_decayed": F.col("_decayed"),
             "n_mean_20": F.when(total > 0, sentiment / total).otherwise(0.0),
             "n_volume_z": F.when(spread > 0, (F.col("n_news") - F.avg("n_news").over(trail)) / spread).otherwise(0.0),
             "n_event": (F.sum("n_events").over(by_symbol().rowsBetween(-(EVENT_BARS - 1), 0)) > 0).cast("double"),
         }
-    )
+    ).drop("_decayed")
