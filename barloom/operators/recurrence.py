@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BLOCK = 256  # bars; a^-BLOCK must be a double: a of 0.07 or more
 BUCKET_DAYS = 366  # for numbering only: the bars of a bucket are sorted together
 _SMALLEST = 745.2  # exp(-745.2) is 0 in doubles
@@ -69,9 +71,10 @@ def linear_scan(numbered: DataFrame, steps: dict[str, tuple[float, Column]], fol
     def folded(added: Column, a: float, start: Column) -> Column:
         return F.aggregate(F.collect_list(added).over(inside.rowsBetween(W.unboundedPreceding, 0)), start, lambda y, x: y * a + x)
 
-    own = numbered.withColumns(
+    # Both the blocks' ends and their bars read what is written here, so the bars are made once.
+    own = written(numbered.withColumns(
         {f"_own_{name}": folded(b, a, F.lit(0.0)) for name, (a, b) in steps.items()} if fold else {f"_own_{name}": F.sum(b * power(a, -F.col("_k"))).over(inside) * power(a, F.col("_k")) for name, (a, b) in steps.items()}
-    )
+    ), "scan")
     ends = own.groupBy("symbol", "_block").agg(
         F.max("_k").alias("_n"), *[F.max_by(f"_own_{name}", "_pos").alias(f"_end_{name}") for name in steps]
     )
