@@ -159,7 +159,7 @@ def fold(ts: np.ndarray, opens: np.ndarray, closes: np.ndarray, fractions: np.nd
         if not halted and breached(peak, equity, cfg.max_drawdown_cutoff_pct):
             halted, halt_ts = True, ts[i]
             if not order and quantity > 0:
-                order, why = -1, "max-drawdown halt"
+                order, why = -1, "drawdown limit reached"
         if not order:
             act, reason = decide(i, quantity > 0)
             if act < 0:

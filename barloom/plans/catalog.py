@@ -857,10 +857,44 @@ def v13w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.judged.select("symbol", "n", "n_oos_trades", "sharpe", "n_eff", "deflated_sharpe", "pbo", "mc_percentile", "verdict"))
 
 
+def basket_evaluation(spark: SparkSession, sf_dir: str) -> research.BasketEvaluation:
+    return research.basket_walk_forward(feats.add_features(indicators(spark, sf_dir)), FULL)
+
+
 @query("v18_basket_walk_forward")
 def v18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = research.basket_walk_forward(feats.add_features(indicators(spark, sf_dir)), FULL)
-    return rounded(done.select("split", "arm", "n", "final_equity", "sharpe", "num_trades"), 4)
+    scores = basket_evaluation(spark, sf_dir).scores
+    return rounded(scores.select("split", "arm", "n", "final_equity", "sharpe", "num_trades", "turnover"), 4)
+
+
+@query("v18_basket_verdict")
+def v18v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = basket_evaluation(spark, sf_dir)
+    parts = done.by_symbol.agg(F.sort_array(F.collect_list(F.struct("symbol", F.round("contribution_pct", 4).alias("contribution_pct"), "trips"))).alias("symbols"))
+    return rounded(done.judged.drop("var_splits")).crossJoin(parts).withColumn("caveats", F.lit("; ".join(done.caveats)))
+
+
+CAPITAL = sql.with_(sql.BARS, sql.BANDS, sql.mean_reversion(), sql.fold())
+
+
+def single_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol by itself on a sixth of the capital."""
+    return replay.equity_curve(mr_events(spark, sf_dir, replay.ReplayConfig(initial_capital=100_000 / 6)))
+
+
+@query("v18_union_capital", CAPITAL + """
+SELECT ts, round(sum(equity) / 6, 6) AS equity, round(sum(equity - pv) / 6, 6) + 0 AS cash, round(sum(pv) / 6, 6) + 0 AS position_value FROM curve GROUP BY ts""")
+def v18u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(basket.combined_curve(single_curves(spark, sf_dir)))
+
+
+@query("v18_filled_capital", CAPITAL + """
+, grid AS (SELECT t.ts, s.symbol FROM (SELECT DISTINCT ts FROM curve) t CROSS JOIN (SELECT DISTINCT symbol FROM curve) s),
+last AS (SELECT g.ts, g.symbol, coalesce(last_value(c.equity IGNORE NULLS) OVER w, 100000) AS equity, coalesce(last_value(c.pv IGNORE NULLS) OVER w, 0) AS pv
+         FROM grid g LEFT JOIN curve c USING (ts, symbol) WINDOW w AS (PARTITION BY g.symbol ORDER BY g.ts))
+SELECT ts, round(sum(equity) / 6, 6) AS equity, round(sum(equity - pv) / 6, 6) + 0 AS cash, round(sum(pv) / 6, 6) + 0 AS position_value FROM last GROUP BY ts""")
+def v18f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(basket.combined_curve(single_curves(spark, sf_dir), initial=100_000 / 6))
 
 
 @query("v19_news_ablation")

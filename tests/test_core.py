@@ -62,7 +62,7 @@ def test_stop_wins_over_target_and_over_signal(spark):
 def test_halt_is_for_good(spark):
     frame = made(spark, [100, 100, 50, 50, 50, 50], signals=[1, 0, 0, 1, 1, 0])
     events = replay.replay(frame, Given(), replay.ReplayConfig(max_drawdown_cutoff_pct=0.2))
-    assert [x["reason"] for x in rows(replay.fills(events).orderBy("seq"))] == ["r", "max-drawdown halt"]
+    assert [x["reason"] for x in rows(replay.fills(events).orderBy("seq"))] == ["r", "drawdown limit reached"]
     assert rows(replay.halts(events))[0]["halt_ts"] == datetime(2024, 1, 3)
 
 
