@@ -3,23 +3,23 @@
 A window is ``WINDOW`` consecutive words. Of the ``ANCHOR``-word sequences in a window the one with the
 least hash is its anchor, so equal windows have equal anchors at equal places; neighbouring windows that
 share an anchor make one *stretch*, and there is a stretch for about eight words. The index keeps a row per
-distinct stretch: its anchor's fingerprint ``a``, a digest ``c`` of all its words, and where it came first. The
-two mix the words' 64-bit hashes in different ways; stretches that agree in both are taken to be equal, which
-only words with equal hashes could make wrong.
+distinct stretch: its anchor's fingerprint ``a``, a digest ``c`` of all its words, and where it came first.
+``a`` mixes the words' 64-bit hashes; ``c`` verifies a match, as it is another hash of the words' own bytes and shares
+nothing with ``a``: stretches that agree in both are taken to be equal. Windows are verified in the same way.
 Rows are written as immutable runs, bucketed and sorted by ``(a, c)``.
 
 A new batch becomes a run of its own and is merge-joined with the older runs. A stretch whose ``(a, c)``
 came before repeats whole. A new stretch that shares only its anchor with others may repeat in part: such
 stretches are read again from the texts and compared window by window. Runs are compacted by merging them
-when there are ``FANOUT`` of them.
+when there are ``FANOUT`` of them. Texts are known by batch and doc_id, so that batches may use the same ids.
 
 Before a shuffle each Arrow batch keeps one row per stretch and marks the others as repeats, so that a passage in
 a third of all documents costs a row per batch; the joins and sums that follow are split or pre-aggregated.
 
 Defined cases: words are separated by ASCII white space; null texts and texts under a window have no
 windows; overlapping repeats within a document count; earlier means earlier batch, then smaller doc_id, then
-earlier start. Rows with a repeated or null doc_id are separate documents, null first and in the table's
-order. An empty table gives an empty result. Only doc_id and text are looked at.
+earlier start. Rows of one batch with a repeated or null doc_id are separate documents, null first and in the
+table's order; a doc_id that an earlier batch had is another document. An empty table gives an empty result. Only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -81,15 +81,22 @@ class Words:
         if self.n >= WINDOW:
             own = np.fromiter(map(_HASHES.__getitem__, self.words), "u8", self.n)
             power, self.inverse = _powers(self.n + 1)
-            self.sums = []
-            for h in (own, _mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
-                total = np.zeros(self.n + 1, "u8")
-                np.cumsum(h * power[: self.n], out=total[1:])
-                self.sums.append(total)
+            self.sums = np.zeros(self.n + 1, "u8")
+            np.cumsum(own * power[: self.n], out=self.sums[1:])
+            self.bytes = memoryview(b" ".join(self.words))
+            self.at = np.zeros(self.n + 1, "i8")
+            np.cumsum(np.fromiter(map(len, self.words), "i8", self.n) + 1, out=self.at[1:])
+
+    def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """A hash of the words from ``start`` to before ``stop``, from the words' hashes."""
+        return _mix((self.sums[stop] - self.sums[start]) * self.inverse[start])
+
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Another hash of the same, from their bytes."""
+        import xxhash
 
-    def ranges(self, which: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        total = self.sums[which]
-        return _mix((total[stop] - total[start]) * self.inverse[start])
+        text, digest = self.bytes, xxhash.xxh3_64_intdigest
+        return np.fromiter((digest(text[i:j]) for i, j in zip(self.at[start].tolist(), (self.at[stop] - 1).tolist(), strict=True)), "u8", len(start))
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """a, c, first window and number of windows of every stretch."""
@@ -97,7 +104,7 @@ class Words:
             none = np.zeros(0, "u8")
             return none, none, none.astype("i8"), none.astype("i8")
         at = np.arange(self.n - ANCHOR + 1)
-        grams = self.ranges(0, at, at + ANCHOR)
+        grams = self.ranges(at, at + ANCHOR)
         # The least hash of each window, the leftmost of equals: 32 bits of hash over 32 bits of place.
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype("u8")
         span = 1
@@ -110,7 +117,7 @@ class Words:
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
         count = np.diff(first, append=len(anchor))
         where = anchor[first]
-        digest = self.ranges(1, first, first + count - 1 + WINDOW)
+        digest = self.digests(first, first + count - 1 + WINDOW)
         digest = _mix(digest ^ _mix((where - first).astype("u8") * np.uint64(64) + count.astype("u8")))
         return grams[where], digest, first, count
 
@@ -143,7 +150,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, v, batch, doc_id, start)``: both hashes of every window of the wanted stretches (doc_id, ats)."""
+    """``(h, v, batch, doc_id, start)``: both hashes of every window of the wanted stretches (batch, doc_id, ats)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,14 +160,14 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = Words(text.as_py())
                 at = ats.values.to_numpy(zero_copy_only=False)
                 start = np.concatenate([np.arange(x >> 4, (x >> 4) + (x & 15) + 1) for x in at.tolist()])
-                for col, x in zip(cols, (words.ranges(0, start, start + WINDOW).view("i8"),
-                                         words.ranges(1, start, start + WINDOW).view("i8"), np.full(len(start), number, "i8"),
+                for col, x in zip(cols, (words.ranges(start, start + WINDOW).view("i8"),
+                                         words.digests(start, start + WINDOW).view("i8"), np.full(len(start), number, "i8"),
                                          np.full(len(start), doc_id, "i8"), start), strict=True):
                     col.append(x)
             arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, "i8"), pa.int64()) for c in cols]
             yield pa.RecordBatch.from_arrays(arrays, ["h", "v", "batch", "doc_id", "start"])
 
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "ats", "batch")
+    joined = docs.join(wanted, ["batch", "doc_id"]).select("doc_id", "text", "ats", "batch")
     return joined.mapInArrow(found, "h long, v long, batch long, doc_id long, start long")
 
 
@@ -236,12 +243,12 @@ class FingerprintIndex:
         )
         shared = materialize(shared, "shared")
         release(spark)
-        unsure = materialize(firsts.join(shared, "a", "left_semi").select("doc_id", "at"), "unsure")
+        unsure = materialize(firsts.join(shared, "a", "left_semi").select(F.col("batch").cast("long"), "doc_id", "at"), "unsure")
         release(spark)
         texts = docs.select("doc_id", "text", F.lit(number).cast("long").alias("batch"))
         texts = texts if self.texts is None else self.texts.unionByName(texts)
         if not is_empty(unsure):
-            wanted = unsure.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+            wanted = unsure.groupBy("batch", "doc_id").agg(F.collect_list("at").alias("ats"))
             windows = materialize(_windows(texts, wanted), "windows")
             release(spark)
             place = F.struct("batch", "doc_id", "start")
@@ -305,9 +312,8 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
     renamed = None
     if not is_empty(odd):
         # Stand-in ids in order of doc_id: a sort's partitions are in order, and so are these ids.
-        renamed = materialize(
-            docs.orderBy("doc_id").withColumn("key", F.monotonically_increasing_id()), "renamed"
-        )
+        placed = docs.withColumn("row", F.monotonically_increasing_id()).orderBy("doc_id", "row").drop("row")
+        renamed = materialize(placed.withColumn("key", F.monotonically_increasing_id()), "renamed")
         docs = renamed.select(F.col("key").alias("doc_id"), "text")
     own = index is None
     index = index or FingerprintIndex(spark)
@@ -322,12 +328,14 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
     else:
         parts = [docs]
     repeats = None
-    for part in parts:
-        found = index.add(part)
-        repeats = found if repeats is None else repeats.unionByName(found)
+    try:
+        for part in parts:
+            found = index.add(part)
+            repeats = found if repeats is None else repeats.unionByName(found)
+    finally:
+        if own:
+            index.drop()
     out = _removed(docs, repeats)
-    if own:
-        index.drop()
     if renamed is not None:
         back = renamed.select("key", F.col("doc_id").alias("own_id"))
         out = out.join(back, out["doc_id"] == back["key"]).select(

@@ -533,6 +533,50 @@ def test_substring_index_by_batches(spark, fanout):
     assert got == {doc_id: want[i] for i, (doc_id, _) in enumerate(ordered)}
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_substring_batches_share_ids(spark, odd):
+    """Five batches whose ids clash, or that need stand-in ids because theirs are null or repeated."""
+    rng = np.random.default_rng(2)
+    passage = [f"p{j}" for j in range(33)]
+    made = []
+    for n in (300, 41, 120, 22, 60):
+        words = [f"w{x}" for x in rng.integers(0, 500, n)]
+        words[5:5] = passage[: 20 + n % 13]
+        made.append([(1, " ".join(words)), (1 if odd else 2, " ".join(words[3:-2] + ["end"])), (None if odd else 3, "x y z " * 9)])
+    index = substring_dedup.FingerprintIndex(spark, buckets=2, fanout=3)
+    got = []
+    for part in made:
+        df = spark.createDataFrame(part, "doc_id long, text string").coalesce(1)
+        got += [sorted((r["n_words"], r["n_removed"], r["kept"]) for r in rows(substring_dedup.remove_repeats(df, index)))]
+    assert len(index.runs) < 3
+    index.drop()
+    order = [sorted(part, key=lambda d: (d[0] is not None, d[0] or 0)) for part in made]  # null first
+    flat = [(i, text) for i, (_, text) in enumerate(d for part in order for d in part)]
+    want = removed_by_force(flat)
+    for at, part in enumerate(got):
+        mine = [want[at * 3 + i] for i in range(3)]
+        assert [(n, gone, hashlib.sha256(kept.encode()).hexdigest()) for n, gone, kept in part] == sorted(
+            mine, key=lambda m: (m[0], m[1], next(k for n, g, k in part if hashlib.sha256(k.encode()).hexdigest() == m[2]))
+        )
+
+
+def test_substring_tables_go_when_a_step_fails(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    real = substring_dedup.FingerprintIndex.add
+    calls = []
+
+    def add(self, docs):
+        calls.append(1)
+        if len(calls) > 1:
+            raise RuntimeError("lost")
+        return real(self, docs)
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "add", add)
+    with pytest.raises(RuntimeError):
+        substring_dedup.remove_repeats(spark.createDataFrame(made_documents(), "doc_id long, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_substring_dedup_documents(spark, sf_dir, documents, awkward, empty):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(QUERIES["op6_substring_dedup"](spark, sf_dir))}
     assert got == removed_by_force([(r["doc_id"], r["text"]) for r in rows(documents)])
