@@ -9,7 +9,9 @@ of the low cluster before and after that run stay unless they are mostly links.
 
 Lines in elements that are menus, headers, footers, sidebars or forms by tag, role or ``hidden`` are never text.
 Class names and ids only suggest that: an element that holds half of the page's high-cluster text is content
-whatever its names say.
+whatever its names say. Reader comments are judged by their place instead, as they may well outweigh the article: an
+element that its names call a thread, and articles that repeat inside an article, go if plain text came before them in
+the page. Of several articles side by side the one with the most text of the high cluster is the page's.
 
 Defined cases: a null or empty page, and one without text, gives an empty string; equal or repeated pages
 are extracted alike; broken markup is read as far as a browser would, unknown declarations are comments; elements
@@ -44,6 +46,7 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset(("article", "main"))
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_P_FENCE, _LIST_FENCE = BLOCKS - {"p"}, frozenset(("ul", "ol", "dl", "table"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 #: Parts of class names and ids that suggest boilerplate, and what may stand beside them.
 HINTS = frozenset(
@@ -56,6 +59,8 @@ BESIDE = frozenset(
     "area articles bar block body bottom box button buttons container content form holder icons inner item items left "
     "links list main message outer panel posts right section site slot stories thread top unit wrap wrapper".split()
 )
+#: Of these the parts that name a thread of reader comments, and more that only name threads.
+THREADS = frozenset("comment comments commentlist disqus replies responses discussion".split())
 _NAME_PART = re.compile(r"[^a-z0-9]+")
 _NEGATED = frozenset("has no with without is not".split())
 SIGMA, REACH = 1.0, 2
@@ -72,6 +77,13 @@ def _suggests_boilerplate(name: str) -> bool:
     return parts[-1] in HINTS or (parts[0] in HINTS and all(p in BESIDE or p in HINTS or p.isdigit() for p in rest))
 
 
+def _names_thread(name: str) -> bool:
+    parts = [p for p in _NAME_PART.split(name) if p]
+    return bool(parts) and parts[0] not in _NEGATED and (
+        parts[-1] in THREADS or (parts[0] in THREADS and all(p in BESIDE or p in THREADS or p.isdigit() for p in parts[1:]))
+    )
+
+
 def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     """DECLARED by tag, role or hiding, SUGGESTED by names, or 0."""
     if tag in BOILERPLATE:
@@ -97,11 +109,13 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, hidden
-        self.open: defaultdict[str, int] = defaultdict(int)
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack the tag is
+        self.fences: dict[frozenset[str], list[int]] = {f: [] for f in (_P_FENCE, _LIST_FENCE)}
         self.hidden = 0
         self.parent, self.doubt = [-1], [0]  # by element number; 0 is the page
         self.containers: list[int] = []
         self.articles: list[int] = []
+        self.threads: list[tuple[int, int]] = []  # element, lines before it
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -110,7 +124,7 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            self.lines.append((text, self.tags, self.linked, self.open["li"] > 0, self.stack[-1][1] if self.stack else 0))
+            self.lines.append((text, self.tags, self.linked, bool(self.open["li"]), self.stack[-1][1] if self.stack else 0))
         if self.parts:
             self.parts = []
         self.tags = self.linked = 0
@@ -129,11 +143,11 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
             if tag in CLOSES_P:
-                self._close("p", until=BLOCKS - {"p"})
+                self._close("p", _P_FENCE)
             if tag in ("li", "dd", "dt", "tr", "td", "th"):
-                self._close(tag, until=frozenset(("ul", "ol", "dl", "table")))
+                self._close(tag, _LIST_FENCE)
             if tag == "body":
-                self._close("head", until=frozenset())
+                self._close("head")
         self.tags += 1
         if tag in VOID:
             if tag == "br" and not self.hidden:
@@ -143,14 +157,21 @@ class _Lines(HTMLParser):
         self.parent.append(self.stack[-1][1] if self.stack else 0)
         self.doubt.append(_boilerplate(tag, attrs) if attrs else DECLARED if tag in BOILERPLATE else 0)
         hidden = tag in HIDDEN
+        self.open[tag].append(len(self.stack))
+        for fence, places in self.fences.items():
+            if tag in fence:
+                places.append(len(self.stack))
         self.stack.append((tag, number, hidden))
-        self.open[tag] += 1
         self.hidden += hidden
         role = dict(attrs).get("role") if attrs else None
         if tag in CONTAINERS or role in ("main", "article"):
             self.containers.append(number)
         if tag == "article" or role == "article":
             self.articles.append(number)
+        if attrs and tag not in ("html", "body") and any(
+            name in ("class", "id") and value and any(map(_names_thread, value.lower().split())) for name, value in attrs
+        ):
+            self.threads.append((number, len(self.lines) + bool(self.parts)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -159,26 +180,26 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> None:
         tag, _, hidden = self.stack.pop()
-        self.open[tag] -= 1
+        self.open[tag].pop()
+        for fence, places in self.fences.items():
+            if tag in fence:
+                places.pop()
         self.hidden -= hidden
 
-    def _close(self, tag: str, until: frozenset[str]) -> None:
-        """Close the nearest open ``tag``, and what is open in it, unless an element of ``until`` is nearer."""
+    def _close(self, tag: str, fence: frozenset[str] | None = None) -> None:
+        """Close the nearest open ``tag``, and what is open in it, unless an element of the fence is nearer."""
         if not self.open[tag]:
             return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                while len(self.stack) > at:
-                    self._pop()
-                return
-            if self.stack[at][0] in until:
-                return
+        at = self.open[tag][-1]
+        if fence is None or not self.fences[fence] or self.fences[fence][-1] < at:
+            while len(self.stack) > at:
+                self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        self._close(tag, until=frozenset())
+        self._close(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -224,6 +245,28 @@ def _inherited(parent: list[int], own: set[int]) -> list[bool]:
     return out
 
 
+def _threads(reader: _Lines, bad: list[bool]) -> set[int]:
+    """Elements with reader comments: named so, or articles that repeat in an article, after plain text of the page."""
+    plain = [i for i, (text, _, linked, _, n) in enumerate(reader.lines) if not bad[n] and 2 * linked <= len("".join(text.split()))]
+    first = plain[0] if plain else len(reader.lines)
+    out = {n for n, before in reader.threads if before > first}
+    if len(reader.articles) > 2:
+        own, outer = set(reader.articles), [-1] * len(reader.parent)  # the nearest article around each element
+        for n in range(1, len(reader.parent)):
+            up = reader.parent[n]
+            outer[n] = up if up in own else outer[up]
+        around = defaultdict(list)
+        for n in reader.articles:
+            if outer[n] >= 0:
+                around[outer[n]].append(n)
+        # Elements are numbered in page order, so text of the outer article before the first inner one has a smaller number.
+        said = {reader.lines[i][4] for i in plain}
+        for holder, inner in around.items():
+            if len(inner) > 1 and any(n < inner[0] and (n == holder or outer[n] == holder) for n in said):
+                out |= set(inner)
+    return out
+
+
 def _region(reader: _Lines, at: list[int], weight: np.ndarray) -> int:
     """The number of the element that holds the content; 0 for the whole page."""
     held = _held(reader.parent, at, weight.tolist())
@@ -254,6 +297,10 @@ def extract_text(html: str | None) -> str:
     declared = {n for n, d in enumerate(reader.doubt) if d == DECLARED}
     suggested = [n for n, d in enumerate(reader.doubt) if d == SUGGESTED]
     bad = _inherited(reader.parent, declared)
+    threads = _threads(reader, _inherited(reader.parent, declared | set(suggested)))
+    if threads:
+        declared |= threads
+        bad = _inherited(reader.parent, declared)
     size, high = _high(lines, bad)
     if suggested:
         held = _held(reader.parent, at, np.where(high, size, 0.0).tolist())

@@ -60,3 +60,41 @@ def test_linear_in_depth():
 
     (_, small), (took, large) = cost(2000), cost(16000)
     assert large < 12 * small and took < 30
+
+
+COMMENT = "I read this with great interest and I must say that my own view is another one altogether. " * 8
+
+
+@pytest.mark.parametrize("thread", ["<section id='comments'>{}</section>", "<ol class='commentlist'>{}</ol>", "<div class='comments-area'>{}</div>", "<div id='disqus_thread'>{}</div>"])
+@pytest.mark.parametrize("outer", ["<main>{}</main>", "<body><div class=page>{}</div></body>", "<article>{}</article>"])
+def test_comments_go_whatever_their_share(thread, outer):
+    said = "".join(f"<div class=entry><p>{COMMENT}</p></div>" for _ in range(3))
+    page = outer.format("<h1>A head</h1><p>The lead is short.</p><p>" + TEXT + "</p>" + thread.format(said))
+    assert extract_text(page) == f"A head\nThe lead is short.\n{TEXT.strip()}"
+
+
+def test_repeated_articles_in_an_article_are_comments():
+    inner = f"<article><p>{COMMENT}</p></article>" * 3
+    assert extract_text(f"<article><h1>Head</h1><p>{TEXT}</p>{inner}</article>") == f"Head\n{TEXT.strip()}"
+    # With no text of its own before them, an article's articles are its parts.
+    assert extract_text(f"<article>{inner}</article>").count("great interest") == 24
+
+
+def test_content_that_is_only_called_comment():
+    page = f"<body><div class='comment'><h1>Opinion</h1><p>{TEXT}</p></div><footer>x</footer></body>"
+    assert extract_text(page) == f"Opinion\n{TEXT.strip()}"
+    assert "Opinion" in extract_text(f"<body><div class='no-comments'><h1>Opinion</h1><p>{TEXT}</p></div></body>")
+
+
+@pytest.mark.parametrize("page", ["<p><td>{spans}{rules}", "<ul><li>{spans}{items}", "<table><tr><td>{spans}{cells}"])
+def test_linear_where_many_elements_stay_open(page):
+    import time
+
+    def cost(n):
+        html = page.format(spans="<span>" * n, rules="<hr>" * n, items="<ol><li>" * n, cells="<p>x" * n)
+        began = time.perf_counter()
+        extract_text(html)
+        return time.perf_counter() - began
+
+    small, large = min(cost(4000) for _ in range(3)), cost(32_000)
+    assert large < 40 * small
