@@ -22,7 +22,7 @@ from ..operators.indicators import INDICATORS, add_indicators, add_sizing, rolli
 from ..operators.strategies import BuyAndHold, Classifier, EventOverlay, Flat, MeanReversion, TrendFollowing
 from ..sources import bars as bar_src
 from ..sources import news as news_src
-from ..sources import tables
+from ..sources import providers, tables
 from ..streaming import streams
 from ..session import shared_folder, written
 from . import sql
@@ -262,6 +262,41 @@ def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(li.select("l_orderkey", "l_linenumber", tables.finite(ratio).alias("ratio")))
 
 
+@query("s05_bar_provider", sql.with_(sql.BARS) + """
+SELECT symbol, ts, round(open, 4) AS open, round(close, 4) AS close, volume, round(close * 0.5, 4) AS adj_close FROM bars
+WHERE ts >= '1995-03-01' AND ts < '1996-07-01' AND symbol IN ('AF', 'NO', 'RF')""")
+def s05_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of a vendor as files, a slice a symbol and year, read through the data source."""
+    folder = scratch(spark, "vendor-bars")
+    bar = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("date"), *bar_src.OHLCV, (F.col("close") * 0.5).alias("adjClose"),
+        F.lit(0.0).alias("divCash"), F.lit(1.0).alias("splitFactor"),
+    )
+    lists = bars(spark, sf_dir).groupBy("symbol", F.year("ts").alias("slice")).agg(F.to_json(F.collect_list(bar)).alias("value"))
+    lists.write.partitionBy("symbol", "slice").text(folder)
+    providers.register(spark)
+    fetched = providers.fetch(spark, providers.VendorBars, providers.select_provider(folder), ("AF", "NO", "RF"), date(1995, 3, 1), date(1996, 6, 30))
+    return rounded(providers.good_rows(fetched).select("symbol", "ts", "open", "close", "volume", "adj_close"), 4)
+
+
+@query("s08_news_provider", sql.with_(sql.NEWS) + """
+SELECT item_id, symbol, epoch(published_at)::BIGINT AS published_at, epoch(first_seen_at)::BIGINT AS first_seen_at, headline, source FROM news
+WHERE published_at >= '1996-01-01'""")
+def s08_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "vendor-news")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    item = F.struct(
+        F.col("item_id").alias("id"), iso("published_at").alias("publishedDate"), iso("first_seen_at").alias("crawlDate"),
+        F.col("headline").alias("title"), "source",
+    )
+    found = news_src.canonical_news(spark, sf_dir).groupBy("symbol", F.year("published_at").alias("slice"), (F.xxhash64("item_id") % 16).alias("part"))
+    lists = found.agg(F.to_json(F.collect_list(item)).alias("value")).drop("part")  # lists of bounded shares of a slice
+    lists.write.partitionBy("symbol", "slice").text(folder)
+    providers.register(spark)
+    fetched = providers.fetch(spark, providers.VendorNews, providers.select_provider(folder), news_src.SYMBOLS, date(1996, 1, 1), date(2002, 12, 31))
+    return providers.good_rows(fetched).select("item_id", "symbol", epoch("published_at"), epoch("first_seen_at"), "headline", "source")
+
+
 # Filters and gates
 
 
