@@ -4,7 +4,7 @@ A window is ``WINDOW`` consecutive words. Of the ``ANCHOR``-word sequences in a
 least hash is its anchor, so equal windows have equal anchors at equal places; neighbouring windows that
 share an anchor make one *stretch*, and there is a stretch for about eight words. The index keeps a row per
 distinct stretch: its anchor's fingerprint ``a``, a digest ``c`` of all its words, and where it came first.
-``a`` mixes the words' 64-bit hashes; ``c`` verifies a match, as it is another hash of the words' own bytes and shares
+``a`` mixes 64-bit hashes of the words; ``c`` verifies a match, as it is another hash of the words' own bytes and shares
 nothing with ``a``: stretches that agree in both are taken to be equal. Windows are verified in the same way.
 Rows are written as immutable runs, bucketed and sorted by ``(a, c)``.
 
@@ -39,20 +39,10 @@ WINDOW, ANCHOR, FANOUT = 20, 6, 4
 _SPREAD = WINDOW - ANCHOR + 1  # anchors to choose from in a window; a stretch has as many windows at most
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CACHED_WORDS = 1 << 18
+_CHUNK = 1 << 16  # bytes that are hashed at once; longer words are hashed by themselves
+_OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, "u8")
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, 7)
-        return value
-
-
-_HASHES = _WordHashes()
 _POWERS = [np.ones(1, "u8"), np.ones(1, "u8")]
 
 
@@ -72,6 +62,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(text: bytes, at: np.ndarray) -> np.ndarray:
+    """A hash of each word of a text whose words begin at ``at`` (but for its last place, one after the end) and end a byte
+    before the next begins. Sums of byte values times powers, so that all words of a chunk are hashed together."""
+    out = np.zeros(len(at) - 1, "u8")
+    data, first = np.frombuffer(text, "u1"), 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _CHUNK, side="right")) - 1)
+        begin, end = at[first:last] - at[first], at[first + 1 : last + 1] - 1 - at[first]
+        if end[-1] > _CHUNK:
+            out[first] = _long_word(text[at[first] : at[first + 1] - 1])
+        else:
+            power, inverse = _powers(_CHUNK + 1)
+            total = np.zeros(end[-1] + 1, "u8")
+            np.cumsum(_OF_BYTE[data[at[first] : at[first] + end[-1]]] * power[: end[-1]], out=total[1:])
+            out[first:last] = _mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype("u8"))
+        first = last
+    return out
+
+
+def _long_word(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, 7)
+
+
 class Words:
     """The words of a text with hashes of any range of them."""
 
@@ -79,13 +94,14 @@ class Words:
         self.words = (text or "").encode("utf-8", "surrogatepass").split()
         self.n = len(self.words)
         if self.n >= WINDOW:
-            own = np.fromiter(map(_HASHES.__getitem__, self.words), "u8", self.n)
+            joined = b" ".join(self.words)
+            self.bytes, self.at = memoryview(joined), np.zeros(self.n + 1, "i8")
+            self.at[1:-1] = np.flatnonzero(np.frombuffer(joined, "u1") == 32) + 1
+            self.at[-1] = len(joined) + 1
+            own = _word_hashes(joined, self.at)
             power, self.inverse = _powers(self.n + 1)
             self.sums = np.zeros(self.n + 1, "u8")
             np.cumsum(own * power[: self.n], out=self.sums[1:])
-            self.bytes = memoryview(b" ".join(self.words))
-            self.at = np.zeros(self.n + 1, "i8")
-            np.cumsum(np.fromiter(map(len, self.words), "i8", self.n) + 1, out=self.at[1:])
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """A hash of the words from ``start`` to before ``stop``, from the words' hashes."""

@@ -533,6 +533,25 @@ def test_substring_index_by_batches(spark, fanout):
     assert got == {doc_id: want[i] for i, (doc_id, _) in enumerate(ordered)}
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others differ, also over chunk borders and for very long words."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 5))) for _ in range(3000)] + ["x" * 300, "x" * 301] * 2
+    rng.shuffle(words)
+    found = []
+    for chunk in (64, 1 << 16):
+        monkeypatch.setattr(substring_dedup, "_CHUNK", chunk)
+        data = " ".join(words).encode()
+        at = np.array([0, *(np.flatnonzero(np.frombuffer(data, "u1") == 32) + 1), len(data) + 1])
+        hashes = substring_dedup._word_hashes(data, at).tolist()
+        by_word = collections.defaultdict(set)
+        for w, h in zip(words, hashes, strict=True):
+            by_word[w].add(h)
+        assert all(len(h) == 1 for h in by_word.values()) and len(set(hashes)) == len(by_word)
+        found.append({w: h for w, h in by_word.items() if len(w.encode()) < 60})
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_substring_batches_share_ids(spark, odd):
     """Five batches whose ids clash, or that need stand-in ids because theirs are null or repeated."""
