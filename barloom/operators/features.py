@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,6 +87,21 @@ def panel_report(marked: DataFrame) -> DataFrame:
     )
 
 
+def dense_positions(rows: DataFrame, column: str, name: str, bucket: Column) -> DataFrame:
+    """Distinct values of ``column`` with their position from 0 as ``name``; ``bucket`` rises with the column.
+
+    Values are numbered inside buckets, and a bucket starts where those before it end: no task sees all values. The
+    buckets' sizes, a number each, meet in one row.
+    """
+    values = rows.select(column).distinct().withColumn("_bucket", bucket)
+    sizes = values.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    every = sizes.agg(F.collect_list(F.struct("_bucket", "_n")).alias("_all"))
+    before = F.aggregate(F.filter("_all", lambda x: x["_bucket"] < F.col("_own._bucket")), F.lit(0).cast("long"), lambda n, x: n + x["_n"])
+    starts = every.select("_all", F.explode("_all").alias("_own")).select(F.col("_own._bucket").alias("_bucket"), before.alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(column)) - 1
+    return values.withColumn("_row", inside).join(starts, "_bucket").select(column, (F.col("_start") + F.col("_row")).cast("int").alias(name))
+
+
 def date_positions(rows: DataFrame, column: str = "decision_ts") -> DataFrame:
-    """Distinct dates with their position from 0. The numbering is one task over dates alone: a calendar, some thousands."""
-    return rows.select(column).distinct().withColumn("pos", F.row_number().over(W.orderBy(column)) - 1)
+    """Distinct dates with their position ``pos`` from 0."""
+    return dense_positions(rows, column, "pos", F.year(column))

@@ -1121,6 +1121,26 @@ def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.groupBy("symbol").agg(F.count("*").alias("bars"), F.max_by("equity", "ts").alias("equity")), 4)
 
 
+RISK = replay.ReplayConfig(stop_loss_pct=0.05, take_profit_pct=0.03, max_drawdown_cutoff_pct=0.1)
+
+
+@query("x05_stream_risk", sql.with_(sql.BARS, sql.BANDS, sql.mean_reversion(), sql.fold(stop="0.05", target="0.03", cutoff="0.10").replace("j = m - 1", "false").replace("j < m - 1", "true")) + """
+SELECT symbol, count(*) AS bars, round(arg_max(equity, j), 4) AS equity, round(arg_max(peak, j), 4) AS peak, arg_max(halted, j) AS halted, arg_max(held, j)::INT AS held
+FROM curve GROUP BY symbol""")
+def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops and the drawdown limit over three deliveries, the stream started anew for each."""
+    folder = scratch(spark, "risk")
+    decided = MeanReversion().apply(bands(spark, sf_dir)).select("symbol", "ts", "open", "close", "signal")
+    for before, end in (("1900-01-01", "1995-06-01"), ("1995-06-01", "1997-01-01"), ("1997-01-01", "2100-01-01")):
+        part = decided.where((F.col("ts") >= F.lit(before).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        part.write.mode("append").parquet(f"{folder}/landing")
+        held = streams.running_positions(streams.stream_table(spark, f"{folder}/landing", decided.schema), RISK)
+        streams.run_to_end(held.writeStream.outputMode("append").option("path", f"{folder}/out").format("parquet"), f"{folder}/checkpoint")
+    last = lambda c: F.max_by(c, "ts").alias(c)
+    out = spark.read.parquet(f"{folder}/out").groupBy("symbol").agg(F.count("*").alias("bars"), *map(last, ("equity", "peak", "halted", "held")))
+    return rounded(out, 4)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, bands, signals, replay and measures of every symbol."""
     e = mr_events(spark, sf_dir)

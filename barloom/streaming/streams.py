@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import newer_than
+from ..operators.replay import ReplayConfig, breached, level_hit
+from ..operators.strategies import Classifier
 from ..sources.tables import Table, high_water
 
-POSITION_OUT = "symbol string, ts timestamp, equity double, quantity double"
-POSITION_STATE = "cash double, quantity double, pending int, last_ts timestamp"
+POSITION_OUT = "symbol string, ts timestamp, equity double, quantity double, peak double, halted boolean, held int"
+POSITION_STATE = (
+    "cash double, quantity double, entry double, peak double, halted boolean, pending int, share double, held int, last_ts timestamp"
+)
 
 
 def stream_table(spark: SparkSession, folder: str, schema, name_filter: str = "*.parquet") -> DataFrame:
@@ -61,31 +65,81 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour
     ).select(F.unix_seconds("w.start").alias("start"), "event_type", "n", "total")
 
 
-def running_positions(bars: DataFrame, share: float = 0.95, bps: float = 5.0, capital: float = 100_000.0) -> DataFrame:
-    """Equity of each symbol as its decided bars arrive: cash, quantity and the pending order are state.
-
-    ``bars`` has symbol, ts, open, close and signal. Orders fill at the open of the next bar to arrive; bars
-    at or before the last one seen are dropped.
+class Account:
+    """One symbol's replay as state that goes from bar to bar; ``fields`` are what is stored between batches."""
+
+    fields = ("cash", "quantity", "entry", "peak", "halted", "order", "share", "held", "last")
+
+    def __init__(self, cfg: ReplayConfig, stored: tuple | None):
+        start = (float(cfg.initial_capital), 0.0, 0.0, float(cfg.initial_capital), False, 0, cfg.max_position_pct, 0, None)
+        self.cfg = cfg
+        for name, value in zip(self.fields, stored or start, strict=True):
+            setattr(self, name, value)
+
+    def stored(self) -> tuple:
+        return tuple(pd.Timestamp(v).to_pydatetime() if n == "last" else v for n, v in ((n, getattr(self, n)) for n in self.fields))
+
+    def fill(self, price: float) -> None:
+        """The pending order at a bar's open."""
+        up, down, rate = 1 + self.cfg.slippage_bps / 1e4, 1 - self.cfg.slippage_bps / 1e4, self.cfg.fee_bps / 1e4
+        if self.order > 0 and self.quantity == 0:
+            self.entry = price * up
+            self.quantity = self.cash * self.share / (self.entry * (1 + rate)) if self.entry > 0 else 0.0
+            self.cash -= self.quantity * self.entry * (1 + rate)
+        elif self.order < 0 and self.quantity > 0:
+            self.cash += self.quantity * price * down * (1 - rate)
+            self.quantity = self.entry = 0.0
+        self.order = 0
+
+    def decide(self, close: float, signal: int, share: float) -> None:
+        """The order that a bar's close leaves: levels first, then the drawdown limit, then the signal."""
+        cfg, equity = self.cfg, self.cash + self.quantity * close
+        self.peak, self.held = max(self.peak, equity), self.held + 1 if self.quantity > 0 else 0
+        if self.quantity > 0 and level_hit(self.entry, close, cfg.stop_loss_pct, cfg.take_profit_pct):
+            self.order = -1
+        if not self.halted and breached(self.peak, equity, cfg.max_drawdown_cutoff_pct):
+            self.halted = True
+            self.order = -1 if self.quantity > 0 else 0
+        if not self.order and (signal < 0 or (signal > 0 and not self.halted)):
+            self.order, self.share = (1, share) if signal > 0 else (-1, self.share)
+
+
+def running_positions(bars: DataFrame, cfg: ReplayConfig | None = None, score: Classifier | None = None) -> DataFrame:
+    """The replay of each symbol as its decided bars arrive: equity, position, peak, halt and bars held.
+
+    ``bars`` has symbol, ts, open, close, fraction where sizes vary, and signal, or a score that ``score``'s thresholds and
+    shortest holding time turn into one. Orders fill at the open of the next bar to arrive; bars at or before the last one
+    seen are dropped. It is the replay in batch, but for the last bar, where that closes what is held.
     """
-    up, down, rate = 1 + bps / 1e4, 1 - bps / 1e4, bps / 1e4
+    cfg = cfg or ReplayConfig()
+
+    def wish(account: Account, row) -> int:
+        if score is None:
+            return int(row.signal)
+        if row.signal is None or row.signal != row.signal:
+            return 0
+        if account.quantity == 0:
+            return int(row.signal >= score.enter)
+        return -int(account.held >= score.min_hold and row.signal < score.leave)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cash, quantity, pending, last = state.get if state.exists else (capital, 0.0, 0, None)
-        rows = []
-        got = [b for b in batches]
-        for r in (pd.concat(got).sort_values("ts").itertuples() if got else ()):
-            if last is not None and r.ts <= pd.Timestamp(last):
+        account, rows, got = Account(cfg, state.get if state.exists else None), [], list(batches)
+        for r in pd.concat(got).sort_values("ts").itertuples() if got else ():
+            if account.last is not None and r.ts <= pd.Timestamp(account.last):
                 continue
-            if pending > 0 and quantity == 0:
-                quantity = cash * share / (r.open * up * (1 + rate))
-                cash -= cash * share
-            elif pending < 0 and quantity > 0:
-                cash, quantity = cash + quantity * r.open * down * (1 - rate), 0.0
-            pending, last = int(r.signal), r.ts
-            rows.append((key[0], r.ts, cash + quantity * r.close, quantity))
-        if last is not None:
-            state.update((cash, quantity, pending, pd.Timestamp(last).to_pydatetime()))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "equity", "quantity"])
-
-    timed = bars.withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "open", "close", "signal")
+            account.fill(r.open)
+            before, account.held = account.held, account.held + 1 if account.quantity > 0 else 0
+            wanted = wish(account, r)
+            account.held = before
+            account.decide(r.close, wanted, r.fraction)
+            account.last = r.ts
+            worth = account.quantity * r.close
+            rows.append((key[0], r.ts, account.cash + worth, account.quantity, account.peak, account.halted, account.held))
+        if account.last is not None:
+            state.update(account.stored())
+        yield pd.DataFrame(rows, columns=["symbol", "ts", "equity", "quantity", "peak", "halted", "held"])
+
+    share = F.col("fraction") if "fraction" in bars.columns else F.lit(float(cfg.max_position_pct))
+    said = F.col(score.column).cast("double") if score else F.col("signal").cast("double")
+    timed = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "close", said.alias("signal"), share.alias("fraction"))
     return timed.groupBy("symbol").applyInPandasWithState(step, POSITION_OUT, POSITION_STATE, "append", "NoTimeout")
