@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from ..sources.tables import Table
+from ..sources.snapshots import SnapshotTable
 from .basket import HALT, BasketConfig, replay_basket
 from .indicators import add_sizing
 from .metrics import equity_stats
@@ -50,12 +50,12 @@ class CycleStore:
     """The tables of the cycle under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        table = lambda name, *keys, by=(): Table(spark, f"{folder}/{name}", keys, by)
+        table = lambda name, *keys, by=(): SnapshotTable(spark, f"{folder}/{name}", keys, by)
         self.spark = spark
         self.orders = table("orders", "client_order_id")
         self.fills = table("fills", "client_order_id", "fill_id")
-        self.snapshots = table("snapshots", "deployment_id", "day")
-        self.positions = table("positions", "deployment_id", "day", "symbol")
+        self.snapshots = table("snapshots", "deployment_id", "day", by=("deployment_id", "day"))
+        self.positions = table("positions", "deployment_id", "day", "symbol", by=("deployment_id", "day"))
         self.divergences = table("reconciliations", "deployment_id", "day", "kind", "symbol", "detail")
 
     def peak(self, deployment: Deployment) -> float:
@@ -66,13 +66,9 @@ class CycleStore:
         row = running_peak(own, deployment.capital).first()
         return row["peak"] if row else deployment.capital
 
-    def replace_day(self, table: Table, rows: DataFrame, deployment: Deployment, day: str) -> None:
-        """The rows of one deployment's day, instead of those that are there."""
-        if not table.exists():
-            table.append(rows)
-            return
-        same = (F.col("deployment_id") == deployment.id) & (F.col("day") == day)
-        table.rewrite(table.read().where(~same).unionByName(rows))
+    def replace_day(self, table: SnapshotTable, rows: DataFrame, deployment: Deployment, day: str) -> None:
+        """The rows of one deployment's day, which are a partition of their own, instead of those that are there."""
+        table.replace(rows, {"deployment_id": deployment.id, "day": day})
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -23,6 +23,7 @@ from ..operators.strategies import BuyAndHold, Classifier, EventOverlay, Flat, M
 from ..sources import bars as bar_src
 from ..sources import news as news_src
 from ..sources import providers, tables
+from ..sources.snapshots import SnapshotTable
 from ..streaming import streams
 from ..session import shared_folder, written
 from . import sql
@@ -1141,6 +1142,39 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4)
 
 
+@query("x06_stream_corrections", sql.with_(sql.BARS) + """
+SELECT symbol, ts, round(CASE WHEN i % 3 = 0 AND ts < '1996-01-01' THEN close * 2 ELSE close END, 6) AS close, CASE WHEN i % 3 = 0 AND ts < '1996-01-01' THEN 1 ELSE 0 END AS revision FROM b""")
+def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars, then corrections of a third of the oldest, by a stream into snapshots; the first delivery comes again at last."""
+    folder = scratch(spark, "corrections")
+    b = bar_src.with_bar_index(bars(spark, sf_dir)).select("symbol", "ts", "close", F.year("ts").alias("year"), "bar_idx", F.lit(0).alias("revision"))
+    fixed = b.where("bar_idx % 3 = 0 and ts < timestamp_ntz'1996-01-01'").withColumns({"close": F.col("close") * 2, "revision": F.lit(1)})
+    table = SnapshotTable(spark, f"{folder}/bars", ["symbol", "ts"], ["symbol", "year"])
+    schema = b.drop("bar_idx").schema
+    for delivery in (b, fixed):
+        delivery.drop("bar_idx").write.mode("append").parquet(f"{folder}/landing")
+        stream = streams.stream_table(spark, f"{folder}/landing", schema)
+        streams.ingest_with_corrections(stream, table, f"{folder}/checkpoint", version="revision")
+    table.upsert(b.drop("bar_idx"), ("bars", 0))  # published before: nothing happens
+    return rounded(table.read().select("symbol", "ts", "close", "revision"))
+
+
+@query("k07_snapshot_versions", """
+SELECT o_custkey % 7 AS deployment_id, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders, round(sum(o_totalprice), 2) AS value
+FROM orders GROUP BY ALL""")
+def k07v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition a deployment, upserted in two overlapping parts; old versions are read beside the new one."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", (F.col("o_custkey") % 7).alias("deployment_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice"
+    )
+    table = SnapshotTable(spark, scratch(spark, "orders"), ["o_orderkey"], ["deployment_id"])
+    table.upsert(o.where("o_orderkey % 3 < 2").withColumn("o_totalprice", F.lit(0.0)), ("load", 0))
+    table.upsert(o.where("o_orderkey % 3 > 0"), ("load", 1))
+    table.upsert(o.where("o_orderkey % 3 = 0"), ("load", 2))
+    assert table.read(0).where("o_totalprice <> 0").isEmpty()
+    return rounded(table.read().groupBy("deployment_id", "month").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("value")), 2)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, bands, signals, replay and measures of every symbol."""
     e = mr_events(spark, sf_dir)

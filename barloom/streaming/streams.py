@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.quality import newer_than
 from ..operators.replay import ReplayConfig, breached, level_hit
 from ..operators.strategies import Classifier
+from ..sources.snapshots import SnapshotTable
 from ..sources.tables import Table, high_water
 
 POSITION_OUT = "symbol string, ts timestamp, equity double, quantity double, peak double, halted boolean, held int"
@@ -51,6 +52,22 @@ def ingest_bars(bars: DataFrame, table: Table, checkpoint: str) -> None:
     run_to_end(bars.writeStream.foreachBatch(take), checkpoint)
 
 
+def ingest_with_corrections(bars: DataFrame, table: SnapshotTable, checkpoint: str, writer: str = "bars", version: str | None = None) -> None:
+    """Each micro-batch is upserted, older bars too: the last delivery of a bar stays, whichever day it is of.
+
+    A bar that one batch repeats is taken with the largest ``version``, then the largest values. The batch's number is
+    published with its rows, so that a batch which a restart runs again changes nothing.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        keys = ["symbol", "ts"]
+        order = F.struct(*([F.col(version)] if version else []), *[F.col(c) for c in batch.columns if c not in (*keys, version)])
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("v")).select("v.*")
+        table.upsert(newest, (writer, number))
+
+    run_to_end(bars.writeStream.foreachBatch(take), checkpoint)
+
+
 def available_news(news: DataFrame, late: str = "3 days") -> DataFrame:
     """News by the instant they are available; re-delivered items within the watermark are dropped."""
     out = news.withColumn("available", F.greatest("published_at", "first_seen_at"))
