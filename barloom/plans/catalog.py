@@ -841,6 +841,25 @@ def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(significance.paired_test(diffs, 100))
 
 
+@query("v17_bootstrap_draws", sql.with_(sql.BARS, sql.STEPS) + """
+, s AS (SELECT symbol AS pair, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, ret AS diff, count(*) OVER (PARTITION BY symbol) AS n FROM st WHERE ret IS NOT NULL),
+d0 AS (SELECT pair, k AS t, n, r, 7::BIGINT AS a FROM s, range(0, 100) q(r)),
+d1 AS (SELECT *, (a * 48271 + r * 69621 + 12345) % 2147483647 AS y FROM d0),
+d2 AS (SELECT pair, t, n, r, (y * y + a) % 2147483647 AS a FROM d1),
+d3 AS (SELECT *, (a * 48271 + t * 69621 + 12345) % 2147483647 AS y FROM d2),
+d4 AS (SELECT pair, t, n, r, (y * y + a) % 2147483647 AS a FROM d3),
+d5 AS (SELECT *, (a * 48271 + 12345) % 2147483647 AS y0, (a * 48271 + 69621 + 12345) % 2147483647 AS y1 FROM d4),
+d6 AS (SELECT pair, t, n, r, (y0 * y0 + a) % 2147483647 AS u0, (y1 * y1 + a) % 2147483647 AS u1 FROM d5),
+d7 AS (SELECT *, max(CASE WHEN t = 0 OR u0 < 429496729 THEN t * 4294967296 + u1 % n END) OVER (PARTITION BY pair, r ORDER BY t) AS b FROM d6),
+means AS (SELECT d7.pair, d7.r, any_value(d7.n) AS n, avg(diff) AS mean FROM d7 JOIN s ON s.pair = d7.pair AND s.k = (b % 4294967296 + t - b // 4294967296) % d7.n GROUP BY ALL)
+SELECT pair, round(avg((mean <= 0)::INT), 6) AS p_value, any_value(n) AS n FROM means GROUP BY pair""")
+def v17d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred resamples, with every draw held against SQL."""
+    r = bar_src.with_bar_index(bars(spark, sf_dir)).withColumn("diff", trailing_return(1)).where("diff is not null")
+    diffs = r.select(F.col("symbol").alias("pair"), F.col("bar_idx").alias("obs_idx"), "diff")
+    return rounded(significance.bootstrap_p_values(diffs, 100, seed=7))
+
+
 @query("v17_sharpe_probabilities")
 def v17b(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = bars(spark, sf_dir).withColumn("ret", trailing_return(1)).where("ret is not null")

@@ -1,6 +1,7 @@
 """Hand-made cases whose answers are known."""
 
 import math
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -204,6 +205,35 @@ def test_paired_bootstrap_is_seeded(spark):
     assert a == b and a["p_value"] == 0 and a["beats"]
 
 
+def test_bootstrap_draws(spark, monkeypatch):
+    from barloom.operators import significance as sig
+
+    rng = random.Random(4)
+    values = [rng.gauss(0.02, 1) for _ in range(90)]
+    df = spark.createDataFrame([("p", i, v) for i, v in enumerate(values)], "pair string, obs_idx int, diff double").repartition(4)
+
+    def sequential(resamples, block, seed):
+        count = 0
+        for r in range(resamples):
+            at, total = 0, 0.0
+            for t in range(len(values)):
+                starts = t == 0 or sig.draw(seed, r, t, 0) < int(sig.PRIME / block)
+                at = sig.draw(seed, r, t, 1) % len(values) if starts else (at + 1) % len(values)
+                total += values[at]
+            count += total <= 0
+        return count / resamples
+
+    for size in (7, 50):
+        monkeypatch.setattr(sig, "RESAMPLES_A_TASK", size)
+        got = sig.bootstrap_p_values(df, 120, 5.0, 3).first()
+        assert got["p_value"] == sequential(120, 5.0, 3) and got["n"] == 90
+    assert sig.bootstrap_p_values(df.limit(1), 10).first()["p_value"] is None
+    # The draws look even: a fifth of the steps starts a block, places are spread.
+    t = np.arange(20_000, dtype="i8")
+    assert abs((sig.draw(1, 5, t, 0) < sig.PRIME // 5).mean() - 0.2) < 0.01
+    assert abs(np.bincount(sig.draw(1, 5, t, 1) % 10, minlength=10) - 2000).max() < 200
+
+
 def test_verdict_order(spark):
     nan, yes = math.nan, (True, True, True)
     cases = [
