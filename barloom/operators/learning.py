@@ -9,9 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import date
 
 from pyspark import inheritable_thread_target
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, written
-from ..sources.tables import model_id
+from ..sources.tables import model_id as name_of
 from .boosting import BoosterConfig, Forest, fit_booster
 from .evaluation import time_folds
 from .features import FEATURES
@@ -43,6 +44,10 @@ class VersionError(ValueError):
     """A model of other features than these."""
 
 
+class IntegrityError(ValueError):
+    """A saved model that isn't what was saved."""
+
+
 #: Trees where there is no watch fold to stop the boosting early.
 UNWATCHED_TREES = 100
 ROWS_A_TASK = 100_000
@@ -91,6 +96,7 @@ class TrainedModel:
     enter: float
     leave: float
     metadata: dict
+    provenance: dict = field(default_factory=dict)
 
     def score(self, rows: DataFrame, column: str = "p_up") -> DataFrame:
         """``rows`` with the probability of the up class; null where a feature is null."""
@@ -106,7 +112,7 @@ class TrainedModel:
 
     @property
     def id(self) -> str:
-        return model_id(self.metadata)
+        return name_of(self.metadata)
 
 
 def _raw_scores(learner: PipelineModel | Forest, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -286,8 +292,21 @@ def diagnostics(scored: DataFrame) -> DataFrame:
     return roc_auc_and_brier(scored, ("split",))
 
 
-def save_model(model: TrainedModel, folder: str) -> str:
-    """Write the fitted stages and, last, the metadata: a model without metadata isn't listed."""
+def artifact_digest(spark: SparkSession, folder: str) -> str:
+    """SHA-256 over the names and digests of a saved model's files, its metadata left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    name = F.regexp_extract("path", f"{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/(.*)$", 1)
+    own = files.select(name.alias("name"), F.sha2("content", 256).alias("digest")).where("name not like 'metadata/%' and name not rlike '(^|/)[._]'")
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "digest"))), "\n")
+    return own.agg(F.sha2(lines, 256).alias("d")).first()["d"]  # a model's files are few
+
+
+def save_model(model: TrainedModel, folder: str, provenance: dict | None = None) -> str:
+    """Write the fitted stages and, last, the metadata: a model without metadata isn't listed.
+
+    The metadata records a digest of what was written and where the model comes from: ``provenance`` holds what the
+    caller knows, such as the source of the bars and the run that trained it.
+    """
     own = f"{folder}/{model.id}"
     spark = SparkSession.active()
     if isinstance(model.learner, Forest):
@@ -296,15 +315,21 @@ def save_model(model: TrainedModel, folder: str) -> str:
         model.learner.write().overwrite().save(f"{own}/pipeline")
     if model.calibration is not None:
         model.calibration.write().overwrite().save(f"{own}/calibration")
-    spark.createDataFrame([(json.dumps(model.metadata),)], "value string").write.mode("overwrite").text(f"{own}/metadata")
+    meta = model.metadata | {"artifact_sha256": artifact_digest(spark, own), "provenance": provenance or {}}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{own}/metadata")
     return model.id
 
 
 def load_model(spark: SparkSession, folder: str, model_id: str) -> TrainedModel:
-    """A saved model; one whose features are of another version is refused."""
+    """A saved model; one whose features are of another version, or whose files have changed, is refused."""
     own = f"{folder}/{model_id}"
     meta = json.loads(spark.read.text(f"{own}/metadata").first()["value"])
     check_version(meta)
+    recorded, provenance = meta.pop("artifact_sha256", None), meta.pop("provenance", {})
+    if recorded != artifact_digest(spark, own):
+        raise IntegrityError(f"the files of model {model_id} aren't those that were saved")
+    if name_of(meta) != model_id:
+        raise IntegrityError(f"the metadata of model {model_id} isn't what was saved")
     kinds = {"isotonic": IsotonicRegressionModel, "sigmoid": PipelineModel, None: None}
     kind = kinds[meta["calibrated"]]
     calibration = kind.load(f"{own}/calibration") if kind else None
@@ -312,12 +337,14 @@ def load_model(spark: SparkSession, folder: str, model_id: str) -> TrainedModel:
         learner = PipelineModel.load(f"{own}/pipeline")
     else:
         learner = Forest.from_json(spark.read.text(f"{own}/forest").first()["value"])
-    return TrainedModel(learner, calibration, meta["enter"], meta["leave"], meta)
+    return TrainedModel(learner, calibration, meta["enter"], meta["leave"], meta, provenance)
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
-    """``(model_id, train_end, feature_version, enter, leave)`` of the saved models, newest first."""
-    meta = F.from_json("value", "train_end string, feature_version string, enter double, leave double").alias("m")
+    """``(model_id, train_end, feature_version, enter, leave, artifact_sha256, provenance)`` of the saved models, newest first."""
+    meta = F.from_json(
+        "value", "train_end string, feature_version string, enter double, leave double, artifact_sha256 string, provenance map<string,string>"
+    ).alias("m")
     path = F.regexp_extract("_metadata.file_path", r"([0-9a-f]{16})/metadata/[^/]*$", 1).alias("model_id")
     found = spark.read.text(f"{folder}/*/metadata").select(path, meta).select("model_id", "m.*")
     return found.orderBy(F.desc("train_end"), F.desc("model_id"))

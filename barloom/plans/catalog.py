@@ -250,7 +250,7 @@ def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k08_model_registry")
 def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, folder = panel(spark, sf_dir), scratch(spark, "models")
-    learning.save_model(learning.train_model(rows, learning.TrainingConfig(trees=3, depth=3)), folder)
+    learning.save_model(learning.train_model(rows, learning.TrainingConfig(trees=3, depth=3)), folder, {"bars": "lineitem"})
     newest = learning.list_models(spark, folder).first()
     scored = learning.load_model(spark, folder, newest["model_id"]).score(rows, "p")
     return rounded(scored.agg(F.count("p").alias("n"), F.avg("p").alias("mean_p")).withColumn("train_end", F.lit(newest["train_end"])))

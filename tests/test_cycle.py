@@ -130,6 +130,31 @@ def test_training_choices(spark, panel, tmp_path, more):
     assert again.where("abs(p - q) > 1e-9").count() == 0
 
 
+def test_registry_refuses_changed_models(spark, panel, tmp_path):
+    model = learning.train_model(panel, learning.TrainingConfig(trees=4, depth=2, min_selected=5), ["f"])
+    name = learning.save_model(model, str(tmp_path), {"run": "7", "bars": "made up"})
+    listed = rows(learning.list_models(spark, str(tmp_path)))[0]
+    assert listed["model_id"] == name and listed["provenance"] == {"run": "7", "bars": "made up"} and len(listed["artifact_sha256"]) == 64
+    assert learning.load_model(spark, str(tmp_path), name).provenance["run"] == "7"
+    forest = next(p for p in (tmp_path / name / "forest").iterdir() if p.name.startswith("part-") and p.stat().st_size)
+    kept = forest.read_text()
+    forest.write_text(kept.replace("0", "1", 1))
+    (forest.parent / f".{forest.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(learning.IntegrityError):
+        learning.load_model(spark, str(tmp_path), name)
+    forest.write_text(kept)
+    assert learning.load_model(spark, str(tmp_path), name).id == name
+    (tmp_path / name / "forest" / "more").write_text("x")
+    with pytest.raises(learning.IntegrityError):
+        learning.load_model(spark, str(tmp_path), name)
+    meta = next(p for p in (tmp_path / name / "metadata").iterdir() if p.name.startswith("part-") and p.stat().st_size)
+    (tmp_path / name / "forest" / "more").unlink()
+    meta.write_text(meta.read_text().replace('"enter": 0', '"enter": 9'))
+    (meta.parent / f".{meta.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(learning.IntegrityError):
+        learning.load_model(spark, str(tmp_path), name)
+
+
 def test_training_end(panel):
     kept = learning.train_until(panel, "2024-03-01")
     assert kept.count() == 61 and learning.train_until(panel).count() == 300
