@@ -94,5 +94,5 @@ def test_oracle(spark, sf_dir, name):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == []
     assert "pipeline" in names
