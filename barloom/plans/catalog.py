@@ -264,7 +264,7 @@ def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("s05_bar_provider", sql.with_(sql.BARS) + """
-SELECT symbol, ts, round(open, 4) AS open, round(close, 4) AS close, volume, round(close * 0.5, 4) AS adj_close FROM bars
+SELECT symbol, ts, round(open, 6) AS open, round(close, 6) AS close, volume, round(close * 0.5, 6) AS adj_close FROM bars
 WHERE ts >= '1995-03-01' AND ts < '1996-07-01' AND symbol IN ('AF', 'NO', 'RF')""")
 def s05_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of a vendor as files, a slice a symbol and year, read through the data source."""
@@ -277,7 +277,7 @@ def s05_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists.write.partitionBy("symbol", "slice").text(folder)
     providers.register(spark)
     fetched = providers.fetch(spark, providers.VendorBars, providers.select_provider(folder), ("AF", "NO", "RF"), date(1995, 3, 1), date(1996, 6, 30))
-    return rounded(providers.good_rows(fetched).select("symbol", "ts", "open", "close", "volume", "adj_close"), 4)
+    return rounded(providers.good_rows(fetched).select("symbol", "ts", "open", "close", "volume", "adj_close"))
 
 
 @query("s08_news_provider", sql.with_(sql.NEWS) + """
@@ -938,18 +938,18 @@ def single_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("v18_union_capital", CAPITAL + """
-SELECT ts, round(sum(equity) / 6, 6) AS equity, round(sum(equity - pv) / 6, 6) + 0 AS cash, round(sum(pv) / 6, 6) + 0 AS position_value FROM curve GROUP BY ts""")
+SELECT ts, round(sum(equity) / 6, 4) AS equity, round(sum(equity - pv) / 6, 4) + 0 AS cash, round(sum(pv) / 6, 4) + 0 AS position_value FROM curve GROUP BY ts""")
 def v18u(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(basket.combined_curve(single_curves(spark, sf_dir)))
+    return rounded(basket.combined_curve(single_curves(spark, sf_dir)), 4)
 
 
 @query("v18_filled_capital", CAPITAL + """
 , grid AS (SELECT t.ts, s.symbol FROM (SELECT DISTINCT ts FROM curve) t CROSS JOIN (SELECT DISTINCT symbol FROM curve) s),
 last AS (SELECT g.ts, g.symbol, coalesce(last_value(c.equity IGNORE NULLS) OVER w, 100000) AS equity, coalesce(last_value(c.pv IGNORE NULLS) OVER w, 0) AS pv
          FROM grid g LEFT JOIN curve c USING (ts, symbol) WINDOW w AS (PARTITION BY g.symbol ORDER BY g.ts))
-SELECT ts, round(sum(equity) / 6, 6) AS equity, round(sum(equity - pv) / 6, 6) + 0 AS cash, round(sum(pv) / 6, 6) + 0 AS position_value FROM last GROUP BY ts""")
+SELECT ts, round(sum(equity) / 6, 4) AS equity, round(sum(equity - pv) / 6, 4) + 0 AS cash, round(sum(pv) / 6, 4) + 0 AS position_value FROM last GROUP BY ts""")
 def v18f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(basket.combined_curve(single_curves(spark, sf_dir), initial=100_000 / 6))
+    return rounded(basket.combined_curve(single_curves(spark, sf_dir), initial=100_000 / 6), 4)
 
 
 @query("v19_news_ablation")
