@@ -744,6 +744,32 @@ def test_pii_recall_on_held_out_identifiers(spark):
     assert recall >= 0.9 and precision >= 0.95, (recall, precision)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pii_learns_from_keys_and_shapes_in_random_prose(spark, seed):
+    """No phrase comes twice before an identifier: what a token looks like and the key in it are all there is to learn."""
+    rng = random.Random(seed)
+    prose = lambda n: " ".join("".join(rng.choices("aeinorst", k=rng.randrange(2, 9))) for _ in range(n))
+    keys = lambda n: "".join(rng.choices("0123456789abcdef", k=n - 2)) + "7c"
+    cards = [c for c in ("".join(rng.choices("0123456789", k=16)) for _ in range(600))]
+    good, bad = [c for c in cards if luhn(c)], [c for c in cards if not luhn(c)]
+    texts, want = [], set()
+    for i in range(400):
+        head = prose(8) + " "
+        if i % 4 == 0:
+            texts.append(f'{head}token = "{keys(40)}" {prose(4)}')
+        elif i % 4 == 1:
+            texts.append(f"{head}password={keys(18)} {prose(4)}")
+            want.add((i, "secret", len(head) + 9, len(head) + 27))
+        elif i % 4 == 2:
+            texts.append(f"{head}{(good if i % 8 == 2 and good else bad).pop()} {prose(4)}")
+        else:
+            texts.append(f"{head}{rng.choice(['version ', 'in ', 'v'])}{rng.randrange(1, 2100)}.{rng.randrange(9)} {prose(2)} {rng.randrange(99)}")
+    found = rows(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = {(r["doc_id"], *x) for r in found for x in r["discovered"]}
+    # Numbers of a card's length that fail its check digit are counterexamples, and never found.
+    assert got == want
+
+
 def test_pii_offsets_of_many_matches(spark):
     text = " ".join(f"{i}" for i in range(3 * pii.BLOCK + 7)) + " \U0001F600 a@b.c 1.2.3.4"
     from pyspark.sql import functions as F
