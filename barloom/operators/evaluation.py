@@ -43,6 +43,12 @@ def grid_frame(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(combos, "combo int, params string")
 
 
+def with_grid(rows: DataFrame, grid: dict[str, list]) -> DataFrame:
+    """Each row once for every combination; the grid is as large as its parameters make it, whatever the rows."""
+    combos = F.array(*[F.struct(F.lit(i).alias("combo"), F.lit(json.dumps(c, sort_keys=True)).alias("params")) for i, c in enumerate(expand_grid(grid))])
+    return rows.withColumn("_combo", F.explode(combos)).select(*rows.columns, "_combo.*")
+
+
 def generate_splits(n: int, train: int = 504, test: int = 126, step: int = 126, anchored: bool = True) -> list[tuple[int, int, int, int]]:
     """(train_start, train_end, test_start, test_end) in half-open bar positions; the last test may be short."""
     if min(train, test, step) < 1:

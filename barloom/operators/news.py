@@ -65,7 +65,11 @@ def arrivals_per_bar(bars: DataFrame, annotated: DataFrame, embargo: int = 1, re
 
 def add_news_features(bars: DataFrame, annotated: DataFrame, embargo: int = 1, relevance: float = 0.0) -> DataFrame:
     """The six news features of each bar; never null."""
-    counted = arrivals_per_bar(bars, annotated, embargo, relevance)
+    return features_of_counts(arrivals_per_bar(bars, annotated, embargo, relevance))
+
+
+def features_of_counts(counted: DataFrame) -> DataFrame:
+    """The six news features from ``(symbol, ts, bar_idx, n_news, sentiment_sum, n_events)`` of every bar."""
     last = F.last(F.when(F.col("n_news") > 0, F.col("bar_idx")), ignorenulls=True).over(
         by_symbol().rowsBetween(W.unboundedPreceding, 0)
     )

@@ -231,13 +231,18 @@ def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(run.select("symbol", "final_equity", "num_trades", "num_fills", F.col("n").alias("curve_points")), 4)
 
 
-@query("k06_audit_log", "SELECT * FROM (VALUES (1::BIGINT, 'completed'), (2::BIGINT, 'failed')) t(run_id, status)")
+@query("k06_audit_log", """
+SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, o_orderpriority AS message
+FROM orders""")
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "audit")
-    log = tables.Table(spark, path, ["run_id"])
-    for run, status in ((1, "queued"), (1, "running"), (2, "running"), (1, "completed"), (2, "failed")):
-        log.append(tables.audit(spark, run, "ingest", status))
-    return tables.latest_status(log.read()).select("run_id", "status")
+    """A run an order: all are queued and running, most then end; only the last state of each counts."""
+    log = tables.Table(spark, scratch(spark, "audit"), ["run_id"])
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    ended = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed")
+    for hours, status in ((0, F.lit("queued")), (1, F.lit("running")), (1, ended)):
+        at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hours))
+        log.append(tables.audit_rows(o.select(F.col("o_orderkey").alias("run_id"), status.alias("status"), F.col("o_orderpriority").alias("message"), at.alias("at")), "ingest"))
+    return tables.latest_status(log.read()).select("run_id", "status", "message")
 
 
 @query("k07_snapshot_upsert", "SELECT DISTINCT o_custkey % 7 AS deployment_id, strftime(o_orderdate, '%Y-%m-%d') AS day, max(o_orderkey) OVER (PARTITION BY o_custkey % 7, o_orderdate::DATE) AS written_at FROM orders")
@@ -440,9 +445,19 @@ def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = {"entry_std": [1.5, 2.0], "exit_std": [0.0, 0.5]}
 
 
-@query("j12_parameter_grid", "SELECT row_number() OVER (ORDER BY a, b) - 1 AS combo, '{\"entry_std\": ' || a || ', \"exit_std\": ' || b || '}' AS params FROM (VALUES ('1.5'), ('2.0')) x(a), (VALUES ('0.0'), ('0.5')) y(b)")
+@query("j12_parameter_grid", sql.with_(sql.BARS, sql.BANDS) + """
+SELECT combo, params, symbol, count(*) FILTER (close <= sma_20 - e * std_20) AS below, count(*) FILTER (close >= sma_20 - x * std_20) AS above
+FROM ind, (SELECT row_number() OVER (ORDER BY a, b) - 1 AS combo, '{"entry_std": ' || a || ', "exit_std": ' || b || '}' AS params, a::DOUBLE AS e, b::DOUBLE AS x
+           FROM (VALUES ('1.5'), ('2.0')) x(a), (VALUES ('0.0'), ('0.5')) y(b))
+GROUP BY combo, params, symbol""")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.grid_frame(spark, GRID)
+    """Every combination meets every bar: how often each symbol is beyond its entry and its exit."""
+    grid = evaluation.with_grid(bands(spark, sf_dir), GRID)
+    param = lambda name: F.get_json_object("params", f"$.{name}").cast("double")
+    band = lambda name: F.col("sma_20") - param(name) * F.col("std_20")
+    return grid.groupBy("combo", "params", "symbol").agg(
+        F.count_if(F.col("close") <= band("entry_std")).alias("below"), F.count_if(F.col("close") >= band("exit_std")).alias("above")
+    )
 
 
 # Aggregations over replays
@@ -1178,6 +1193,32 @@ def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table.read().select("symbol", "ts", "close", "revision"))
 
 
+@query("x07_stream_news", ORACLE["w13_news_features"])
+def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars and news in four deliveries, up to sixty days out of order; the stream is started anew for each."""
+    folder, late = scratch(spark, "news-by-bar"), 90
+    b = bars(spark, sf_dir).select("symbol", "ts")
+    n = joined_news(spark, sf_dir).select("item_id", "symbol", "published_at", "first_seen_at", "sentiment", "relevance")
+
+    def delivery(at: Column, *key: str) -> Column:
+        day = F.unix_seconds(at) / 86400 + F.pmod(F.xxhash64(*key), F.lit(60))
+        return F.greatest(F.lit(0), F.least(F.lit(3), F.floor((day - 8500) / 900))).alias("delivery")
+
+    b = written(b.withColumn("delivery", delivery(news_ops.session_close_utc(F.col("ts")), "symbol", "ts")), "delivered-bars", "delivery")
+    n = written(n.withColumn("delivery", delivery(F.greatest("published_at", "first_seen_at"), "item_id")), "delivered-news", "delivery")
+    # At last an item of no symbol in the bars, so late that the watermark passes every bar.
+    end = F.expr("timestamp'2100-01-01'")
+    n = n.unionByName(n.limit(1).withColumns({"symbol": F.lit("-"), "published_at": end, "first_seen_at": end, "relevance": F.lit(1.0), "delivery": F.lit(4)}))
+    for i in range(5):
+        for name, rows in (("bars", b), ("news", n)):
+            rows.where(F.col("delivery") == i).drop("delivery").write.mode("append").parquet(f"{folder}/{name}")
+        landed = [streams.stream_table(spark, f"{folder}/{name}", rows.drop("delivery").schema) for name, rows in (("bars", b), ("news", n))]
+        counted = streams.news_by_bar(*landed, late=f"{late} days")
+        streams.run_to_end(counted.writeStream.outputMode("append").option("path", f"{folder}/out").format("parquet"), f"{folder}/checkpoint")
+    out = news_ops.features_of_counts(spark.read.parquet(f"{folder}/out"))
+    return rounded(out.select("symbol", "ts", "n_news", "n_events", "sentiment_sum", *news_ops.NEWS_FEATURES))
+
+
 @query("k07_snapshot_versions", """
 SELECT o_custkey % 7 AS deployment_id, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders, round(sum(o_totalprice), 2) AS value
 FROM orders GROUP BY ALL""")

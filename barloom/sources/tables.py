@@ -112,6 +112,13 @@ def audit(spark: SparkSession, run_id: int, kind: str, status: str, message: str
     return spark.createDataFrame([row], "run_id long, kind string, status string, message string, at timestamp_ntz")
 
 
+def audit_rows(events: DataFrame, kind: str) -> DataFrame:
+    """Rows of an audit log from ``events(run_id, status, message, at)``; events without a status are none."""
+    return events.where("status is not null").select(
+        F.col("run_id").cast("long").alias("run_id"), F.lit(kind).alias("kind"), "status", F.col("message").cast("string").alias("message"), F.col("at").cast("timestamp_ntz").alias("at")
+    )
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """The last state of every run of an audit log."""
     newest = W.partitionBy("run_id").orderBy(F.desc("at"), F.desc(F.expr("array_position(array('queued','running','completed','failed'), status)")))

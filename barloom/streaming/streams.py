@@ -6,12 +6,14 @@ and a restart continues where it was.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.news import EVENT_RELEVANCE, session_close_utc
 from ..operators.quality import newer_than
 from ..operators.replay import ReplayConfig, breached, level_hit
 from ..operators.strategies import Classifier
@@ -24,6 +26,13 @@ POSITION_STATE = (
 )
 
 
+NEWS_OUT = "symbol string, ts long, bar_idx long, n_news long, sentiment_sum double, n_events long"
+NEWS_STATE = (
+    "decided long, last_ts long, cutoff long, closes array<long>, bar_at array<long>, bar_ts array<long>, "
+    "news_at array<long>, news_sentiment array<double>, news_event array<boolean>"
+)
+
+
 def stream_table(spark: SparkSession, folder: str, schema, name_filter: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name_filter).parquet(folder)
 
@@ -74,6 +83,87 @@ def available_news(news: DataFrame, late: str = "3 days") -> DataFrame:
     return out.withWatermark("available", late).dropDuplicatesWithinWatermark(["symbol", "item_id", "content_hash"])
 
 
+class Calendar:
+    """One symbol's bars and news that wait for the watermark, as state; instants are microseconds.
+
+    ``decided`` counts the bars that went out, ``closes`` are the last ``embargo`` of their session closes and ``cutoff``
+    is the last one that news were counted up to.
+    """
+
+    def __init__(self, embargo: int, stored: tuple | None):
+        self.embargo = embargo
+        self.decided, self.last_ts, self.cutoff, closes, at, ts, *news = stored or (0, None, None, [], [], [], [], [], [])
+        self.closes, self.bars, self.news = list(closes), dict(zip(ts, at, strict=True)), list(zip(*news, strict=True))
+
+    def stored(self) -> tuple:
+        ts, (at, sentiment, event) = list(self.bars), zip(*self.news, strict=True) if self.news else ([], [], [])
+        return self.decided, self.last_ts, self.cutoff, self.closes, [self.bars[t] for t in ts], ts, list(at), list(sentiment), list(event)
+
+    def take(self, rows: pd.DataFrame) -> None:
+        """New bars and news; what came after its bar was decided is left out."""
+        bars, news = rows[rows["is_bar"]], rows[~rows["is_bar"]]
+        if self.last_ts is not None:
+            bars = bars[bars["ts"] > self.last_ts]
+        if self.cutoff is not None:
+            news = news[news["at_us"] > self.cutoff]
+        self.bars |= dict(zip(bars["ts"].tolist(), bars["at_us"].tolist(), strict=True))
+        self.news += zip(news["at_us"].tolist(), news["sentiment"].tolist(), news["event"].astype(bool).tolist(), strict=True)
+
+    def decide(self, until: int) -> list[tuple]:
+        """(ts, bar_idx, n_news, sentiment_sum, n_events) of each bar whose session closed by ``until``, in order."""
+        ready, out = sorted((t, at) for t, at in self.bars.items() if at <= until), []
+        self.news.sort()
+        for ts, close in ready:
+            reached: list[tuple] = []
+            if len(self.closes) == self.embargo:
+                self.cutoff = self.closes[0]
+                n = bisect.bisect_right(self.news, self.cutoff, key=lambda x: x[0])
+                reached, self.news = self.news[:n], self.news[n:]
+            out.append((ts, self.decided, len(reached), sum((x[1] for x in reached), 0.0), sum(x[2] for x in reached)))
+            self.closes = [*self.closes, close][-self.embargo:]
+            self.decided, self.last_ts = self.decided + 1, ts
+            del self.bars[ts]
+        return out
+
+
+def news_by_bar(bars: DataFrame, news: DataFrame, embargo: int = 1, late: str = "3 days", relevance: float = 0.0) -> DataFrame:
+    """An as-of join of two streams: the news that reach each bar, counted once and never changed after.
+
+    ``bars`` has symbol and ts, ``news`` symbol, published_at, first_seen_at, sentiment and relevance; both may arrive in any
+    order and mixed. A bar goes out when the watermark, ``late`` behind the latest session close or instant of
+    availability seen, has passed its session close: by then all bars and news before it are there. Then it has the rows of
+    ``arrivals_per_bar`` over all that came in time. What comes later than that changes no bar that went out: such bars are
+    dropped, such news too. A repeated bar counts once, of repeated news each row; ``available_news`` drops those. State holds
+    the bars and news of the last ``late`` for each symbol. Rows lacking a symbol or an instant are left out.
+    """
+    if embargo < 1:
+        raise ValueError("the embargo is one bar at least")
+    kind, no = dict(bars.dtypes)["ts"], F.lit(None).cast("double")
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = bars.select("symbol", session_close_utc(F.col("ts")).alias("at"), ts.alias("ts"), no.alias("sentiment"), F.lit(False).alias("event"), F.lit(True).alias("is_bar"))
+    seen = F.greatest("published_at", "first_seen_at").cast("timestamp")
+    heard = news.where(F.col("relevance") >= relevance).select(
+        "symbol", seen.alias("at"), F.lit(0).cast("long").alias("ts"), F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"),
+        (F.col("relevance") >= EVENT_RELEVANCE).alias("event"), F.lit(False).alias("is_bar"),
+    )
+    both = timed.unionByName(heard).where("symbol is not null and at is not null and ts is not null")
+    both = both.withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        calendar = Calendar(embargo, state.get if state.exists else None)
+        for rows in () if state.hasTimedOut else batches:
+            calendar.take(rows)
+        until = state.getCurrentWatermarkMs()
+        out = calendar.decide(until * 1000)
+        state.update(calendar.stored())
+        if calendar.bars:
+            state.setTimeoutTimestamp(max(until + 1, -(-min(calendar.bars.values()) // 1000)))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["symbol", "ts", "bar_idx", "n_news", "sentiment_sum", "n_events"])
+
+    counted = both.groupBy("symbol").applyInPandasWithState(step, NEWS_OUT, NEWS_STATE, "append", "EventTimeTimeout")
+    return counted.withColumn("ts", F.timestamp_micros("ts").cast(kind))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Events and their summed value in tumbling windows by type."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
