@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -95,6 +96,8 @@ def epoch(c: str) -> Column:
     return F.unix_seconds(F.col(c)).alias(c)
 
 
+#: The symbols of the given tables.
+SYMBOLS = ("AF", "AO", "NF", "NO", "RF", "RO")
 BARS_OUT = "symbol, ts, ~open, ~high, ~low, ~close, ~volume"
 
 
@@ -123,12 +126,15 @@ def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bar_src.adjust_prices(bar_src.provider_bars(spark, sf_dir)))
 
 
-@query("s04_offline_provider", sql.with_(sql.BARS) + sql.rounded(BARS_OUT + ", ~close", "bars WHERE symbol = 'RF' AND ts >= '1996-01-01' AND ts < '1997-01-01'", 4).replace("round(close, 4) + 0 AS close FROM", "round(close, 4) AS adj_close, 0.0::DOUBLE AS div_cash, 1.0::DOUBLE AS split_factor FROM"))
+@query("s04_offline_provider", sql.with_(sql.BARS) + sql.rounded(BARS_OUT + ", ~close", "bars WHERE ts >= '1996-01-01' AND ts < '1997-01-01'", 4).replace("round(close, 4) + 0 AS close FROM", "round(close, 4) AS adj_close, 0.0::DOUBLE AS div_cash, 1.0::DOUBLE AS split_factor FROM"))
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "offline")
-    own = bars(spark, sf_dir).where("symbol = 'RF'").withColumnRenamed("ts", "timestamp")
-    own.write.option("header", True).csv(f"{folder}/RF.csv")
-    return rounded(bar_src.OfflineProvider(spark, folder).fetch_daily("RF", date(1996, 1, 1), date(1996, 12, 31)), 4)
+    """A file a symbol, as the provider serves them, asked for one after the other."""
+    folder, got = scratch(spark, "offline"), []
+    for symbol in SYMBOLS:
+        own = bars(spark, sf_dir).where(F.col("symbol") == symbol).withColumnRenamed("ts", "timestamp")
+        own.write.option("header", True).csv(f"{folder}/{symbol}.csv")
+        got.append(bar_src.OfflineProvider(spark, folder).fetch_daily(symbol, date(1996, 1, 1), date(1996, 12, 31)))
+    return rounded(reduce(DataFrame.unionByName, got), 4)
 
 
 @query("s05_vendor_bars", sql.with_(sql.BARS, ADJ) + "SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, round(adj_close, 4) AS adj_close, 0.0::DOUBLE AS div_cash, split_factor::DOUBLE AS split_factor FROM adj")
@@ -142,17 +148,21 @@ def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bar_src.parse_vendor_bars(pages), 4)
 
 
-@query("s06_news_json", sql.with_(sql.NEWS) + "SELECT item_id, symbol, epoch(published_at)::BIGINT AS published_at, epoch(first_seen_at)::BIGINT AS first_seen_at, headline, source FROM news WHERE symbol = 'AO' AND published_at >= '1996-01-01' AND published_at < '1998-01-01'")
+@query("s06_news_json", sql.with_(sql.NEWS) + "SELECT item_id, symbol, epoch(published_at)::BIGINT AS published_at, epoch(first_seen_at)::BIGINT AS first_seen_at, headline, source FROM news WHERE published_at >= '1996-01-01' AND published_at < '1998-01-01'")
 def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "news")
-    own = news_src.canonical_news(spark, sf_dir).where("symbol = 'AO'")
+    own = news_src.canonical_news(spark, sf_dir)
     times = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") for c in ("published_at", "first_seen_at")}
-    own = own.withColumns(times).drop("symbol", "content_hash")
-    # A provider's file is one JSON list; there is a file a year here.
-    lists = own.groupBy(F.substring("published_at", 1, 4).alias("year")).agg(F.to_json(F.collect_list(F.struct(*own.columns))).alias("value"))
-    lists.write.partitionBy("year").text(f"{folder}/AO.json")
-    got = news_src.OfflineNewsProvider(spark, folder).fetch_news("AO", date(1996, 1, 1), date(1997, 12, 31))
-    return got.select("item_id", "symbol", epoch("published_at"), epoch("first_seen_at"), "headline", "source")
+    own = own.withColumns(times).drop("content_hash")
+    item = F.struct(*[c for c in own.columns if c != "symbol"])
+    # A provider's file is one JSON list; there is a file a year for each symbol here.
+    lists = written(own.groupBy("symbol", F.substring("published_at", 1, 4).alias("year")).agg(F.to_json(F.collect_list(item)).alias("value")), "news-lists", "symbol")
+    got = []
+    for symbol in SYMBOLS:
+        lists.where(F.col("symbol") == symbol).select("year", "value").write.partitionBy("year").text(f"{folder}/{symbol}.json")
+        got.append(news_src.OfflineNewsProvider(spark, folder).fetch_news(symbol, date(1996, 1, 1), date(1997, 12, 31)))
+    out = reduce(DataFrame.unionByName, got)
+    return out.select("item_id", "symbol", epoch("published_at"), epoch("first_seen_at"), "headline", "source")
 
 
 @query("s07_news_frame", sql.with_(sql.NEWS) + "SELECT item_id, symbol, epoch(published_at)::BIGINT AS published_at, epoch(first_seen_at)::BIGINT AS first_seen_at, headline, source, content_hash FROM news")

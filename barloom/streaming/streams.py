@@ -158,7 +158,8 @@ def news_by_bar(bars: DataFrame, news: DataFrame, embargo: int = 1, late: str =
         state.update(calendar.stored())
         if calendar.bars:
             state.setTimeoutTimestamp(max(until + 1, -(-min(calendar.bars.values()) // 1000)))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["symbol", "ts", "bar_idx", "n_news", "sentiment_sum", "n_events"])
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["symbol", "ts", "bar_idx", "n_news", "sentiment_sum", "n_events"])
 
     counted = both.groupBy("symbol").applyInPandasWithState(step, NEWS_OUT, NEWS_STATE, "append", "EventTimeTimeout")
     return counted.withColumn("ts", F.timestamp_micros("ts").cast(kind))
