@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from typing import Protocol
 
@@ -41,6 +42,16 @@ class AnnotationPort(Protocol):
         """The results of a batch, failed ones among them, or None while it runs."""
 
 
+def wait_for(port: AnnotationPort, batch: str, every: float = 1.0, at_most: float = 86_400.0) -> DataFrame:
+    """A batch's results, asked for every so many seconds, TimeoutError after ``at_most`` of them."""
+    until = time.monotonic() + at_most
+    while (found := port.collect(batch)) is None:
+        if time.monotonic() >= until:
+            raise TimeoutError(f"batch {batch} isn't done")
+        time.sleep(every)
+    return found
+
+
 class StubAnnotator:
     """Annotations read off the hashes, by way of the shared folder. A batch runs for ``polls`` collects."""
 

@@ -1083,10 +1083,7 @@ def n01(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = annotate.StubAnnotator(spark, folder, polls=1)
     for limit in (100, None):  # the second batch has what the first left
         wanted = annotate.annotation_requests(news, table.read() if table.exists() else None, limit)
-        batch = client.submit(wanted)
-        while (found := client.collect(batch)) is None:
-            pass
-        table.insert_new(found)
+        table.insert_new(annotate.wait_for(client, client.submit(wanted), every=0.1))
     return rounded(table.read().select("content_hash", "sentiment", "event_type", "status"))
 
 

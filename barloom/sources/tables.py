@@ -24,9 +24,17 @@ def merge_update(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> Da
     return existing.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of rows of equal keys the one with the least values, compared in the order of the columns: reruns agree."""
+    values = [c for c in rows.columns if c not in keys]
+    if not values:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_least")).select(*keys, "_least.*").select(*rows.columns)
+
+
 def merge_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """On conflict do nothing: the rows of ``new`` to append. Of equal keys in ``new`` one is taken."""
-    return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """On conflict do nothing: the rows of ``new`` to append. Of equal keys in ``new`` the least row is taken."""
+    return one_per_key(new, keys).join(existing.select(*keys), list(keys), "left_anti")
 
 
 class Table:
@@ -88,7 +96,7 @@ class Table:
         """Insert what has no row of its key yet; returns the rows given."""
         given, path = self._staged(rows)
         count = given.count()
-        self.append(merge_ignore(self.read(), given, self.keys) if self.exists() else given.dropDuplicates(self.keys))
+        self.append(merge_ignore(self.read(), given, self.keys) if self.exists() else one_per_key(given, self.keys))
         self._drop(path)
         return count
 

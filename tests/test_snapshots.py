@@ -2,7 +2,9 @@
 
 import pytest
 
+from barloom.functions import annotate
 from barloom.sources.snapshots import Conflict, SnapshotTable
+from barloom.sources.tables import Table, one_per_key
 
 ROWS = "k int, v string, day string"
 
@@ -91,3 +93,24 @@ def test_replace_and_clean_up(spark, tmp_path):
     assert held(t) == [(2, "b", "y")]
     t.clean_up()
     assert held(t) == [(2, "b", "y")] and len(t._versions()) == 1
+
+
+def test_of_new_rows_with_one_key_the_least_is_inserted(spark, tmp_path):
+    rows = [(1, "b", "x"), (1, "a", "z"), (1, "a", "y"), (2, None, "x"), (2, "c", "x"), (None, "n", "x"), (None, "m", "x")]
+    for i in range(3):
+        given = frame(spark, rows[i:] + rows[:i]).repartition(3)
+        assert {(r.k, r.v, r.day) for r in one_per_key(given, ["k"]).collect()} == {(1, "a", "y"), (2, None, "x"), (None, "m", "x")}
+    assert one_per_key(frame(spark, rows).select("k"), ["k"]).count() == 3
+    plain = Table(spark, str(tmp_path / "plain"), ["k"])
+    plain.insert_new(frame(spark, rows))
+    plain.insert_new(frame(spark, [(1, "0", "0"), (3, "z", "x"), (3, "y", "x")]))
+    assert {(r.k, r.v) for r in plain.read().where("k is not null").collect()} == {(1, "a"), (2, None), (3, "y")}
+
+
+def test_waiting_ends():
+    class Never:
+        def collect(self, batch):
+            return None
+
+    with pytest.raises(TimeoutError):
+        annotate.wait_for(Never(), "b", every=0.01, at_most=0.05)
