@@ -77,7 +77,8 @@ def run_metrics(curve: DataFrame, fills: DataFrame, initial: float, keys: tuple[
     trips = round_trip_stats(round_trips(fills, keys), keys)
     filled = fills.groupBy(*keys).agg(F.count("*").alias("num_fills"), F.sum("fee").alias("fees"), F.sum("slippage").alias("slippage"))
     out = stats.join(trips, _keys(keys), "left").join(filled, _keys(keys), "left")
-    return out.fillna(0).fillna(0.0)
+    # Nulls alone become zero: a NaN is a measure of a run that bought at a price of zero.
+    return out.select(*[F.col(c) if c in keys else F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in out.dtypes])
 
 
 def turnover(fills: DataFrame, curve: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
