@@ -45,11 +45,30 @@ class Tidy:
                 _SCOPES[-1].append(frame)
 
 
+#: Largest table that a written step may broadcast, by the planner's estimate. That is the size of compressed files, and
+#: rows that are exploded from them don't count, so the driver may have to hold a hundred times as much.
+BROADCAST_BYTES = 256 << 10
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """What is planned meanwhile broadcasts nothing that is estimated above ``BROADCAST_BYTES``; hints stay."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    allowed = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark.conf.set(key, min(allowed, BROADCAST_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    with small_broadcasts(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path  # for discard()
     if _SCOPES:
