@@ -111,15 +111,20 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of what runs meanwhile hold so many rows at most: for rows that are large themselves."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def batch_rows(spark: SparkSession, rows: int, files: bool = False) -> Iterator[None]:
+    """Arrow batches of what runs meanwhile hold so many rows at most: for rows that are large themselves.
+
+    With ``files``, so do the batches in which Parquet files are read.
+    """
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", *["spark.sql.parquet.columnarReaderBatchSize"] * files]
+    before = {key: spark.conf.get(key) for key in keys}
+    for key in keys:
+        spark.conf.set(key, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key in keys:
+            spark.conf.set(key, before[key])
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -41,7 +41,8 @@ BLOCK_DOCS, BLOCK_WORDS = 128, 1 << 18
 #: Blocks of each item that are scored in the rounds before the last.
 ROUNDS = (4, 64)
 BROADCAST_TERMS, ITEMS_A_BUCKET = 100_000, 256
-ROWS_A_BATCH = 512  # of documents or blocks, so that Arrow batches stay small
+ROWS_A_BATCH = 512  # of documents, so that Arrow batches stay small
+BLOCKS_A_BATCH = 32  # a block is 128 documents, so a reader's 4,096 rows would be half a million
 
 _SEPARATOR = bytes(range(0x00, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
 _PLAIN = bytes(0x20 if b in _SEPARATOR else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -144,7 +145,9 @@ def build_index(docs: DataFrame) -> BlockMaxIndex:
     maxima = blocks.select("block", "lengths", "terms", "starts", "places", "tfs").mapInArrow(
         peaks, "block long, k int, term binary, df long, peak long"
     )
-    return BlockMaxIndex(blocks, materialize(maxima, "lexical-maxima"), n_docs, n_terms)
+    with batch_rows(docs.sparkSession, BLOCKS_A_BATCH, files=True):
+        maxima = materialize(maxima, "lexical-maxima")
+    return BlockMaxIndex(blocks, maxima, n_docs, n_terms)
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -241,7 +244,9 @@ def search(index: BlockMaxIndex, items: DataFrame, k: int = TOP) -> DataFrame:
         )
         found = _scored(index, jobs.select("block", "jobs"), k)
         found = found if best is None else found.unionByName(best.drop("rank"))
-        after = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best-documents")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        with batch_rows(spark, BLOCKS_A_BATCH, files=True):
+            after = materialize(ranked, "best-documents")
         if best is not None:
             discard(best)
         best = after

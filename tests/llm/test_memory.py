@@ -33,3 +33,16 @@ def test_written_steps_broadcast_no_exploded_rows(spark, monkeypatch):
             assert spark.conf.get(BROADCAST) == "-1"
     finally:
         spark.conf.set(BROADCAST, before)
+
+
+def test_lexical_blocks_are_read_few_at_a_time(spark, monkeypatch):
+    from barloom.llm import lexical_search
+
+    seen, write = {}, lexical_search.materialize
+    monkeypatch.setattr(lexical_search, "materialize", lambda df, name: (seen.setdefault(name, spark.conf.get(READ)), write(df, name))[1])
+    docs = spark.createDataFrame([(i, f"word{i % 7} other") for i in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "word3")], "item_id long, text string")
+    before = spark.conf.get(READ)
+    assert lexical_search.rank_documents(docs, items).count() == 7
+    assert {name for name, rows in seen.items() if int(rows) <= 32} == {"lexical-maxima", "best-documents"}
+    assert spark.conf.get(READ) == before
