@@ -28,7 +28,7 @@ from ..session import shared_folder, written
 from ..sources.tables import model_id as name_of
 from .boosting import BoosterConfig, Forest, fit_booster
 from .evaluation import time_folds
-from .features import FEATURES
+from .features import FEATURES, finite, learnable
 from .metrics import roc_auc_and_brier
 from .news import NEWS_FEATURES
 
@@ -99,11 +99,8 @@ class TrainedModel:
     provenance: dict = field(default_factory=dict)
 
     def score(self, rows: DataFrame, column: str = "p_up") -> DataFrame:
-        """``rows`` with the probability of the up class; null where a feature is null."""
-        ready = F.lit(True)
-        for f in self.metadata["features"]:
-            ready = ready & F.col(f).isNotNull()
-        raw = _raw_scores(self.learner, rows.withColumn("_ready", ready), self.metadata["features"])
+        """``rows`` with the probability of the up class; null where a feature is null, infinite or NaN."""
+        raw = _raw_scores(self.learner, rows.withColumn("_ready", finite(self.metadata["features"])), self.metadata["features"])
         p = F.col("_p")
         if self.calibration is not None:
             raw = self.calibration.transform(raw)
@@ -116,11 +113,11 @@ class TrainedModel:
 
 
 def _raw_scores(learner: PipelineModel | Forest, rows: DataFrame, features: list[str]) -> DataFrame:
-    """``rows`` with the learner's probability ``_p``, before any calibration; null features count as 0."""
+    """``rows`` with the learner's probability ``_p``, before any calibration; features that are no finite number count as 0."""
     if isinstance(learner, Forest):
         return rows.withColumn("_p", learner.probability())
     own = [F.col(c).alias(f"_own_{c}") for c in features]
-    filled = rows.select("*", *own).withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in features})
+    filled = rows.select("*", *own).withColumns({c: F.when(finite([c]), F.col(c)).otherwise(0.0) for c in features})
     scored = learner.transform(filled).withColumn("_p", vector_to_array("probability")[1])
     return scored.select(*[F.col(f"_own_{c}").alias(c) if c in features else F.col(c) for c in rows.columns], "_p")
 
@@ -169,7 +166,7 @@ def train_until(panel: DataFrame, train_end: date | str | None = None) -> DataFr
 
 
 def train_model(panel: DataFrame, cfg: TrainingConfig | None = None, features: list[str] | None = None) -> TrainedModel:
-    """Fit, calibrate and choose thresholds on three folds by date, each purged against the next."""
+    """Fit, calibrate and choose thresholds on three folds by date, each purged against the next. All rows are ``learnable``."""
     cfg, features = cfg or TrainingConfig(), features or FEATURES
     folds = time_folds(panel, cfg.fractions).withColumn("_watch", F.col("fold") == 1).cache()
     try:
@@ -268,8 +265,9 @@ def walk_forward_scores(rows: DataFrame, cfg: TrainingConfig | None = None, feat
 
     Splits that can't be trained have no rows.
     """
+    features = features or FEATURES
     spark = rows.sparkSession
-    rows = written(rows, "purged", "split")
+    rows = written(learnable(rows, features), "purged", "split")
     folder = shared_folder(spark, "scores")
     splits = sorted(r["split"] for r in rows.select("split").distinct().collect())
     schema = None

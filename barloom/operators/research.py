@@ -18,7 +18,7 @@ from ..session import shared_folder, written
 from ..functions.stats import expected_max_column, moments, psr_column
 from .basket import BasketConfig, align, combined_curve, replay_basket
 from .evaluation import Decided, generate_splits, purged_split_rows
-from .features import FEATURES, date_positions, panel
+from .features import FEATURES, date_positions, learnable, panel
 from .learning import TrainingConfig, TrainingError, default_trials, each_split, logistic_stages, train_model
 from .metrics import bar_returns, by_symbol, equity_stats, round_trips, run_metrics, turnover
 from .replay import ReplayConfig, equity_curve, fills, monte_carlo, replay
@@ -92,7 +92,7 @@ def _trained(featured: DataFrame, cfg: WalkForwardConfig, features: list[str], l
     """Train ``learners`` for each split and score its test bars; each split's scores are written by themselves."""
     spark = featured.sparkSession
     featured = written(featured, "featured")
-    rows = written(panel(featured, cfg.training.horizon, features=features), "panel")
+    rows = written(learnable(panel(featured, cfg.training.horizon, features=features), features), "panel")
     n = rows.select("decision_ts").distinct().count()
     splits = generate_splits(n, cfg.train_dates, cfg.test_dates, cfg.step_dates)
     if not splits:
